@@ -19,11 +19,14 @@ tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -33,7 +36,9 @@ LENGTH, END_ID = 2048, 1
 #: Proportions are counted in units of 1 / UNITS; more sources than MAX_QUEUES share queues by hash.
 UNITS, MAX_QUEUES = 1 << 20, 1024
 #: A worker's memory of encoded pieces, in pieces and in characters a piece.
-CACHED_PIECES, CACHED_LENGTH = 200_000, 40
+CACHED_PIECES, CACHED_LENGTH = 400_000, 40
+#: A character that is a token of its own between blanks.
+MARK = "\x00"
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -47,23 +52,70 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        missing = list({p for pieces in split for p in pieces}.difference(self.known))
-        known = self.known
+        self.known: dict[str, bytes] = {}  # of words between blanks
+        self.parts: dict[str, bytes] = {}  # of their parts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text starts and the last one stops."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        own = self._looked_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
+        data = np.frombuffer(b"".join(own), self.kind)
+        at = coded.indices.to_numpy()
+        stops = np.cumsum(sizes[at])
+        shift = (np.cumsum(sizes) - sizes)[at] - (stops - sizes[at])
+        ids = data[np.repeat(shift, sizes[at]) + np.arange(stops[-1] if len(stops) else 0)]
+        edges = split.offsets.to_numpy()
+        return ids, np.concatenate(([0], stops))[edges - edges[0]]
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
         if missing:
-            found = {
-                p: np.array(e.ids, self.kind).tobytes()
-                for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))
-            }
-            if len(known) + len(found) > CACHED_PIECES:
-                used = {p for pieces in split for p in pieces}
-                self.known = {p: v for p, v in known.items() if p in used}
-            self.known.update((p, v) for p, v in found.items() if len(p) <= CACHED_LENGTH)
-            known = {**self.known, **found} if any(len(p) > CACHED_LENGTH for p in found) else self.known
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+            split = [pieces(words[i]) for i in missing]
+            new = list({p for own in split for p in own if p not in self.parts})
+            found = dict(zip(new, self._tokenized(new))) if new else {}
+            self.parts.update((p, v) for p, v in found.items() if len(p) <= CACHED_LENGTH)
+            parts = {**self.parts, **found} if any(len(p) > CACHED_LENGTH for p in found) else self.parts
+            for i, own in zip(missing, split):
+                out[i] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+            self.known.update((words[i], out[i]) for i in missing if len(words[i]) <= CACHED_LENGTH)
+            for cache in (self.known, self.parts):
+                if len(cache) > CACHED_PIECES:  # the older half goes; frequent pieces come back at once
+                    for p in list(islice(cache, len(cache) // 2)):
+                        del cache[p]
+        return out
+
+    def _tokenized(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; all are encoded as one text, with a mark between them."""
+        if any(MARK in x for x in texts):
+            return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.kind).tobytes() for x in texts]
+        (whole,) = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*texts, ""])], add_special_tokens=False)
+        ids = np.array(whole.ids, self.kind)
+        (mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        stops = np.flatnonzero(ids == mark)
+        data, size = ids.tobytes(), self.kind.itemsize
+        starts = np.concatenate(([0], stops[:-1] + 1))
+        return [data[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist())]
+
+
+_PIECE = re.compile("[^\\W\\d_]+|(?:[^\\w \\t\\n\\x0b\\x0c\\r\\x85\\xa0]|[\\d_])+[^\\W\\d_]*")
+
+
+def pieces(word: str) -> list[str]:
+    """Parts of a word between blanks whose tokens one after another are those of the word.
+
+    The tokenizers served here lower case, drop white space, and never join a
+    letter with a following other character. A word of Latin-1 characters has no
+    combining marks and lowers letter by letter, so it is cut there as well
+    and lowered first; other words stay whole.
+    """
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return [word]
+    return _PIECE.findall(word.lower())
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -126,12 +178,14 @@ def tokenized(docs: DataFrame, tokenizer: str, queues: int | None, id_col: str,
 
     def run(batches):
         part, seen, coder = TaskContext.get().partitionId(), {}, encoder(tokenizer)
-        end = np.array([END_ID], coder.kind).tobytes()
+        end, wide = np.array([END_ID], coder.kind).tobytes(), coder.kind.itemsize
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                ids = [x + end for x in coder.encode(batch.column(2).to_pylist())]
-                at, sizes = [], [len(x) // coder.kind.itemsize for x in ids]
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                flat, edges = coder.encode(batch.column(2))
+                data, edges = flat.tobytes(), (edges * wide).tolist()
+                ids = [data[a:b] + end for a, b in zip(edges, edges[1:])]
+                at, sizes = [], [len(x) // wide for x in ids]
                 for name, n in zip(batch.column(1).to_pylist(), sizes):
                     at.append(seen.get(name, 0))
                     seen[name] = at[-1] + n

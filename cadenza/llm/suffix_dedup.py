@@ -276,8 +276,10 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
-    """The ``carried`` columns of every row, with n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
+def remove_repeats(docs: DataFrame, carried: list[str], text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """The ``carried`` columns of every row, with n_bytes, n_removed, n_spans, kept_sha256, and kept_text on demand.
+
+    kept_text leaves out characters of which a removed string took some bytes.
 
     A null text is empty. Equal texts of at least LENGTH bytes are removed
     whole, all copies. Matches never cross texts. Shorter texts and an empty
@@ -306,13 +308,13 @@ def remove_repeats(docs: DataFrame, carried: list[str], text_col: str = "text")
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
-                out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*out)) or [()] * 5
-            types = [_I64, _I64, _I64, pa.string(), pa.binary()]
+                out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * with_text))
+            types = [_I64, _I64, _I64, pa.string(), *[pa.string()] * with_text]
+            columns = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(carried)], *[pa.array(c, t) for c, t in zip(columns, types)]],
-                [*[f"c{i}" for i in range(len(carried))], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [*[f"c{i}" for i in range(len(carried))], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text],
             )
 
-    schema = ", ".join([*columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
+    schema = ", ".join([*columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
     return arrow_map(joined, run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)})
