@@ -22,7 +22,7 @@ elsewhere, in the same text or another. The search is a sparse suffix sort:
 Names are counted by ``groupBy`` with partial aggregation, so a passage that a
 third of all documents share costs a task one row. Groups with many different
 second names are compared by counting the names of their single strings, also
-by ``groupBy``; only small groups are compared inside a task.
+by ``groupBy``; other groups are sorted and compared inside a task.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ from .scratch import arrow_map, materialize
 
 LENGTH, SPAN, GRAM = 400, 256, 16
 CORE = LENGTH - SPAN + 1
-#: String starts that are hashed at once, and second names of a group that one task compares.
-PIECE, SMALL_GROUP = 1 << 20, 512
+#: String starts that are hashed at once; second names of a group that are compared by a dictionary of their strings,
+#: and those that one task sorts (under 100 MB).
+PIECE, FEW, SMALL_GROUP = 1 << 20, 48, 50_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 ANCHOR = "h1 long, h2 long, key long, ctx long, q int, lo int, hi int"
@@ -172,26 +173,67 @@ def _runs(starts: list[int]):
 SPAN_ROW = "h1 long, h2 long, lo int, hi int"
 
 
+def _repeated_few(group: list[dict]):
+    """For each suffix of a group, which of its strings repeat: booleans by distance, from lo on."""
+    count, names = defaultdict(int), []
+    for x in group:
+        at = x["q"] - x["lo"]
+        own = [(at - i, xxhash.xxh3_128_digest(x["bytes"][i : i + LENGTH])) for i in range(x["hi"] - x["lo"] + 1)]
+        for name in own:
+            count[name] += x["n"]
+        names.append(own)
+    return [[count[name] > 1 for name in own] for own in names]
+
+
+def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of a byte matrix, and the length that each shares with its successor."""
+    order = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel().argsort(kind="stable")
+    ordered = rows[order]
+    differ = ordered[1:] != ordered[:-1]
+    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
+def _repeated_many(group: list[dict]):
+    """As _repeated_few, by suffix sorting: suffixes after the sampled place, and reversed prefixes before it.
+
+    Two strings at distance a are equal if the suffixes share LENGTH - a bytes
+    and the prefixes share a; the shared lengths of neighbours in both orders
+    give the classes of all suffixes at each distance.
+    """
+    q, lo, hi, n = (np.array([x[k] for x in group]) for k in ("q", "lo", "hi", "n"))
+    after = np.zeros((len(group), LENGTH), np.uint8)
+    before = np.zeros((len(group), SPAN), np.uint8)
+    for i, x in enumerate(group):
+        data, cut = np.frombuffer(x["bytes"], np.uint8), x["q"] - x["lo"]
+        after[i, : len(data) - cut] = data[cut:]
+        before[i, :cut] = data[:cut][::-1]
+    (right, shared_right), (left, shared_left) = _classes(after), _classes(before)
+    out = [np.zeros(h - l + 1, bool) for l, h in zip(lo.tolist(), hi.tolist())]
+    class_right, class_left = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    for a in range(int((q - hi).min()), int((q - lo).max()) + 1):
+        own = np.flatnonzero((q - hi <= a) & (a <= q - lo))
+        class_right[right[1:]] = np.cumsum(shared_right < LENGTH - a)
+        class_left[left[1:]] = np.cumsum(shared_left < a)
+        class_right[right[0]] = class_left[left[0]] = 0
+        _, at = np.unique(class_right[own] * len(group) + class_left[own], return_inverse=True)
+        for i in own[np.bincount(at, weights=n[own])[at] > 1].tolist():
+            out[i][q[i] - a - lo[i]] = True
+    return out
+
+
 def _compare_small(contexts: DataFrame) -> DataFrame:
-    """Repeated strings of the groups with few second names, each group in one task.
+    """Repeated strings of the groups that one task can hold.
 
     A text can arrive once per copy; (key, ctx) names the suffix, copies are skipped.
     """
     grouped = contexts.repartition("key").sortWithinPartitions("key", "ctx")
-    digest = xxhash.xxh3_128_digest
 
     def solve(group):
-        count = defaultdict(int)
-        names = []
-        for x in group:
-            at = x["q"] - x["lo"]
-            own = [(at - i, digest(x["bytes"][i : i + LENGTH])) for i in range(x["hi"] - x["lo"] + 1)]
-            for name in own:
-                count[name] += x["n"]
-            names.append(own)
-        for x, own in zip(group, names):
+        if len(group) < 2:
+            return
+        for x, flags in zip(group, (_repeated_few if len(group) <= FEW else _repeated_many)(group)):
             if x["n"] == 1:
-                for first, last in _runs([x["lo"] + i for i, name in enumerate(own) if count[name] > 1]):
+                for first, last in _runs([x["lo"] + i for i, again in enumerate(flags) if again]):
                     yield (x["h1"], x["h2"], first, last)
 
     def rows(batches):
@@ -207,7 +249,8 @@ def _compare_small(contexts: DataFrame) -> DataFrame:
         if group:
             yield from solve(group)
 
-    return arrow_map(grouped, lambda batches: _batches(rows(batches), ["h1", "h2", "lo", "hi"], [_I64, _I64, _I32, _I32]), SPAN_ROW
+    return arrow_map(
+        grouped, lambda batches: _batches(rows(batches), ["h1", "h2", "lo", "hi"], [_I64, _I64, _I32, _I32]), SPAN_ROW
     )
 
 
@@ -237,11 +280,12 @@ def _compare_large(contexts: DataFrame) -> DataFrame:
 def repeated_strings(texts: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """(h1, h2, lo, hi): in the text named h1, h2 the strings that start in lo..hi are repeated."""
     anchors = _anchors(texts)
-    names = (
+    names = materialize(
         anchors.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
         .where("n > 1")
-        .select("key", (F.col("a") != F.col("b")).alias("mixed"))
+        .select("key", (F.col("a") != F.col("b")).alias("mixed")),
+        "names",  # a join with a stored table can be split where one name has many suffixes
     )
     again = materialize(anchors.join(names, "key"), "repeated-names")
     mixed = again.where("mixed").drop("mixed")
