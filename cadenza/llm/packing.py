@@ -19,6 +19,7 @@ tasks.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Mapping
@@ -36,7 +37,21 @@ LENGTH, END_ID = 2048, 1
 #: Proportions are counted in units of 1 / UNITS; more sources than MAX_QUEUES share queues by hash.
 UNITS, MAX_QUEUES = 1 << 20, 1024
 #: A worker's memory of encoded pieces, in pieces and in characters a piece.
-CACHED_PIECES, CACHED_LENGTH = 400_000, 40
+CACHED_PIECES, LONG_ENTRY = 800_000, 64
+#: Bytes of text that are encoded at once.
+PORTION = 12 << 20
+#: The steps before the merges that allow texts to be cut (of the tokenizer's file).
+LOWERED = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: A character that is a token of its own between blanks.
 MARK = "\x00"
 
@@ -47,19 +62,31 @@ class PieceEncoder:
     """Encodes texts piece by piece between blanks, for tokenizers that drop white space before they merge."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        steps = json.loads(self.tokenizer.to_str())
+        if (steps["normalizer"], steps["pre_tokenizer"]) != (LOWERED, SPLIT) or not steps["model"]["end_of_word_suffix"]:
+            raise ValueError(f"{path}: its texts can't be cut at blanks and after letters")
+        # for words of lowered letters, which the steps before the merges leave as they are
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary, suffix = self.tokenizer.get_vocab(), steps["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}  # of words between blanks
         self.parts: dict[str, bytes] = {}  # of their parts
+        self.none = np.array([np.iinfo(self.kind).max], self.kind)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text starts and the last one stops."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        own = self._looked_up(coded.dictionary.to_pylist())
+        words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        own = self._looked_up(pc.binary_join(words, "\n")[0].as_py().split("\n") if len(coded) else [])
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
         data = np.frombuffer(b"".join(own), self.kind)
         at = coded.indices.to_numpy()
@@ -73,20 +100,44 @@ class PieceEncoder:
         out = list(map(self.known.get, words))
         missing = [i for i, v in enumerate(out) if v is None]
         if missing:
-            split = [pieces(words[i]) for i in missing]
-            new = list({p for own in split for p in own if p not in self.parts})
-            found = dict(zip(new, self._tokenized(new))) if new else {}
-            self.parts.update((p, v) for p, v in found.items() if len(p) <= CACHED_LENGTH)
-            parts = {**self.parts, **found} if any(len(p) > CACHED_LENGTH for p in found) else self.parts
-            for i, own in zip(missing, split):
-                out[i] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
-            self.known.update((words[i], out[i]) for i in missing if len(words[i]) <= CACHED_LENGTH)
-            for cache in (self.known, self.parts):
-                if len(cache) > CACHED_PIECES:  # the older half goes; frequent pieces come back at once
-                    for p in list(islice(cache, len(cache) // 2)):
-                        del cache[p]
+            new = [words[i] for i in missing]
+            found = self._joined(new)
+            self.known.update(zip(new, found))
+            for i, v in zip(missing, found):
+                out[i] = v
+            for word, v in zip(new, found):
+                if len(v) > LONG_ENTRY or len(word) > LONG_ENTRY:
+                    del self.known[word]
+            _shrink(self.known)
         return out
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from those of its parts; a line end between words becomes an id that no token has."""
+        parts = pieces("\n".join([*words, ""]))
+        known = self.parts
+        new = [p for p in dict.fromkeys(parts) if p not in known]
+        plain = [p for p in new if p.isalpha() and _latin(p)]
+        other = [p for p in new if not (p.isalpha() and _latin(p))]
+        found = dict(zip(plain, self._letters(plain))) | dict(zip(other, self._tokenized(other)))
+        if any(len(p) > LONG_ENTRY for p in new):
+            known = {**known, **found}
+        known.update(found)
+        stop = self.none.tobytes()
+        known["\n"] = stop
+        data = b"".join(map(known.__getitem__, parts))
+        stops = (np.flatnonzero(np.frombuffer(data, self.kind) == self.none[0]) * self.kind.itemsize).tolist()
+        _shrink(self.parts)
+        return [data[a:b] for a, b in zip([0, *[x + len(stop) for x in stops]], stops)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters; the last id of a word, and no other, is one that ends words."""
+        (whole,) = self.letters.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(whole.ids, self.kind)
+        data, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+        if len(stops) != len(words):
+            return self._tokenized(words)
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
     def _tokenized(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; all are encoded as one text, with a mark between them."""
         if any(MARK in x for x in texts):
@@ -100,22 +151,48 @@ class PieceEncoder:
         return [data[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist())]
 
 
-_PIECE = re.compile("[^\\W\\d_]+|(?:[^\\w \\t\\n\\x0b\\x0c\\r\\x85\\xa0]|[\\d_])+[^\\W\\d_]*")
+def _shrink(cache: dict[str, bytes]) -> None:
+    """Drop the older half of a cache that is full; frequent entries come back at once."""
+    if len(cache) > CACHED_PIECES:
+        for p in list(islice(cache, len(cache) // 2)):
+            del cache[p]
+
+
+_PIECE = re.compile("\n|[^\\W\\d_]+|(?:[^\\w\\n\x85\xa0]|[\\d_])+[^\\W\\d_]*")
 
 
-def pieces(word: str) -> list[str]:
-    """Parts of a word between blanks whose tokens one after another are those of the word.
+def _latin(word: str) -> bool:
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def pieces(lines: str) -> list[str]:
+    """Parts of words (a word a line) whose tokens one after another are those of the word, and the line ends.
 
     The tokenizers served here lower case, drop white space, and never join a
-    letter with a following other character. A word of Latin-1 characters has no
-    combining marks and lowers letter by letter, so it is cut there as well
-    and lowered first; other words stay whole.
+    letter with a following other character. Words of Latin-1 characters have no
+    combining marks and are lowered letter by letter, so they are cut there as
+    well and lowered first; other words stay whole.
     """
     try:
-        word.encode("latin-1")
+        lines.encode("latin-1")
     except UnicodeEncodeError:
-        return [word]
-    return _PIECE.findall(word.lower())
+        return [p for line in lines.split("\n")[:-1] for p in (*(_PIECE.findall(line.lower()) if _latin(line) else [line]), "\n")]
+    return _PIECE.findall(lines.lower())
+
+
+def _portions(batch: pa.RecordBatch, column: int):
+    """The batch in slices of about PORTION bytes of a text column, a row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + PORTION, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -145,28 +222,34 @@ class Plan:
         share = units * self.round
         return np.minimum(left, share // scale * rounds + share % scale * rounds // scale)
 
-    def pieces(self, queue: int, at: int, n: int, length: int, memory: dict):
-        """Yield (start, size, position in the stream) of the tokens at..at+n of a queue."""
+    def place(self, queue: int, at: int, n: int, length: int, memory: dict, add) -> None:
+        """Call add(start, size, position in the stream) for the pieces of the tokens at..at+n of a queue."""
         x, end = at, at + n
         for k, (units, before, left, scale, base) in enumerate(self.phases):
-            first, unit = int(before[queue]), int(units[queue])
+            first = int(before[queue])
             last = int(self.phases[k + 1][1][queue]) if k + 1 < len(self.phases) else first + int(left[queue])
+            if x >= last or last == first:
+                continue
+            share = int(units[queue]) * self.round
             while x < end and x < last:
-                r = (x - first) * scale // (unit * self.round)
+                r = (x - first) * scale // share
                 while True:
-                    if (k, r) not in memory:
-                        if len(memory) > 4096:
+                    row = memory.get((k, r))
+                    if row is None:
+                        if len(memory) > 8192:
                             memory.clear()
                         low, high = self._served(units, left, scale, r), self._served(units, left, scale, r + 1)
-                        memory[k, r] = low.tolist(), high.tolist(), (base + low.sum() + np.cumsum(high - low) - (high - low)).tolist()
-                    low, high, place = memory[k, r]
-                    if first + high[queue] > x:
+                        place = base + low.sum() + np.cumsum(high - low) - (high - low)
+                        row = memory[k, r] = ((first_of := before + low).tolist(), (before + high).tolist(), (place - first_of).tolist())
+                    if row[1][queue] > x:
                         break
                     r += 1
-                position = place[queue] + x - first - low[queue]
-                size = min(end, first + high[queue], x + length - position % length) - x
-                yield x - at, size, position
+                position = row[2][queue] + x
+                size = min(end, row[1][queue], x + length - position % length) - x
+                add(x - at, size, position)
                 x += size
+            if x >= end:
+                return
 
 
 def tokenized(docs: DataFrame, tokenizer: str, queues: int | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -180,8 +263,7 @@ def tokenized(docs: DataFrame, tokenizer: str, queues: int | None, id_col: str,
         part, seen, coder = TaskContext.get().partitionId(), {}, encoder(tokenizer)
         end, wide = np.array([END_ID], coder.kind).tobytes(), coder.kind.itemsize
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
+            for batch in _portions(whole, 2):
                 flat, edges = coder.encode(batch.column(2))
                 data, edges = flat.tobytes(), (edges * wide).tolist()
                 ids = [data[a:b] + end for a, b in zip(edges, edges[1:])]
@@ -236,16 +318,36 @@ def pack(
 
     def run(batches):
         memory: dict = {}
-        for batch in batches:
-            out = []
-            for doc, queue, at, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(ids, wide).astype("<u4").tobytes()
-                for start, size, position in plan.value.pieces(index[queue], at, n, length, memory):
-                    own = ids[4 * start : 4 * (start + size)]
-                    out.append((doc, queue, start, size, zlib.crc32(own), n, position // length, position % length, *[own] * with_ids))
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, *[pa.binary()] * with_ids]
-            for i in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 20_000]), kinds)], fields)
+        crc = zlib.crc32
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                rows, starts, sizes, crcs, places, own = [], [], [], [], [], []
+                for row, (queue, at, n, ids) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                    ids = np.frombuffer(ids, wide).astype("<u4").tobytes()
+
+                    def add(start, size, position):
+                        data = ids[4 * start : 4 * (start + size)]
+                        rows.append(row)
+                        starts.append(start)
+                        sizes.append(size)
+                        crcs.append(crc(data))
+                        places.append(position)
+                        if with_ids:
+                            own.append(data)
+
+                    plan.value.place(index[queue], at, n, length, memory, add)
+                if rows:
+                    rows = pa.array(rows, pa.int64())
+                    places = np.array(places, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                            pa.array(crcs, pa.int64()), batch.column(3).take(rows), pa.array(places // length), pa.array(places % length),
+                            *[pa.array(own, pa.binary())] * with_ids,
+                        ],
+                        fields,
+                    )
 
     schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return arrow_map(placed, run, schema + ", ids binary" * with_ids)
