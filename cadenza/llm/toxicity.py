@@ -32,7 +32,7 @@ TRAIN_ROWS, CURVE_ROWS = 200_000, 20_000
 #: Strings of the model (the most frequent), the words that must hold one, and the discount of a count.
 NGRAMS, LEAST, DISCOUNT = 400_000, 3, 1.5
 #: Characters of the longest strings, and of the longest strings whose counts the classes share.
-ORDER, SHARED_ORDER = 6, 3
+ORDER, SHARED_ORDER = 6, 1
 FOLDS, CURVE_FOLD, CACHED_WORDS, FEATURES = 5, 1, 200_000, 4
 
 _WORD = re.compile(r"[^\W\d_]+")
