@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -96,26 +96,22 @@ class Coder:
 
     def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each distinct word."""
-        out: list[list[int] | np.ndarray | None] = []
-        short: list[int] = []
-        for i, word in enumerate(words):
-            data = word.encode()
-            whole = self.ranks.get(data)
-            if whole is not None:
-                out.append([whole])  # a word that is a token is not contracted
-            elif len(data) > LONG_WORD:
-                out.append(contract(data, self.ranks))
-            else:
-                out.append(None)
-                short.append(i)
+        data = [w.encode() for w in words]
+        whole = list(map(self.ranks.get, data))  # a word that is a token is not contracted
+        single = np.array([0 if r is None else r for r in whole], "<u4").tobytes()
+        ids: list = [None if r is None else single[4 * i : 4 * i + 4] for i, r in enumerate(whole)]
+        for i, (x, d) in enumerate(zip(ids, data)):
+            if x is None and len(d) > LONG_WORD:
+                ids[i] = np.array(contract(d, self.ranks), "<u4").tobytes()
+        short = [i for i, x in enumerate(ids) if x is None]
         for at in range(0, len(short), WORDS_A_QUERY):
             part = short[at : at + WORDS_A_QUERY]
-            for i, ids in zip(part, self.encode([words[i].encode() for i in part])):
-                out[i] = ids
-        ids = [np.asarray(x, "<u4") for x in out]
-        return [(x.tobytes(), y) for x, y in zip(ids, self.decode(ids))]
+            for i, x in zip(part, self.encode([data[i] for i in part])):
+                ids[i] = x
+        return list(zip(ids, self.decode(ids)))
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes, by the recursive query."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         position = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         token = self.single[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
@@ -130,37 +126,43 @@ class Coder:
             }
         )
         found = self.engine.sql(ENCODE + " ORDER BY word, position").to_arrow_table()
-        counts = np.bincount(found["word"].to_numpy(), minlength=len(words))
-        return np.split(found["token"].to_numpy().astype("<u4"), np.cumsum(counts)[:-1])
+        stops = (4 * np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(words)))).tolist()
+        ids = found["token"].to_numpy().astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
-    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
+    def decode(self, sequences: list[bytes]) -> list[bytes]:
         """The bytes of each sequence of ids."""
-        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences)) // 4
         encoded = pa.table(  # noqa: F841
             {
-                "word": np.repeat(np.arange(len(sizes)), sizes),
+                "word": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
                 "position": np.arange(sizes.sum()),
-                "token": np.concatenate([*sequences, np.zeros(0, "<u4")]).astype(np.int64),
+                "token": np.frombuffer(b"".join(sequences), "<u4").astype(np.int64),
             }
         )
-        found = self.engine.sql(DECODE).to_arrow_table()
+        found = self.engine.sql(DECODE).to_arrow_table().combine_chunks()
         out = [b""] * len(sizes)
-        for i, data in zip(found["word"].to_pylist(), found["bytes"].to_pylist()):
-            out[i] = bytes.fromhex(data)
+        if found.num_rows:
+            column = found["bytes"].chunk(0)
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), "\n")[0].as_py()
+            for i, data in zip(found["word"].to_pylist(), map(bytes.fromhex, whole.split("\n"))):
+                out[i] = data
         return out
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text."""
         split = [self.split(x) for x in texts]
         known = self.known
-        found = [list(map(known.get, own)) for own in split]
-        missing = list({w for own, got in zip(split, found) if None in got for w, v in zip(own, got) if v is None})
-        new = dict(zip(missing, self.words(missing))) if missing else {}
-        out = []
-        for own, got in zip(split, found):
-            if None in got:
-                got = [v or new[w] for w, v in zip(own, got)]
-            out.append((b"".join([v[0] for v in got]), b"".join([v[1] for v in got])))
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(known.get, words))
+        missing = [i for i, v in enumerate(found) if v is None]
+        new = dict(zip([words[i] for i in missing], self.words([words[i] for i in missing]))) if missing else {}
+        for i, v in zip(missing, new.values()):
+            found[i] = v
+        at, edges = coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(list(map(len, split)), dtype=np.int64)))
+        parts = [gathered([v[k] for v in found], at, edges) for k in (0, 1)]
+        out = list(zip(*parts))
         known.update((w, v) for w, v in new.items() if len(w) <= LONG_WORD)
         if len(known) > CACHED_WORDS:  # the older half goes; frequent words come back at once
             for w in list(islice(known, len(known) // 2)):
@@ -168,6 +170,18 @@ class Coder:
         return out
 
 
+def gathered(values: list[bytes], at: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each i the values at the places edges[i]..edges[i + 1] of ``at``, one after another."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    data = np.frombuffer(b"".join(values), np.uint8)
+    own = sizes[at]
+    stops = np.cumsum(own)
+    shift = (np.cumsum(sizes) - sizes)[at] - (stops - own)
+    whole = data[np.repeat(shift, own) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
+    cuts = np.concatenate(([0], stops))[edges].tolist()
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def contract(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word by the same rule, in the order of a heap of (rank, place) of its pairs."""
     ends = list(range(1, len(data) + 1))  # by start of a token, where it ends
