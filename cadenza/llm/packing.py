@@ -37,7 +37,7 @@ LENGTH, END_ID = 2048, 1
 #: Proportions are counted in units of 1 / UNITS; more sources than MAX_QUEUES share queues by hash.
 UNITS, MAX_QUEUES = 1 << 20, 1024
 #: A worker's memory of encoded pieces, in pieces and in characters a piece.
-CACHED_PIECES, LONG_ENTRY = 800_000, 64
+CACHED_PIECES, LONG_ENTRY = 300_000, 64
 #: Bytes of text that are encoded at once.
 PORTION = 12 << 20
 #: The steps before the merges that allow texts to be cut (of the tokenizer's file).

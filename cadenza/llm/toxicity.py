@@ -33,7 +33,7 @@ TRAIN_ROWS, CURVE_ROWS = 200_000, 20_000
 NGRAMS, LEAST, DISCOUNT = 400_000, 3, 1.5
 #: Characters of the longest strings, and of the longest strings whose counts the classes share.
 ORDER, SHARED_ORDER = 6, 1
-FOLDS, CURVE_FOLD, CACHED_WORDS, FEATURES = 5, 1, 200_000, 4
+FOLDS, CURVE_FOLD, CACHED_WORDS, FEATURES = 5, 1, 100_000, 4
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -170,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     held = rows.where("held").select("text", "toxic")
     sample = arrow_map(held, measure, "y int, a double, b double, c double, d double").limit(CURVE_ROWS).toArrow()
+    sent.unpersist()
     y = sample.column(0).to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         model.curve = logistic(np.column_stack([sample.column(i).to_numpy() for i in range(1, FEATURES + 1)]), y)
