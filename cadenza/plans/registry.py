@@ -619,3 +619,153 @@ def user_sessions(spark, sf_dir):
     from ..streaming.windows import sessions
 
     return sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"]).select("user_id", "start", "n")
+
+
+_STATES = """m AS (SELECT target_phone, status = 'F' AS available, (duration_ms - 25) / 5 AS d, error_score * 10 - 5 AS s, prob_correct * 8 - 4 AS g FROM phones),
+    p AS (SELECT *, 1 / (1 + exp(-least(greatest((d - 1.0) / 1.5, -30), 30))) AS pd, (1 / (1 + exp(-least(greatest((s - 0.75) / 1.5, -30), 30))) + 1 / (1 + exp(-least(greatest((-g - 1.0) / 2.0, -30), 30)))) / 2 AS w FROM m),
+    q AS (SELECT *, w * (1 - pd) AS pw FROM p)"""
+
+
+@query("phone_states", f"""WITH {PHONES}, {_STATES} SELECT target_phone, CASE WHEN NOT available THEN 'unavailable' WHEN pd / (greatest(1 - pd - pw, 0) + pw + pd) >= 0.62 THEN 'deleted'
+    WHEN pw / (greatest(1 - pd - pw, 0) + pw + pd) >= 0.62 THEN 'mispronounced' ELSE 'correct' END AS phone_state, count(*) AS n FROM q GROUP BY 1, 2""")
+def phone_states(spark, sf_dir):
+    from ..operators.three_state import phone_states as states
+
+    rows = phones(spark, sf_dir).select(
+        "target_phone", (F.col("status") == "F").alias("ctc_phone_model_available"), ((F.col("duration_ms") - 25) / 5).alias("ctc_deletion_margin"),
+        (F.col("error_score") * 10 - 5).alias("ctc_substitution_margin"), (F.col("prob_correct") * 8 - 4).alias("ctc_logit_margin"),
+    )
+    return states(rows).groupBy("target_phone", "phone_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("conservative_mode", f"""WITH {PHONES}, i AS (SELECT NOT (status = 'F' AND duration_ms < 3) AS good, prob_correct AS r, error_score AS c, round(duration_ms / 50, 6) AS w, gold = 1 AS likely, status = 'O' AS variant FROM phones),
+    j AS (SELECT *, good AND r >= 0.75 AS ok FROM i), k AS (SELECT *, good AND NOT ok AND NOT variant AND w >= 0.9 AND c >= 0.7 AND r <= 0.4 AND likely AS err FROM j)
+    SELECT CASE WHEN NOT good THEN 'uncertain_review' WHEN err THEN 'true_error' WHEN good AND NOT ok AND NOT variant AND w >= 0.6 THEN 'uncertain_review' WHEN ok THEN 'correct' WHEN variant THEN 'acceptable_accent' ELSE 'correct' END AS decision, count(*) AS n FROM k GROUP BY 1""")
+def conservative_mode(spark, sf_dir):
+    from ..operators.modes import apply_mode
+
+    relation = F.when(F.col("status") == "O", "acceptable_variant").when(F.col("gold") == 1, "likely_true_error").otherwise("")
+    rows = phones(spark, sf_dir).select(
+        F.when((F.col("status") == "F") & (F.col("duration_ms") < 3), "bad").otherwise("pass").alias("alignment_quality"), "prob_correct", F.col("error_score").alias("confidence"),
+        F.round(F.col("duration_ms") / 50, 6).alias("manual_calibrated_error_probability"), F.lit(True).alias("calibration_available"), relation.alias("phonological_relation"),
+    )
+    return apply_mode(rows).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("word_sequences", """WITH p AS (SELECT l_orderkey, l_linenumber, regexp_replace(upper(p_brand), '[0-9]+$', '') AS b FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT l_orderkey, string_agg(b, ' ' ORDER BY l_linenumber, b) AS target_phone_seq FROM p GROUP BY 1""")
+def word_sequences(spark, sf_dir):
+    from ..operators.three_state import word_sequences as sequences
+
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("target_phone"))
+    return sequences(rows, ["l_orderkey"], "l_linenumber").select("l_orderkey", "target_phone_seq")
+
+
+@query("gaussian_models", f"""WITH {PHONES} SELECT target_phone, count(*) AS frames, round(avg(duration_ms), 6) AS mean_duration, round(greatest(var_pop(duration_ms), 0.25), 5) AS var_duration,
+    round(greatest(var_pop(error_score), 0.25), 6) AS var_score FROM phones GROUP BY 1 HAVING count(*) >= 40""")
+def gaussian_models(spark, sf_dir):
+    from ..operators.sequences import fit_gaussians
+
+    found = fit_gaussians(phones(spark, sf_dir), "target_phone", ["duration_ms", "error_score"])
+    return found.select(
+        "target_phone", "frames", F.round(F.col("mean")[0], 6).alias("mean_duration"), F.round(F.col("variance")[0], 5).alias("var_duration"), F.round(F.col("variance")[1], 6).alias("var_score")
+    )
+
+
+@query("error_manifest", """WITH m AS (SELECT user_id, (epoch_us(ts) % 100000) / 1000.0::DOUBLE AS s, value AS d, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS gold FROM events WHERE event_type <> 'purchase')
+    SELECT (1 - gold)::INTEGER AS label, count(*) AS n FROM m WHERE (s + d) / 1000 - s / 1000 > 0 GROUP BY 1""")
+def error_manifest(spark, sf_dir):
+    from ..operators.manifests import error_manifest as manifest
+
+    start = (F.unix_micros(F.to_timestamp("ts")) % 100000) / F.lit(1000.0)
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("utterance_id"), F.lit("AH0").alias("target_phone"), start.alias("start_ms"), (start + F.col("value")).alias("end_ms"),
+        (F.col("event_type") != "click").cast("int").alias("gold_binary"), F.when(F.col("event_type") == "purchase", "review").otherwise("PASS").alias("alignment_quality"),
+    )
+    return manifest(rows).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("annotations_kept", """WITH last AS (SELECT l_orderkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
+    SELECT o_orderkey AS l_orderkey, l_returnflag FROM orders LEFT JOIN last ON o_orderkey = l_orderkey""")
+def annotations_kept(spark, sf_dir):
+    from ..sources.sinks import with_annotations
+
+    packet = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    former = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return with_annotations(packet, former, ["l_orderkey"], ["l_returnflag"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+@query("not_done", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
+def not_done(spark, sf_dir):
+    from ..sources.sinks import not_done as left
+
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"))
+    return left(table(spark, sf_dir, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query("ratio_sample", "WITH c AS (SELECT count(*) FILTER (toxic = 1) AS m, count(*) FILTER (toxic <> 1) AS o FROM labels) SELECT 1::INTEGER AS toxic, m AS n FROM c UNION ALL SELECT 0, least(2 * m, o) FROM c")
+def ratio_sample(spark, sf_dir):
+    return sampling.ratio_sample(table(spark, sf_dir, "labels"), F.col("toxic") == 1, ["doc_id"], 2, 42).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).withColumn("toxic", F.col("toxic").cast("int"))
+
+
+@query("false_alarm_rate", f"""WITH {PHONES} SELECT count(*) FILTER (gold = 0) AS rows, count(*) FILTER (gold = 0 AND decision = 1) AS alarms,
+    round(count(*) FILTER (gold = 0 AND decision = 1)::DOUBLE / count(*) FILTER (gold = 0), 6) AS false_alarm_rate FROM phones""")
+def false_alarm_rate(spark, sf_dir):
+    return decisions.false_alarm_rate(phones(spark, sf_dir), "gold", "decision", 1)
+
+
+@query("sliding_events", """SELECT (w + INTERVAL 30 MINUTE * k)::TIMESTAMP AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE AS w, event_type FROM events), range(2) r(k) GROUP BY 1, 2""")
+def sliding_events(spark, sf_dir):
+    from ..streaming.windows import tumbling
+
+    return tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], slide="30 minutes").select("start", "event_type", "n")
+
+
+@query("word_mispronunciation")
+def word_mispronunciation(spark, sf_dir):
+    from ..operators.confusions import word_mispronunciation as mispronounced
+
+    phones_of = F.array(*[F.lit(p) for p in ("TH", "R", "L", "V", "IH", "IY", "AE", "EH", "B", "P", "S", "Z")])
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat_ws(" ", phones_of[F.col("l_partkey") % 12], phones_of[F.col("l_suppkey") % 12]).alias("target_phone_seq"),
+        F.concat_ws(" ", phones_of[F.col("l_orderkey") % 12], phones_of[F.col("l_suppkey") % 12]).alias("predicted_phone_seq"), (F.col("l_quantity") / 50).alias("avg_phone_score"),
+        (F.col("l_quantity") / 100).alias("min_phone_score"),
+    )
+    return mispronounced(rows).groupBy("mispronunciation_decision", "mandarin_confusion_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("text_comparison")
+def text_comparison(spark, sf_dir):
+    from ..operators.sequences import compare_texts
+
+    items = table(spark, sf_dir, "benchmark")
+    following = items.select((F.col("item_id") - 1).alias("item_id"), scalars.tokens("text").alias("heard"))
+    pairs = items.select("item_id", scalars.tokens("text").alias("target")).join(following, "item_id")
+    return compare_texts(pairs, "item_id", "target", "heard")
+
+
+@query("target_words")
+def target_words(spark, sf_dir):
+    from ..functions.lexicon import target_words as words
+
+    return words(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("ctc_word_deletions")
+def ctc_word_deletions(spark, sf_dir):
+    from ..operators.sequences import word_deletions_ctc
+
+    rows = table(spark, sf_dir, "embeddings")
+    emissions = rows.select((F.col("vec_id") % 50).alias("utterance"), F.col("vec_id").alias("frame"), F.slice("embedding", 1, 8).cast("array<double>").alias("logits"))
+    words = spark.range(60).select(F.col("id").alias("utterance"), F.posexplode(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3)))).alias("word_index", "labels"))
+    return word_deletions_ctc(emissions, words, "utterance")
+
+
+@query("fusion_classifier")
+def fusion_classifier(spark, sf_dir):
+    from ..operators import models
+
+    rows = phones(spark, sf_dir).select("utterance_id", "word_index", "split", "gold", "error_score", "prob_correct", "duration_ms", "phone_group")
+    numeric, categorical = ["error_score", "prob_correct", "duration_ms"], ["phone_group"]
+    model = models.fit(rows.where("split = 0"), "gold", numeric, categorical)
+    return models.scored(model, rows.where("split <> 0"), numeric, categorical).select("utterance_id", "word_index", F.round("score", 6).alias("score"))
