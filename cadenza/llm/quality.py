@@ -119,8 +119,9 @@ def judged(measured: DataFrame) -> DataFrame:
     marked = measured.withColumns({"base_failed": base, "rule_failed": rules})
     marked = marked.withColumn("failed", F.col("base_failed") | F.col("rule_failed"))
     hosts = marked.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("bad"))
-    verdicts = host_rates(hosts)
-    return marked.join(verdicts.select("host", "rate", "corpus_rate"), "host").withColumn(
+    # stored, so that the join's shuffle of a host with very many rows can be split
+    verdicts = materialize(host_rates(hosts).select("host", "rate", "corpus_rate"), "hosts")
+    return marked.join(verdicts, "host").withColumn(
         "kept",
         ~F.col("base_failed")
         & (F.col("rate") < BAD_HOST)

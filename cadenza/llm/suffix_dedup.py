@@ -119,13 +119,17 @@ def _anchors(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, lambda batches: _batches(rows(batches), names, types), ANCHOR)
 
 
-def _with_identity(docs: DataFrame, carried: str) -> DataFrame:
-    """Add h1 and h2 of the column text to (carried columns, text)."""
+def _with_identity(docs: DataFrame, carried: str, distinct: bool = False) -> DataFrame:
+    """Add h1 and h2 of the column text to (carried columns, text); if distinct, each text once a task."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()  # of one task's input
         for batch in batches:
             names = batch.schema.names
             pairs = [identity(x) for x in _texts(batch, names.index("text"))]
+            if distinct:
+                first = [p not in seen and not seen.add(p) for p in pairs]
+                batch, pairs = batch.filter(pa.array(first, pa.bool_())), [p for p, f in zip(pairs, first) if f]
             columns = [*batch.columns, pa.array([p[0] for p in pairs], _I64), pa.array([p[1] for p in pairs], _I64)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "h1", "h2"])
 
@@ -137,7 +141,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = wanted.groupBy("h1", "h2").agg(
         F.collect_list(F.struct("key", "ctx", "n", "names", "q", "lo", "hi")).alias("asked")
     )
-    found = _with_identity(texts, "text string").join(asked, ["h1", "h2"])
+    found = _with_identity(texts, "text string", distinct=True).join(asked, ["h1", "h2"])
 
     def rows(batches):
         before = None
@@ -295,7 +299,7 @@ def repeated_strings(texts: DataFrame, small_group: int = SMALL_GROUP) -> DataFr
         ),
         "second-names",
     )
-    sizes = second.groupBy("key").agg(F.count("*").alias("names"))
+    sizes = materialize(second.groupBy("key").agg(F.count("*").alias("names")), "name-counts")
     contexts = materialize(_contexts(texts, second.join(sizes, "key")), "contexts")
     spans = (
         again.where("not mixed").select("h1", "h2", "lo", "hi"),
