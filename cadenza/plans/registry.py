@@ -769,3 +769,79 @@ def fusion_classifier(spark, sf_dir):
     numeric, categorical = ["error_score", "prob_correct", "duration_ms"], ["phone_group"]
     model = models.fit(rows.where("split = 0"), "gold", numeric, categorical)
     return models.scored(model, rows.where("split <> 0"), numeric, categorical).select("utterance_id", "word_index", F.round("score", 6).alias("score"))
+
+
+@query("review_table", f"""WITH {PHONES}, r AS (SELECT *, CASE WHEN gold = 1 THEN 'true_error' WHEN status = 'O' THEN 'acceptable_accent' ELSE 'correct' END AS l FROM phones WHERE decision = 1)
+    SELECT target_phone, count(*) AS reviewed_count, sum(gold)::BIGINT AS manual_true_error_count, (count(*) - sum(gold))::BIGINT AS manual_non_error_count, count(*) FILTER (l = 'acceptable_accent') AS acceptable_accent_count,
+        count(*) FILTER (l = 'correct') AS correct_count, 0::BIGINT AS bad_alignment_count, round(avg(error_score), 6) AS mean_final_error_score, round(sum(gold)::DOUBLE / count(*), 6) AS manual_precision FROM r GROUP BY 1""")
+def review_table(spark, sf_dir):
+    from ..operators.reports import review_table as reviews
+
+    label = F.when(F.col("gold") == 1, "true_error").when(F.col("status") == "O", "acceptable_accent").otherwise("correct")
+    rows = phones(spark, sf_dir).where("decision = 1").withColumns({"manual_review_label": label, "manual_is_error": F.col("gold"), "final_error_score": F.col("error_score")})
+    return reviews(rows, "target_phone")
+
+
+@query("alarm_summary", f"""WITH {PHONES} SELECT count(*) AS false_positive_count, 0::BIGINT AS weak_vowel_rows, 0::BIGINT AS weak_vowel_phones, count(*) FILTER (duration_ms < 50) AS short_duration_count,
+    count(*) FILTER (prob_correct >= 0.75) AS high_prob_correct_count FROM phones WHERE decision = 1 AND gold = 0""")
+def alarm_summary(spark, sf_dir):
+    from ..operators.reports import alarm_summary as alarms
+
+    return alarms(phones(spark, sf_dir), (F.col("decision") == 1) & (F.col("gold") == 0))
+
+
+@query("score_summary", f"""WITH {PHONES} SELECT 'duration_ms' AS score, count(duration_ms) AS n, count(DISTINCT duration_ms) AS distinct_values, min(duration_ms) AS least, round(quantile_cont(duration_ms, 0.25), 6) AS q25,
+    round(median(duration_ms), 6) AS median, round(quantile_cont(duration_ms, 0.75), 6) AS q75, max(duration_ms) AS greatest, round(avg(duration_ms), 6) AS mean, false AS constant FROM phones""")
+def score_summary(spark, sf_dir):
+    from ..operators.reports import score_summary as summary
+
+    return summary(phones(spark, sf_dir), ["duration_ms"])
+
+
+@query("duration_priors", f"WITH {PHONES} SELECT target_phone, median(duration_ms) AS median_ms, count(*) AS n FROM phones WHERE gold = 0 AND split = 0 GROUP BY 1")
+def duration_priors(spark, sf_dir):
+    from ..operators.reports import duration_priors as priors
+
+    return priors(phones(spark, sf_dir), "target_phone", "duration_ms", F.expr("gold = 0 AND split = 0"))
+
+
+@query("word_labels", """WITH w AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_discount * 20 >= 1.5) AS good, count(*) FILTER (l_discount * 20 >= 0.5 AND l_discount * 20 < 1.5) AS fair, count(*) FILTER (l_discount * 20 < 0.5) AS poor,
+        bool_or(l_quantity < 3) AS missing FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, n, good, fair, poor, CASE WHEN 2 * good > n THEN 'word_correct' WHEN 2 * fair > n AND poor = 0 THEN 'acceptable_accent' WHEN poor > 0 AND missing THEN 'deletion_or_missing' WHEN poor > 0 THEN 'mispronounced'
+        WHEN good > 0 THEN 'word_correct' ELSE 'acceptable_accent' END AS word_label FROM w""")
+def word_labels(spark, sf_dir):
+    from ..operators.reports import word_label_from_scores
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 20).alias("s"), "l_quantity")
+    return word_label_from_scores(rows, ["l_orderkey"], "s", F.col("l_quantity") < 3)
+
+
+@query("boundary_errors", """WITH e AS (SELECT abs(l_extendedprice / 100 - l_quantity * 10) AS e FROM lineitem) SELECT count(*) AS boundaries, round(median(e), 6) AS median_ms, round(quantile_cont(e, 0.75), 6) AS p75_ms,
+    round(avg((e <= 50)::INTEGER), 6) AS within_50_ms, round(avg((e <= 100)::INTEGER), 6) AS within_100_ms FROM e""")
+def boundary_errors(spark, sf_dir):
+    from ..operators.reports import boundary_errors as errors
+
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 100).alias("p"), (F.col("l_quantity") * 10).alias("g"))
+    return errors(rows, "p", "g")
+
+
+@query("deletion_policies", f"""WITH {PHONES} SELECT 'confirmed' AS policy, count(*) FILTER (gold = 1 AND error_score >= 0.8) AS tp, count(*) FILTER (gold = 0 AND error_score >= 0.8) AS fp, count(*) FILTER (gold = 1 AND error_score < 0.8) AS fn FROM phones
+    UNION ALL SELECT 'possible', count(*) FILTER (gold = 1 AND error_score >= 0.5), count(*) FILTER (gold = 0 AND error_score >= 0.5), count(*) FILTER (gold = 1 AND error_score < 0.5) FROM phones""")
+def deletion_policies(spark, sf_dir):
+    from ..operators.reports import deletion_policies as policies
+
+    return policies(phones(spark, sf_dir), F.col("gold") == 1, {"confirmed": F.col("error_score") >= 0.8, "possible": F.col("error_score") >= 0.5})
+
+
+@query("corpus_counts", "SELECT o_orderstatus, count(*) AS rows, count(DISTINCT o_custkey) AS speakers FROM orders GROUP BY 1")
+def corpus_counts(spark, sf_dir):
+    from ..operators.reports import corpus_counts as counts
+
+    return counts(table(spark, sf_dir, "orders"), "o_orderstatus", "o_custkey")
+
+
+@query("false_alarms_by_phone", f"WITH {PHONES} SELECT target_phone, phone_group, count(*) AS false_positive_count FROM phones WHERE decision = 1 AND gold = 0 GROUP BY 1, 2")
+def false_alarms_by_phone(spark, sf_dir):
+    from ..operators.reports import false_alarms
+
+    return false_alarms(phones(spark, sf_dir), ["target_phone", "phone_group"], (F.col("decision") == 1) & (F.col("gold") == 0))
