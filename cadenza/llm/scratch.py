@@ -6,9 +6,12 @@ Lineage is cut by writing Parquet below the folder that the cluster names in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -63,6 +66,21 @@ def clear(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package shipped to the executors, whose modules keep their caches between tasks."""
+    """``df.mapInArrow`` with this package shipped to the executors, whose modules keep their caches between tasks.
+
+    A worker lives on after its task; what the task has freed goes back to the system.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow's pool and of the C library, where it can, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
