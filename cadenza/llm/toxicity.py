@@ -38,8 +38,9 @@ FOLDS, CURVE_FOLD, CACHED_WORDS, FEATURES = 5, 1, 100_000, 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def words(text: str) -> dict[str, None]:
+    """The distinct words of a text, in order."""
+    return dict.fromkeys(_WORD.findall(text.lower()))
 
 
 def grams(word: str):
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(TRAIN_ROWS)  # documented bound of the sample; 12 bytes a row when broadcast
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(marked), "doc_id").select("text", "toxic", (_fold("doc_id") == CURVE_FOLD).alias("held"))
+    rows = rows.join(F.broadcast(marked), "doc_id").select("text", "toxic", (_fold("doc_id") == CURVE_FOLD).alias("held"), F.xxhash64("doc_id").alias("place"))
     counted = rows.where("not held").select("text", "toxic")
 
     def summed(source, add):
@@ -166,10 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measure(batches):
         for batch in batches:
             x = np.array([sent.value.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(1)), *[pa.array(x[:, i]) for i in range(FEATURES)]], ["y", *"abcd"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(FEATURES)], batch.column(2)], ["y", *"abcd", "place"])
 
-    held = rows.where("held").select("text", "toxic")
-    sample = arrow_map(held, measure, "y int, a double, b double, c double, d double").limit(CURVE_ROWS).toArrow()
+    held = rows.where("held").select("text", "toxic", "place")
+    measured = arrow_map(held, measure, "y int, a double, b double, c double, d double, place long")
+    sample = measured.orderBy("place", "a", "y").limit(CURVE_ROWS).toArrow()  # CURVE_ROWS rows
     sent.unpersist()
     y = sample.column(0).to_numpy().astype(float)
     if 0 < y.sum() < len(y):
