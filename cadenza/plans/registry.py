@@ -845,3 +845,75 @@ def false_alarms_by_phone(spark, sf_dir):
     from ..operators.reports import false_alarms
 
     return false_alarms(phones(spark, sf_dir), ["target_phone", "phone_group"], (F.col("decision") == 1) & (F.col("gold") == 0))
+
+
+@query("policy_comparison", f"""WITH {PHONES}, l AS (SELECT gold, unnest([{{'policy': 'main', 'd': decision, 's': error_score}}, {{'policy': 'short', 'd': (duration_ms < 10)::INTEGER, 's': duration_ms}}]) AS x FROM phones)
+    SELECT x.policy AS policy, count(*) AS n, count(*) FILTER (x.d = 1) AS errors, count(*) FILTER (x.d = 1 AND gold = 1) AS hits, round(avg(x.s), 6) AS mean_score FROM l GROUP BY 1""")
+def policy_comparison(spark, sf_dir):
+    from ..operators.projections import policies
+
+    rows = phones(spark, sf_dir).withColumn("short", (F.col("duration_ms") < 10).cast("int"))
+    long = policies(rows, ["gold"], {"main": ("decision", "error_score"), "short": ("short", "duration_ms")})
+    hit = F.col("policy_decision") == "1"
+    return long.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("errors"), F.count_if(hit & (F.col("gold") == 1)).alias("hits"), F.round(F.avg("policy_score"), 6).alias("mean_score"))
+
+
+@query("cascade_scores", """SELECT l_returnflag, count(*) AS n, count(*) FILTER (o_orderkey IS NOT NULL) AS candidates, round(sum(coalesce(o_totalprice, 0)), 2) AS total FROM lineitem
+    LEFT JOIN (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey GROUP BY 1""")
+def cascade_scores(spark, sf_dir):
+    from ..operators.projections import cascade_scores as cascade
+
+    candidates = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("verifier_score"))
+    scored = cascade(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag"), candidates, ["l_orderkey"])
+    return scored.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("candidate_label").cast("long").alias("candidates"), F.round(F.sum("cascade_score"), 2).alias("total"))
+
+
+@query("group_pr_summary", f"""WITH {PHONES}, {curve('target_phone')}, a AS (SELECT target_phone, round({_ratio('sum(pos * (2 * (negatives - fp) + neg))', '2 * max(positives) * max(negatives)', '0.5')}, 6) AS auc,
+        round({_ratio('sum(pos::DOUBLE * tp / (tp + fp))', 'max(positives)')}, 6) AS average_precision FROM curve GROUP BY 1),
+    b AS (SELECT target_phone, threshold, prec, rec FROM points WHERE positives > 0 QUALIFY row_number() OVER (PARTITION BY target_phone ORDER BY {_ORDER}) = 1)
+    SELECT target_phone, threshold, prec AS "precision", rec AS recall, prec >= 0.36 AS found, auc, average_precision, round({_ratio('2 * prec * rec', 'prec + rec')}, 6) AS f1, prec >= 0.36 AND rec >= 0.05 AS accepted FROM b JOIN a USING (target_phone)""")
+def group_pr_summary(spark, sf_dir):
+    from ..operators.projections import group_pr_summary as summary
+
+    return summary(phones(spark, sf_dir), "target_phone", "error_score", "gold", 0.36)
+
+
+@query("operating_points", f"""WITH {PHONES}, {curve()} SELECT m::DOUBLE AS most_fpr, threshold, rec AS recall, fpr FROM points, (VALUES (0.1), (0.3), (0.5)) v(m) WHERE fpr <= m
+    QUALIFY row_number() OVER (PARTITION BY m ORDER BY rec DESC, threshold DESC) = 1""")
+def operating_points(spark, sf_dir):
+    from ..operators.projections import operating_points as points
+
+    return points(phones(spark, sf_dir), "error_score", "gold", [0.1, 0.3, 0.5])
+
+
+@query("word_flags", """WITH w AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber * 60.0::DOUBLE + l_quantity) - min(l_linenumber * 60.0::DOUBLE) AS d FROM lineitem GROUP BY 1)
+    SELECT n >= 4 AND d < greatest(80, n * 20) AS possible_missing_word, sum(n)::BIGINT AS phones FROM w GROUP BY 1""")
+def word_flags(spark, sf_dir):
+    from ..operators.projections import with_word_flags
+
+    start = F.col("l_linenumber") * 60.0
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("start_ms"), (start + F.col("l_quantity")).alias("end_ms"), F.col("l_quantity").alias("duration_ms"))
+    return with_word_flags(rows, ["l_orderkey"]).groupBy("possible_missing_word").agg(F.count(F.lit(1)).alias("phones"))
+
+
+@query("diverse_words", """WITH w AS (SELECT o_custkey, upper(o_orderpriority) AS w, min(o_orderkey) AS i FROM orders GROUP BY 1, 2)
+    SELECT o_custkey, i AS o_orderkey, w AS o_orderpriority FROM w QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (CASE WHEN w = '5-LOW' THEN 0 ELSE 1 END), i) <= 2""")
+def diverse_words(spark, sf_dir):
+    from ..operators.projections import diverse_words as diverse
+
+    return diverse(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority", ["5-LOW"], 2)
+
+
+@query("audit_view", "SELECT o_orderkey::VARCHAR AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, '' AS notes FROM orders")
+def audit_view(spark, sf_dir):
+    from ..operators.projections import view
+
+    return view(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "notes"])
+
+
+@query("translated_labels", "SELECT CASE WHEN o_totalprice < 50000 THEN 'bad_alignment' WHEN o_orderstatus = 'F' THEN 'true_error' WHEN o_orderstatus = 'O' THEN 'correct' ELSE o_orderstatus END AS e2e_label, count(*) AS n FROM orders GROUP BY 1")
+def translated_labels(spark, sf_dir):
+    from ..operators.projections import translated
+
+    rows = translated(table(spark, sf_dir, "orders"), "o_orderstatus", {"F": "true_error", "O": "correct"}, "e2e_label", F.col("o_totalprice") < 50000, "bad_alignment")
+    return rows.groupBy("e2e_label").agg(F.count(F.lit(1)).alias("n"))
