@@ -301,6 +301,29 @@ def ctc_best_path(log_probs: np.ndarray, labels: Sequence[int], blank: int = 0)
     return np.array(path[::-1])
 
 
+def label_frames(states: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """SQ-33: the frames of a best path that belong to the labels start..stop."""
+    return np.flatnonzero((states % 2 == 1) & (states // 2 >= start) & (states // 2 < stop))
+
+
+def path_log_probability(log_probs: np.ndarray, states: np.ndarray, labels: Sequence[int], start: int, stop: int) -> float | None:
+    """SQ-16: mean log probability along a best path of the labels start..stop; None if no frame is theirs."""
+    at = label_frames(states, start, stop)
+    return float(log_probs[at, np.asarray(labels)[states[at] // 2]].mean()) if len(at) else None
+
+
+def span_margin(logits: np.ndarray, frames: np.ndarray, target: Sequence[int], rivals: Mapping[str, Sequence[int]]) -> tuple[float, str] | None:
+    """SQ-15, SQ-34: the target's score in some frames less that of its best rival, and who that is; None without frames or rivals.
+
+    A score is the mean over tokens of a token's greatest logit.
+    """
+    if not len(frames) or not rivals:
+        return None
+    score = lambda tokens: float(logits[frames][:, list(tokens)].max(axis=0).mean())
+    best = max(rivals, key=lambda name: score(rivals[name]))
+    return score(target) - score(rivals[best]), best
+
+
 def deletion_margins(log_probs: np.ndarray, labels: Sequence[int], spans: Sequence[tuple[int, int]], blank: int = 0, temperature: float = 3.0) -> list[dict]:
     """SQ-17: for each span of labels how much likelier the sequence is without it, per label, and that as a 0..1 score."""
     whole = ctc_log_probability(log_probs, labels, blank)

@@ -139,6 +139,19 @@ def test_ctc_against_enumeration():
     assert 0 < found["score"] < 1
 
 
+def test_path_scores():
+    logits = np.full((6, 4), -4.0)
+    for frame, label in enumerate((1, 1, 0, 2, 2, 3)):
+        logits[frame, label] = 4.0
+    logs = logits - np.logaddexp.reduce(logits, axis=1, keepdims=True)
+    states = sequences.ctc_best_path(logs, [1, 2, 3])
+    assert sequences.label_frames(states, 1, 2).tolist() == [3, 4]
+    assert sequences.path_log_probability(logs, states, [1, 2, 3], 0, 3) > -0.01
+    assert sequences.path_log_probability(logs, states, [1, 2, 3], 3, 3) is None
+    assert sequences.span_margin(logits, np.array([3, 4]), [2], {"A": [1], "B": [3]})[0] == 8.0
+    assert sequences.span_margin(logits, np.array([], int), [2], {"A": [1]}) is None
+
+
 def test_word_deletions_ctc(spark):
     rng = np.random.default_rng(2)
     frames = [("u", t, rng.normal(size=4).tolist()) for t in range(8)]
