@@ -11,26 +11,34 @@ length-normalised difference of its two log-likelihoods: over the whole text, an
 over its most toxic words; a logistic curve, fitted on labelled rows that no
 count saw, turns these into a probability.
 
-Counting is a distributed ``groupBy`` over all training rows. The model that
-goes to the tasks is bounded by NGRAMS, whatever the corpus.
+Counting is a distributed ``groupBy`` over all training rows, and the model is a
+stored table that grows with the corpus: every string with LEAST words is in it.
+A model of up to STRINGS strings goes to the tasks as sorted arrays. A larger one
+stays a table that the distinct words of the texts are joined with, and then the
+gains of the SENT most frequent words go to the tasks, those of all other words
+are joined with the texts that hold them. The scores are the same.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import arrow_map
+from .scratch import arrow_map, materialize
 
-#: Labelled rows that are used at most (those with the least hash of their id), and of these for the curve.
-TRAIN_ROWS, CURVE_ROWS = 200_000, 20_000
-#: Strings of the model (the most frequent), the words that must hold one, and the discount of a count.
-NGRAMS, LEAST, DISCOUNT = 400_000, 3, 1.5
+#: Labelled rows for the curve at most (those with the least hash of their id); all others are counted.
+CURVE_ROWS = 20_000
+#: Words that must hold a string of the model, and the discount of a count.
+LEAST, DISCOUNT = 3, 1.5
+#: The strings of a model that is sent to the tasks (a larger one is joined), and then the words whose gains are sent (others are joined).
+STRINGS, SENT = 2_000_000, 400_000
 #: Characters of the longest strings, and of the longest strings whose counts the classes share.
 ORDER, SHARED_ORDER = 6, 1
 FOLDS, CURVE_FOLD, CACHED_WORDS, FEATURES = 5, 1, 100_000, 4
@@ -51,47 +59,101 @@ def grams(word: str):
             yield padded[start:end]
 
 
+def substrings(word: str):
+    """(end, size, string) of the strings of up to ORDER characters of a word."""
+    padded = f"^{word}$"
+    for end in range(1, len(padded) + 1):
+        for start in range(max(0, end - ORDER), end):
+            yield end, end - start, padded[start:end]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _keys(codes: np.ndarray) -> list[np.ndarray]:
+    """By size 0 to ORDER, the 64-bit hashes of the strings of that size that end at each character."""
+    keys = [np.zeros(len(codes), np.uint64)]
+    for _ in range(ORDER):
+        before = np.concatenate((keys[0][:1], keys[-1][:-1]))
+        keys.append(_mixed(before + (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    return keys
+
+
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of the strings one after another, and the length of each string."""
+    return np.frombuffer("".join(strings).encode("utf-32-le"), "<u4"), np.fromiter(map(len, strings), np.int64, len(strings))
+
+
+class Strings:
+    """The strings of a model as arrays sorted by hash: ratio and back are NaN where a string has none."""
+
+    def __init__(self, key: np.ndarray, ratio: np.ndarray, back: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.ratio, self.back, self.known = key[order], ratio[order], back[order], {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def _found(self, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, values[at], np.nan)
+
+    def gains(self, words: list[str]) -> np.ndarray:
+        """Difference of the log-likelihoods of each word."""
+        codes, sizes = _codes([f"^{w}$" for w in words])
+        keys, own = _keys(codes), np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        total, left = np.zeros(len(codes)), place >= SHARED_ORDER
+        for size in range(ORDER, SHARED_ORDER, -1):
+            at = np.flatnonzero(left & (place >= size - 1))
+            ratio = self._found(self.ratio, keys[size][at])
+            absent = np.isnan(ratio)
+            total[at] += np.where(absent, 0.0, ratio)
+            left[at[~absent]] = False
+            total[at[absent]] += np.nan_to_num(self._found(self.back, keys[size - 1][at[absent] - 1]))
+        return np.bincount(own, total, len(words))
+
+    def look_up(self, words: list[str]) -> None:
+        """Put the gains of the words into ``known``, which forgets when it is full."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
+            new = words
+        self.known.update(zip(new, self.gains(new).tolist()))
+
+
 @dataclass
 class Model:
-    ratio: dict[str, float]  # string: log ratio of its last character's probabilities after the others
-    back: dict[str, float]  # context: log ratio of the backoff weights
+    strings: DataFrame  # s, ratio: log ratio of its last character's probabilities, back: log ratio of the backoff weights after it
     curve: np.ndarray | None = None
-    known: dict[str, float] = field(default_factory=dict)
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    def arrays(self) -> Strings | None:
+        """The model for the tasks; none if it has more than STRINGS strings."""
+        if self.strings.count() > STRINGS:
+            return None
+
+        def hashed(batches):
+            for batch in batches:
+                codes, sizes = _codes(batch.column(0).to_pylist())
+                keys = np.stack(_keys(codes))[sizes, np.cumsum(sizes) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1), batch.column(2)], ["key", "ratio", "back"])
+
+        own = arrow_map(self.strings, hashed, "key long, ratio double, back double").toArrow()  # STRINGS rows
+        values = [own.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3)]
+        return Strings(values[0].view(np.uint64), *[v.astype(float) for v in values[1:]])
 
-    def gain(self, word: str) -> float:
-        """Difference of the log-likelihoods of a word."""
-        padded, total = f"^{word}$", 0.0
-        for end in range(2, len(padded) + 1):
-            for start in range(max(0, end - ORDER), end - 1):
-                if (found := self.ratio.get(padded[start:end])) is not None:
-                    total += found
-                    break
-                total += self.back.get(padded[start : end - 1], 0.0)
-        return total
-
-    def features(self, text: str) -> list[float]:
-        """The difference per word, by the square root of the words, of the most toxic word, and of the three most toxic."""
-        own, known = words(text), self.known
-        if not own:
-            return [0.0] * FEATURES
-        gains = []
-        for w in own:
-            if (g := known.get(w)) is None:
-                g = self.gain(w)
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                if len(w) <= 40:
-                    known[w] = g
-            gains.append(g)
-        total, top = sum(gains), sorted(gains)[-3:]
-        return [total / len(gains), total / len(gains) ** 0.5, top[-1], sum(top) / 3]
-
-    def score(self, text: str) -> float:
-        x = np.array([1.0, *self.features(text)])
-        return float(1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))))
+
+def measures(gains: list[float]) -> list[float]:
+    """The difference per word, by the square root of the words, of the most toxic word, and of the three most toxic."""
+    if not gains:
+        return [0.0] * FEATURES
+    total, top = math.fsum(gains), sorted(gains)[-3:]
+    return [total / len(gains), total / len(gains) ** 0.5, top[-1], sum(top) / 3]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -115,18 +177,12 @@ def _fold(column):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled rows of ``docs`` whose fold is not 0; with one class only, every score is that class's share."""
-    spark = docs.sparkSession
-    marked = (
-        labels.where("doc_id is not null and toxic is not null")
-        .where(_fold("doc_id") != 0)
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(TRAIN_ROWS)  # documented bound of the sample; 12 bytes a row when broadcast
-    )
+    marked = labels.where("doc_id is not null and toxic is not null").where(_fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(marked), "doc_id").select("text", "toxic", (_fold("doc_id") == CURVE_FOLD).alias("held"), F.xxhash64("doc_id").alias("place"))
-    counted = rows.where("not held").select("text", "toxic")
+    place = F.xxhash64("doc_id")
+    known = marked.where(_fold("doc_id") == CURVE_FOLD).join(rows.select("doc_id"), "doc_id", "left_semi")
+    aside = materialize(known.orderBy(place, "doc_id").limit(CURVE_ROWS), "curve")  # CURVE_ROWS rows
+    counted = rows.join(marked.join(F.broadcast(aside.select("doc_id")), "doc_id", "left_anti"), "doc_id").select("text", "toxic")
 
     def summed(source, add):
         """Rows (s, toxic, ordinary): what ``add`` puts into a table of counts, in parts of bounded size."""
@@ -160,19 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             own[g][1] += row[2]
 
     counts = summed(summed(counted, add_words), add_grams).where(F.col("toxic") + F.col("ordinary") >= LEAST)
-    top = counts.orderBy(F.desc(F.expr("toxic + ordinary")), "s").limit(NGRAMS).toArrow()  # NGRAMS rows
-    model = _estimate(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist()))))
-    sent = spark.sparkContext.broadcast(model)
-
-    def measure(batches):
-        for batch in batches:
-            x = np.array([sent.value.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x[:, i]) for i in range(FEATURES)], batch.column(2)], ["y", *"abcd", "place"])
-
-    held = rows.where("held").select("text", "toxic", "place")
-    measured = arrow_map(held, measure, "y int, a double, b double, c double, d double, place long")
-    sample = measured.orderBy("place", "a", "y").limit(CURVE_ROWS).toArrow()  # CURVE_ROWS rows
-    sent.unpersist()
+    model = Model(_estimate(materialize(counts, "counts")))
+    held = rows.join(F.broadcast(aside), "doc_id").select("text", F.col("toxic").alias("y"), place.alias("place"))
+    sample = _measured(held, model, ["y", "place"], "text").orderBy("place", "a", "y").limit(CURVE_ROWS).select("y", *"abcd").toArrow()  # CURVE_ROWS rows
     y = sample.column(0).to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         model.curve = logistic(np.column_stack([sample.column(i).to_numpy() for i in range(1, FEATURES + 1)]), y)
@@ -182,58 +228,147 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _estimate(counts: dict[str, tuple[int, int]]) -> Model:
-    """Kneser-Ney log ratios of the strings in ``counts`` (toxic and ordinary words that hold them)."""
-    continued, followed = defaultdict(set), defaultdict(int)
-    for g in counts:
-        if len(g) == SHARED_ORDER + 1:
-            continued[g[1:]].add(g[0])
-    shared = {g: len(continued[g]) + 0.5 for g in counts if len(g) <= SHARED_ORDER}
-    for g, n in shared.items():
-        followed[g[:-1]] += n
-    base = {g: n / followed[g[:-1]] for g, n in shared.items()}
-
-    totals = defaultdict(lambda: [0, 0, 0, 0])  # by context: counts and kinds of the next character in either class
-    for g, pair in counts.items():
-        own = totals[g[:-1]]
-        for c in (0, 1):
-            own[c] += pair[c]
-            own[c + 2] += min(pair[c], DISCOUNT)
-    probability: list[dict[str, float]] = [dict(base), dict(base)]
-    ratio, back = dict.fromkeys(base, 0.0), {}
-    for g in sorted(counts, key=len):
-        if len(g) <= SHARED_ORDER:
-            continue
-        own = totals[g[:-1]]
-        for c in (0, 1):
-            lower = probability[c].get(g[1:], 1e-3)
-            weight = own[c + 2] / own[c] if own[c] else 1.0
-            probability[c][g] = (max(counts[g][c] - DISCOUNT, 0) / own[c] if own[c] else 0.0) + weight * lower
-        ratio[g] = float(np.log(probability[0][g] / probability[1][g]))
-    for h, own in totals.items():
-        if len(h) >= SHARED_ORDER:
-            weights = [own[c + 2] / own[c] if own[c] else 1.0 for c in (0, 1)]
-            back[h] = float(np.log(weights[0] / weights[1]))
-    return Model(ratio, back)
+def _estimate(counts: DataFrame) -> DataFrame:
+    """Kneser-Ney log ratios (s, ratio, back) of the strings in ``counts`` (s; toxic and ordinary words that hold it)."""
+    classes = ("toxic", "ordinary")
+    counts = counts.select("s", F.length("s").alias("size"), F.expr("left(s, length(s) - 1)").alias("h"), F.expr("substring(s, 2)").alias("lower"), *classes)
+    kinds = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
+    sums = counts.groupBy("h").agg(*[F.sum(c).alias(f"all_{c}") for c in classes], *[kinds(c).alias(f"kinds_{c}") for c in classes])
+    weights = [F.when(F.col(f"all_{c}") > 0, F.col(f"kinds_{c}") / F.col(f"all_{c}")).otherwise(1.0).alias(f"w_{c}") for c in classes]
+    totals = materialize(sums.select("h", *[f"all_{c}" for c in classes], *weights), "totals")
+
+    preceded = counts.where(F.col("size") == SHARED_ORDER + 1).groupBy(F.col("lower").alias("s")).agg(F.count("*").alias("k"))
+    shared = counts.where(F.col("size") == SHARED_ORDER).select("s").join(preceded, "s", "left").select("s", (F.coalesce("k", F.lit(0)) + 0.5).alias("n"))
+    base = shared.crossJoin(F.broadcast(shared.agg(F.sum("n").alias("sum"))))  # SHARED_ORDER is 1: one context
+    level = materialize(base.select("s", *[(F.col("n") / F.col("sum")).alias(f"p_{c}") for c in classes]), "level")
+    levels = []
+    for size in range(SHARED_ORDER + 1, ORDER + 1):
+        below = level.select(F.col("s").alias("lower"), *[F.col(f"p_{c}").alias(f"below_{c}") for c in classes])
+        found = counts.where(F.col("size") == size).join(totals, "h").join(below, "lower", "left")
+        own = [F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) for c in classes]
+        level = materialize(
+            found.select("s", *[(n + F.col(f"w_{c}") * F.coalesce(f"below_{c}", F.lit(1e-3))).alias(f"p_{c}") for n, c in zip(own, classes)]), "level"
+        )
+        levels.append(level)
+    ratio = reduce(DataFrame.unionByName, levels).select("s", F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("ratio"))
+    back = totals.where(F.length("h") >= SHARED_ORDER).select(F.col("h").alias("s"), F.log(F.col("w_toxic") / F.col("w_ordinary")).alias("back"))
+    return materialize(ratio.join(back, "s", "full"), "strings")
+
+
+def _gains(texts: DataFrame, model: Model) -> DataFrame:
+    """(word, n, gain) of the distinct words of a column of texts: how many texts hold it, and the difference of its log-likelihoods."""
+
+    def count(batches):
+        own = defaultdict(int)
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for w in words(text):
+                    own[w] += 1
+                if len(own) > 200_000:
+                    yield flush()
+                    own.clear()
+        if own:
+            yield flush()
+
+    def cut(batches):
+        names = ["word", "last", "size", "s"]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.string()]
+        out = []
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                for found in substrings(w):
+                    out.append((w, *found))
+                    if len(out) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    vocabulary = materialize(arrow_map(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    parts = arrow_map(vocabulary.select("word"), cut, "word string, last int, size int, s string").join(model.strings, "s")
+    # a string is the end of a longest match, and the context of the character behind it
+    roles = F.array(
+        F.struct("last", "size", "ratio", F.lit(None).cast("double").alias("back")),
+        F.struct((F.col("last") + 1).alias("last"), (F.col("size") + 1).alias("size"), F.lit(None).cast("double").alias("ratio"), "back"),
+    )
+    roles = parts.select("word", F.explode(roles).alias("x")).select("word", "x.*").where("ratio is not null or back is not null")
+    sizes = range(SHARED_ORDER + 1, ORDER + 1)
+    by_end = roles.groupBy("word", "last").agg(
+        F.max(F.when(F.col("ratio").isNotNull(), F.struct("size", "ratio"))).alias("found"), *[F.sum(F.when(F.col("size") == k, F.col("back"))).alias(f"b{k}") for k in sizes]
+    )
+    longest = F.coalesce("found.size", F.lit(0))
+    gain = F.coalesce("found.ratio", F.lit(0.0)) + sum(F.when(longest < k, F.coalesce(f"b{k}", F.lit(0.0))).otherwise(0.0) for k in sizes)
+    # the last character has none behind it; sums in any order are equal once rounded
+    summed = by_end.where(F.col("last") <= F.length("word") + 2).groupBy("word").agg(F.round(F.sum(gain), 9).alias("gain"))
+    return materialize(vocabulary.join(summed, "word", "left").select("word", "n", F.coalesce("gain", F.lit(0.0)).alias("gain")), "gains")
+
+
+def _joined(docs: DataFrame, source: DataFrame, model: Model, text_col: str):
+    """The gains of the SENT most frequent words, and ``source`` with more: the gains of the other words of own_text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    gains = _gains(docs.select(text.alias("text")), model)
+    frequent = materialize(gains.orderBy(F.desc("n"), "word").limit(SENT), "frequent")
+    rest = materialize(gains.join(frequent.select("word"), "word", "left_anti").select("word", "gain"), "rest")
+    own = frequent.select("word", "gain").toArrow()  # SENT rows
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(own.column(0).to_pylist(), own.column(1).to_pylist())))
+
+    def others(batches):
+        for batch in batches:
+            out = [(k, w) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for w in words(t) if w not in sent.value]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["own_key", "word"])
 
+    # equal texts have equal words, so the key of a row is its text's hash
+    held = arrow_map(docs.select(F.sha2(text, 256).alias("own_key"), text.alias("text")), others, "own_key string, word string").distinct()
+    more = materialize(held.join(rest, "word").groupBy("own_key").agg(F.sort_array(F.collect_list("gain")).alias("more")), "more")
+    return sent, source.withColumn("own_key", F.sha2("own_text", 256)).join(more, "own_key", "left").drop("own_key")
 
-def score(docs: DataFrame, model: Model, carried: list[str], text_col: str = "text") -> DataFrame:
-    """The ``carried`` columns of every row, and score: the probability that its text is toxic.
 
-    A null text is empty; a text without words gets the score of no evidence.
-    """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+def _measured(docs: DataFrame, model: Model, carried: list[str], text_col: str) -> DataFrame:
+    """The ``carried`` columns of every row and the FEATURES of its text, a to d."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.coalesce(F.col(text_col), F.lit("")).alias("own_text"))
+    names, arrays = [f"c{i}" for i in range(len(carried))], model.arrays()
+    if arrays is None:
+        sent, source = _joined(docs, source, model, text_col)
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast(arrays)
+
+    def from_words(batch):
+        for t, more in zip(batch.column("own_text").to_pylist(), batch.column("more").to_pylist()):
+            yield measures([g for g in map(sent.value.get, words(t)) if g is not None] + (more or []))
+
+    def from_strings(batch):
+        texts = batch.column("own_text").to_pylist()
+        for i in range(0, len(texts), 64):
+            own = [list(words(t)) for t in texts[i : i + 64]]
+            sent.value.look_up(list(dict.fromkeys(w for ws in own for w in ws)))
+            yield from (measures(list(map(sent.value.known.__getitem__, ws))) for ws in own)
+
+    measure = from_words if arrays is None else from_strings
+    del arrays
 
     def run(batches):
         for batch in batches:
-            scores = [sent.value.score(t) for t in batch.column(len(carried)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(scores, pa.float64())], [*[f"c{i}" for i in range(len(carried))], "score"])
+            x = np.array([*measure(batch)], float).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *[pa.array(x[:, i]) for i in range(FEATURES)]], [*names, *"abcd"])
+
+    schema = ", ".join([*[f"{n} {kinds[c]}" for n, c in zip(names, carried)], *[f"{x} double" for x in "abcd"]])
+    measured = arrow_map(source, run, schema)
+    return measured.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], *"abcd")
+
 
-    schema = ", ".join([*[f"c{i} {kinds[c]}" for i, c in enumerate(carried)], "score double"])
-    return arrow_map(source, run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)})
+def score(docs: DataFrame, model: Model, carried: list[str], text_col: str = "text") -> DataFrame:
+    """The ``carried`` columns of every row, and score: the probability that its text is toxic.
+
+    A null text is empty; a text without words gets the score of no evidence.
+    """
+    renamed = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(carried)], F.col(text_col).alias("own_text"))
+    measured = _measured(renamed, model, [f"k{i}" for i in range(len(carried))], "own_text")
+    weighed = sum((F.col(x) * float(w) for x, w in zip("abcd", model.curve[1:])), F.lit(float(model.curve[0])))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(weighed, F.lit(30.0)), F.lit(-30.0))))
+    return measured.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(carried)], score.alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
