@@ -12,7 +12,7 @@ recognises.
 
 The graph grows with the number of mentions, not of words; it is counted by
 ``groupBy`` with partial aggregation, so a pattern or value with a third of all
-mentions costs a task one row. At most PATTERNS patterns reach the tasks.
+mentions costs a task one row. All trusted patterns reach the tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .scratch import arrow_map, materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-#: Rounds of scoring; what a pattern needs; the most patterns that are sent to the tasks (the best supported).
-ROUNDS, SUPPORT, CONFIDENCE, PATTERNS = 3, 5, 0.8, 10_000
+#: Rounds of scoring; what a pattern needs.
+ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
 #: Weight of an unseen counterexample in a pattern's mean.
 DOUBT = 1.0
 
@@ -184,10 +184,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[str, float
         ),
         "patterns",
     )
-    best = (
-        final.where((F.col("p") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT)).orderBy(F.desc("n"), "pattern", "kind").limit(PATTERNS).collect()
-    )
-    return {x["pattern"]: (x["kind"], x["p"]) for x in best}
+    best = final.where((F.col("p") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT)).select("pattern", "kind", "p").orderBy("pattern", "kind").toArrow()
+    return {pattern: (kind, p) for pattern, kind, p in zip(*(c.to_pylist() for c in best.columns))}
 
 
 def find_spans(text: str, trusted: dict[str, tuple[str, float]]) -> list[tuple[str, int, int]]:
@@ -226,7 +224,7 @@ def personal_data(docs: DataFrame, carried: list[str], text_col: str = "text") -
     once as evidence; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(learn(docs, text_col))  # at most PATTERNS patterns
+    sent = spark.sparkContext.broadcast(learn(docs, text_col))  # all trusted patterns: they grow with the corpus
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.coalesce(F.col(text_col), F.lit("")).alias("own_text"))
     names = [f"c{i}" for i in range(len(carried))]

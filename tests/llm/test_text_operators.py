@@ -321,6 +321,15 @@ def test_patterns_find_identifiers_that_no_format_knows(spark, table):
     assert got[300].spans == "" and pii.personal_data(table([]), ["doc_id"]).count() == 0
 
 
+def test_no_trusted_pattern_is_dropped(spark, table):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    n = 3400  # three patterns each
+    rows = [(i, "\n".join(f"w{letters(i)} q{letters(i)} u{i}x{k}@example.com z{letters(i)}" for k in range(6))) for i in range(n)]
+    trusted = pii.learn(table(rows))
+    assert len(trusted) > 10_000
+    assert all(f"LR q{letters(i)} _ z{letters(i)} | 9a" in trusted for i in range(n))
+
+
 def test_redaction_joins_overlaps():
     assert pii.redact("ab12345cd", [("card", 2, 5), ("phone", 3, 7)]) == "ab<CARD>cd"
 
