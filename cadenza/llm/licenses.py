@@ -51,7 +51,7 @@ UNKNOWN = 0.3
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
-_TAGGED = re.compile(r"spdx-license-identifier\s*[:=]\s*([^\n]{1,1000})", re.I)
+_TAGGED = re.compile(r"spdx-license-identifier\s*[:=]\s*([^\n]+)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -119,17 +119,15 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     An expression may be followed by other words: the longest beginning that
     parses counts; none gives no label.
     """
-    tokens = _TOKEN.findall(expression)
-    cut = next((i for i in range(1, len(tokens)) if not _joins(tokens[i - 1], tokens[i])), len(tokens))
-    tokens = tokens[:cut]
-    while tokens:
-        try:
-            order = postfix(tokens)
+    tokens: list[str] = []
+    for m in _TOKEN.finditer(expression):
+        if tokens and not _joins(tokens[-1], m[0]):
             break
-        except ValueError:
-            tokens = tokens[:-1]
-    else:
+        tokens.append(m[0])
+    tokens = tokens[: _parsable(tokens)]
+    if not tokens:
         return set(), 1.0
+    order = postfix(tokens)
     values: list[tuple[set[str], float]] = []
     for token in order:
         if token in _PRECEDENCE:
@@ -137,13 +135,33 @@ def evaluate(expression: str) -> tuple[set[str], float]:
             if token == "with":
                 values.append(left)
             else:
-                values.append((left[0] | right[0], (min if token == "and" else max)(left[1], right[1])))
+                less, most = sorted((left[0], right[0]), key=len)
+                most |= less  # in place: long expressions stay linear
+                values.append((most, (min if token == "and" else max)(left[1], right[1])))
         else:
             label = label_of(token)
             values.append(({label}, FREEDOM.get(label, UNKNOWN)))
     return values[0]
 
 
+def _parsable(tokens: list[str]) -> int:
+    """How many tokens the longest beginning that parses has."""
+    depth, operand, best = 0, True, 0
+    for i, token in enumerate(tokens, 1):
+        closes = token == ")"
+        if closes or token.lower() in _PRECEDENCE:
+            if operand or (closes and not depth):
+                break
+            depth, operand = depth - closes, not closes
+        elif not operand:
+            break
+        else:
+            depth, operand = depth + (token == "("), token == "("
+        if not operand and not depth:
+            best = i
+    return best
+
+
 def _joins(left: str, right: str) -> bool:
     """Whether two neighbouring tokens can belong to one expression."""
     ends = left.lower() not in _PRECEDENCE and left != "("

@@ -397,3 +397,24 @@ def test_licence_places(spark, table):
 )
 def test_expressions(text, labels, freedom):
     assert licenses.evaluate(text) == (labels, freedom)
+
+
+def test_long_expressions_are_read_whole():
+    names = [f"Foo-{i}" for i in range(20_000)]
+    found = licenses.scan(f"SPDX-License-Identifier: {' OR '.join(names)} AND (MIT OR GPL-2.0) see below MPL-2.0\nISC")
+    assert set(found[5].split(",")) == {*map(str.lower, names), "mit", "gpl"}
+    assert licenses.scan(f"SPDX-License-Identifier: {' AND '.join(['MIT'] * 300)} AND GPL-2.0")[5:] == ("gpl,mit", 0.5)
+
+
+def test_longest_beginning_that_parses():
+    random.seed(16)
+    for _ in range(5000):
+        tokens = random.choices(["(", ")", "and", "or", "with", "mit"], k=random.randint(0, 9))
+
+        def parses(n):
+            try:
+                return bool(licenses.postfix(tokens[:n]))
+            except ValueError:
+                return False
+
+        assert licenses._parsable(tokens) == max((n for n in range(1, len(tokens) + 1) if parses(n)), default=0)
