@@ -34,12 +34,16 @@ def top_similarities(queries: DataFrame, bank: DataFrame, query: str, item: str,
     return ranked.groupBy(query).agg(F.max("sim").alias("top1"), F.round(F.avg("sim"), 6).alias("topk_mean"))
 
 
-def retrieval_verifier(queries: DataFrame, bank: DataFrame, confusable: DataFrame, query: str, item: str, key: str, vector: str, k: int = 5, low: float = 0.15, least_margin: float = 0.03) -> DataFrame:
+def retrieval_verifier(queries: DataFrame, bank: DataFrame, confusable: DataFrame, query: str, item: str, key: str, vector: str, k: int = 5, low: float = 0.15, least_margin: float = 0.03, group: str | None = None) -> DataFrame:
     """ML-02, ML-03: similarity to the own key against that to its confusable keys (a table key, other), and a decision.
 
-    ``queries`` carries is_error, the main model's decision. A key without items has similarity 0.
+    ``queries`` carries is_error, the main model's decision. A key without items is compared with the items of its
+    ``group`` (a column of both tables); without these either, it has similarity 0.
     """
     same = top_similarities(queries, bank, query, item, key, vector, k)
+    if group:
+        bare = queries.join(bank.select(key).distinct(), key, "left_anti").where(F.col(group) != "")
+        same = same.unionByName(top_similarities(bare, bank, query, item, group, vector, k))
     others = confusable.select(F.col(key).alias("_key"), F.col("other").alias(key))
     asked = queries.withColumnRenamed(key, "_key").join(others, "_key").select(query, key, vector)
     crossed = top_similarities(asked, bank, query, item, key, vector, k).select(query, F.col("top1").alias("_other"))

@@ -183,6 +183,17 @@ def test_isolation_forest_ranks_outliers():
     assert forest.anomaly(np.full((1, 3), 8.0))[0] > np.quantile(forest.anomaly(x), 0.99)
 
 
+def test_retrieval_falls_back_on_the_group(spark):
+    bank = spark.createDataFrame([(1, "a", "v", [1.0, 0.0]), (2, "b", "v", [0.6, 0.8]), (3, "s", "f", [0.0, 1.0])], "item int, phone string, kind string, e array<double>")
+    asked = spark.createDataFrame(
+        [(10, "a", "v", [0.6, 0.8], 0), (11, "o", "v", [0.6, 0.8], 0), (12, "t", "p", [1.0, 0.0], 0), (13, "x", "", [1.0, 0.0], 0)],
+        "id int, phone string, kind string, e array<double>, is_error int",
+    )
+    confusable = spark.createDataFrame([("a", "s")], "phone string, other string")
+    found = retrieval.retrieval_verifier(asked, bank, confusable, "id", "item", "phone", "e", group="kind")
+    assert {r.id: (r.proto_same_sim_top1, r.proto_same_sim_topk_mean) for r in found.collect()} == {10: (0.6, 0.6), 11: (1.0, 0.8), 12: (0.0, 0.0), 13: (0.0, 0.0)}
+
+
 TEXTGRID = '''File type = "ooTextFile"
 Object class = "TextGrid"
 item []:
