@@ -71,9 +71,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import remove_repeats
+    from .suffix_dedup import PASSAGE, remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], passage=PASSAGE)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

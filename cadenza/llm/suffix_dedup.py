@@ -1,15 +1,17 @@
 """Removal of byte strings that repeat anywhere in a corpus.
 
-A byte goes if it lies in a string of ``LENGTH`` bytes that also starts
-elsewhere, in the same text or another. The search is a sparse suffix sort:
+A byte goes if it lies in a string of ``length`` bytes that also starts
+elsewhere, in the same text or another; on demand the string at the least place
+(by the hash of its text, then by position) stays. The search is a sparse suffix
+sort:
 
 * **Sampled suffixes.** A difference cover of fixed residues would keep 2/3 of
   all suffixes (dozens of bytes a byte of text). Here the cover is given by the content: of
-  each window of ``SPAN`` positions the position with the least hash of its
+  each window of ``span`` positions the position with the least hash of its
   ``GRAM`` bytes is sampled. Windows with equal bytes sample the same place, so
-  every string of LENGTH bytes owns exactly one sampled suffix at a distance
-  below SPAN, and equal strings own it at the same distance.
-* **Names.** A sampled suffix is named by the hash of the ``CORE`` bytes that all
+  every string of length bytes owns exactly one sampled suffix at a distance
+  below span, and equal strings own it at the same distance.
+* **Names.** A sampled suffix is named by the hash of the ``core`` bytes that all
   strings owning it have in common; a name that occurs once ends the search for
   its strings (nearly all text goes here). The recursion is one level: suffixes
   with a repeated name are named again by the bytes of all the strings they
@@ -23,43 +25,72 @@ Names are counted by ``groupBy`` with partial aggregation, so a passage that a
 third of all documents share costs a task one row. Groups with many different
 second names are compared by counting the names of their single strings, also
 by ``groupBy``; other groups are sorted and compared inside a task.
+
+Strings of a second, greater length are sought only where strings of the lesser
+length repeat one after another, since these hold all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import arrow_map, materialize
+from .scratch import arrow_map, materialize, read_back, remove, store
 
-LENGTH, SPAN, GRAM = 400, 256, 16
-CORE = LENGTH - SPAN + 1
+GRAM = 16
 #: String starts that are hashed at once; second names of a group that are compared by a dictionary of their strings,
-#: and those that one task sorts (under 100 MB).
-PIECE, FEW, SMALL_GROUP = 1 << 20, 48, 50_000
+#: those that one task sorts (a few MB), and string starts that are put together to runs at once.
+PIECE, FEW, SMALL_GROUP, TOGETHER = 1 << 20, 48, 2_000, 4_096
+#: Suffixes of a name that is joined in SALTS parts.
+MANY, SALTS = 1_000, 64
 _LOW = np.uint64(0xFFFFFFFF)
 
+
+@dataclass(frozen=True)
+class Cover:
+    """Strings of ``length`` bytes, of which each owns one of the ``span`` (a power of two) suffixes from its start on."""
+
+    length: int
+    span: int
+
+    @property
+    def core(self) -> int:
+        """The bytes from a sampled suffix on that all strings owning it have."""
+        return self.length - self.span + 1
+
+
+def cover(length: int) -> Cover:
+    """The greatest span of at most two thirds of the length."""
+    if length < 3 * GRAM:
+        raise ValueError(f"strings of {3 * GRAM} bytes at least")
+    return Cover(length, 1 << ((2 * length // 3).bit_length() - 1))
+
+
+#: Bytes of a string that goes, and of one that a passage of over 50 words reaches (51 words have 330 bytes or so, short ones 200).
+LENGTH, PASSAGE = 400, 200
+
 ANCHOR = "h1 long, h2 long, key long, ctx long, q int, lo int, hi int"
 
 
-def sampled(text: bytes):
+def sampled(text: bytes, by: Cover):
     """Yield (q, lo, hi): the sampled position q owns the strings that start in lo..hi."""
-    last = len(text) - LENGTH
+    last = len(text) - by.length
     for at in range(0, last + 1, PIECE):
-        owners = _owners(text[at : min(at + PIECE - 1, last) + LENGTH])
+        owners = _owners(text[at : min(at + PIECE - 1, last) + by.length], by)
         cuts = np.flatnonzero(np.diff(owners)) + 1
         lows = np.concatenate(([0], cuts))
         highs = np.concatenate((cuts - 1, [len(owners) - 1]))
         yield from zip((owners[lows] + at).tolist(), (lows + at).tolist(), (highs + at).tolist())
 
 
-def _owners(piece: bytes) -> np.ndarray:
-    """The sampled position of each string of LENGTH bytes that starts in ``piece``."""
+def _owners(piece: bytes, by: Cover) -> np.ndarray:
+    """The sampled position of each string that starts in ``piece``."""
     data = np.frombuffer(piece, np.uint8)
     words = np.zeros(len(data) - 7, np.uint64)
     for i in range(8):
@@ -69,10 +100,10 @@ def _owners(piece: bytes) -> np.ndarray:
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)  # ties go to the first position
     width = 1
-    while 2 * width <= SPAN:
+    while 2 * width <= by.span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    return (least & _LOW).astype(np.int64)[: len(data) - LENGTH + 1]
+    return (least & _LOW).astype(np.int64)[: len(data) - by.length + 1]
 
 
 def identity(text: bytes) -> tuple[int, int]:
@@ -104,16 +135,16 @@ def _batches(rows, names, types, size: int = 20_000):
 _I64, _I32 = pa.int64(), pa.int32()
 
 
-def _anchors(texts: DataFrame) -> DataFrame:
+def _anchors(texts: DataFrame, by: Cover) -> DataFrame:
     xx = xxhash.xxh64_intdigest
 
     def rows(batches):
         for batch in batches:
             for text in _texts(batch):
-                if len(text) >= LENGTH:
+                if len(text) >= by.length:
                     h1, h2 = identity(text)
-                    for q, lo, hi in sampled(text):
-                        yield (h1, h2, _signed(xx(text[q : q + CORE])), _signed(xx(text[lo : hi + LENGTH], q - lo)), q, lo, hi)
+                    for q, lo, hi in sampled(text, by):
+                        yield (h1, h2, _signed(xx(text[q : q + by.core])), _signed(xx(text[lo : hi + by.length], q - lo)), q, lo, hi)
 
     names, types = ["h1", "h2", "key", "ctx", "q", "lo", "hi"], [_I64] * 4 + [_I32] * 3
     return arrow_map(texts, lambda batches: _batches(rows(batches), names, types), ANCHOR)
@@ -136,12 +167,13 @@ def _with_identity(docs: DataFrame, carried: str, distinct: bool = False) -> Dat
     return arrow_map(docs, run, f"{carried}, h1 long, h2 long")
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the strings that unresolved suffixes own, with what ``wanted`` says of them."""
+def _contexts(texts: DataFrame, wanted: DataFrame, by: Cover) -> DataFrame:
+    """The bytes of the strings that unresolved suffixes own, with what ``wanted`` says of them; one row a suffix."""
     asked = wanted.groupBy("h1", "h2").agg(
         F.collect_list(F.struct("key", "ctx", "n", "names", "q", "lo", "hi")).alias("asked")
     )
-    found = _with_identity(texts, "text string", distinct=True).join(asked, ["h1", "h2"])
+    kind = texts.schema["text"].dataType.simpleString()
+    found = _with_identity(texts, f"text {kind}", distinct=True).join(asked, ["h1", "h2"])
 
     def rows(batches):
         before = None
@@ -152,7 +184,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     continue  # copies of a text meet here
                 before = (a, b)
                 for x in items:
-                    yield (x["key"], x["ctx"], x["n"], x["names"], a, b, x["q"], x["lo"], x["hi"], text[x["lo"] : x["hi"] + LENGTH])
+                    yield (x["key"], x["ctx"], x["n"], x["names"], a, b, x["q"], x["lo"], x["hi"], text[x["lo"] : x["hi"] + by.length])
 
     names = ["key", "ctx", "n", "names", "h1", "h2", "q", "lo", "hi", "bytes"]
     types = [_I64, _I64, _I64, _I64, _I64, _I64, _I32, _I32, _I32, pa.binary()]
@@ -177,16 +209,17 @@ def _runs(starts: list[int]):
 SPAN_ROW = "h1 long, h2 long, lo int, hi int"
 
 
-def _repeated_few(group: list[dict]):
-    """For each suffix of a group, which of its strings repeat: booleans by distance, from lo on."""
-    count, names = defaultdict(int), []
+def _repeated_few(group: list[dict], by: Cover, keep: bool):
+    """For each suffix of a group, which of its strings go: booleans by distance, from lo on."""
+    count, least, names = defaultdict(int), {}, []
     for x in group:
-        at = x["q"] - x["lo"]
-        own = [(at - i, xxhash.xxh3_128_digest(x["bytes"][i : i + LENGTH])) for i in range(x["hi"] - x["lo"] + 1)]
+        at, place = x["q"] - x["lo"], (x["h1"], x["h2"], x["q"])
+        own = [(at - i, xxhash.xxh3_128_digest(x["bytes"][i : i + by.length])) for i in range(x["hi"] - x["lo"] + 1)]
         for name in own:
             count[name] += x["n"]
-        names.append(own)
-    return [[count[name] > 1 for name in own] for own in names]
+            least[name] = min(least.get(name, place), place)
+        names.append((place, own))
+    return [[least[name] != place if keep else count[name] > 1 for name in own] for place, own in names]
 
 
 def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +230,18 @@ def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
 
 
-def _repeated_many(group: list[dict]):
+def _repeated_many(group: list[dict], by: Cover, keep: bool):
     """As _repeated_few, by suffix sorting: suffixes after the sampled place, and reversed prefixes before it.
 
-    Two strings at distance a are equal if the suffixes share LENGTH - a bytes
+    Two strings at distance a are equal if the suffixes share length - a bytes
     and the prefixes share a; the shared lengths of neighbours in both orders
     give the classes of all suffixes at each distance.
     """
     q, lo, hi, n = (np.array([x[k] for x in group]) for k in ("q", "lo", "hi", "n"))
-    after = np.zeros((len(group), LENGTH), np.uint8)
-    before = np.zeros((len(group), SPAN), np.uint8)
+    place = np.empty(len(group), np.int64)
+    place[sorted(range(len(group)), key=lambda i: (group[i]["h1"], group[i]["h2"], group[i]["q"]))] = np.arange(len(group))
+    after = np.zeros((len(group), by.length), np.uint8)
+    before = np.zeros((len(group), by.span), np.uint8)
     for i, x in enumerate(group):
         data, cut = np.frombuffer(x["bytes"], np.uint8), x["q"] - x["lo"]
         after[i, : len(data) - cut] = data[cut:]
@@ -216,27 +251,30 @@ def _repeated_many(group: list[dict]):
     class_right, class_left = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
     for a in range(int((q - hi).min()), int((q - lo).max()) + 1):
         own = np.flatnonzero((q - hi <= a) & (a <= q - lo))
-        class_right[right[1:]] = np.cumsum(shared_right < LENGTH - a)
+        class_right[right[1:]] = np.cumsum(shared_right < by.length - a)
         class_left[left[1:]] = np.cumsum(shared_left < a)
         class_right[right[0]] = class_left[left[0]] = 0
         _, at = np.unique(class_right[own] * len(group) + class_left[own], return_inverse=True)
-        for i in own[np.bincount(at, weights=n[own])[at] > 1].tolist():
+        if keep:
+            least = np.full(len(own), len(group), np.int64)
+            np.minimum.at(least, at, place[own])
+            goes = place[own] > least[at]
+        else:
+            goes = np.bincount(at, weights=n[own])[at] > 1
+        for i in own[goes].tolist():
             out[i][q[i] - a - lo[i]] = True
     return out
 
 
-def _compare_small(contexts: DataFrame) -> DataFrame:
-    """Repeated strings of the groups that one task can hold.
-
-    A text can arrive once per copy; (key, ctx) names the suffix, copies are skipped.
-    """
+def _compare_small(contexts: DataFrame, by: Cover, keep: bool) -> DataFrame:
+    """Repeated strings of the groups that one task can hold."""
     grouped = contexts.repartition("key").sortWithinPartitions("key", "ctx")
 
     def solve(group):
         if len(group) < 2:
             return
-        for x, flags in zip(group, (_repeated_few if len(group) <= FEW else _repeated_many)(group)):
-            if x["n"] == 1:
+        for x, flags in zip(group, (_repeated_few if len(group) <= FEW else _repeated_many)(group, by, keep)):
+            if keep or x["n"] == 1:
                 for first, last in _runs([x["lo"] + i for i, again in enumerate(flags) if again]):
                     yield (x["h1"], x["h2"], first, last)
 
@@ -258,111 +296,182 @@ def _compare_small(contexts: DataFrame) -> DataFrame:
     )
 
 
-def _compare_large(contexts: DataFrame) -> DataFrame:
-    """Repeated strings of the groups with many second names, by counting the names of single strings."""
+def _compare_large(contexts: DataFrame, by: Cover, keep: bool) -> DataFrame:
+    """Repeated strings of the groups with many second names, by counting the names of single strings.
+
+    A group's strings are dealt out by their own names, so none of its size meets in a task.
+    """
 
     def rows(batches):
         for batch in batches:
             for x in batch.to_pylist():
                 for i in range(x["hi"] - x["lo"] + 1):
-                    w1, w2 = identity(x["bytes"][i : i + LENGTH])
+                    w1, w2 = identity(x["bytes"][i : i + by.length])
                     yield (w1, w2, x["h1"], x["h2"], x["lo"] + i, x["n"])
 
     names, types = ["w1", "w2", "h1", "h2", "p", "n"], [_I64] * 4 + [_I32, _I64]
-    strings = arrow_map(contexts, lambda batches: _batches(rows(batches), names, types), "w1 long, w2 long, h1 long, h2 long, p int, n long"
-    )
-    place = F.xxhash64("h1", "h2", "p")
-    repeated = (
-        strings.groupBy("w1", "w2")
-        .agg(F.max("n").alias("n"), F.min(place).alias("least"), F.max(place).alias("most"))
-        .where("n > 1 or least <> most")
-        .select("w1", "w2")
-    )
-    return strings.where("n = 1").join(repeated, ["w1", "w2"], "left_semi").select("h1", "h2", F.col("p").alias("lo"), F.col("p").alias("hi"))
-
-
-def repeated_strings(texts: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
-    """(h1, h2, lo, hi): in the text named h1, h2 the strings that start in lo..hi are repeated."""
-    anchors = _anchors(texts)
-    names = materialize(
-        anchors.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-        .where("n > 1")
-        .select("key", (F.col("a") != F.col("b")).alias("mixed")),
-        "names",  # a join with a stored table can be split where one name has many suffixes
+    strings = arrow_map(contexts, lambda batches: _batches(rows(batches), names, types), "w1 long, w2 long, h1 long, h2 long, p int, n long")
+    place = F.struct("h1", "h2", "p")
+    repeated = materialize(
+        strings.groupBy("w1", "w2").agg(F.max("n").alias("n"), F.min(place).alias("least"), F.max(place).alias("most")).where("n > 1 or least <> most").select("w1", "w2", "least"),
+        "strings",  # a join with a stored table can be split where one string is in very many texts
     )
+    goes = place != F.col("least") if keep else F.col("n") == 1
+    found = strings.join(repeated, ["w1", "w2"]).where(goes).select("h1", "h2", "p")
+    together = found.groupBy("h1", "h2", F.floor(F.col("p") / TOGETHER).alias("part")).agg(F.sort_array(F.collect_set("p")).alias("p"))  # TOGETHER places at most
+
+    def merged(batches):
+        for batch in batches:
+            for h1, h2, places in zip(*(c.to_pylist() for c in batch.columns)):
+                for first, last in _runs(places):
+                    yield (h1, h2, first, last)
+
+    return arrow_map(together.select("h1", "h2", "p"), lambda batches: _batches(merged(batches), ["h1", "h2", "lo", "hi"], [_I64, _I64, _I32, _I32]), SPAN_ROW)
+
+
+def repeated_strings(texts: DataFrame, by: Cover, keep: bool = False, small_group: int = SMALL_GROUP) -> DataFrame:
+    """(h1, h2, lo, hi): in the text named h1, h2 the strings that start in lo..hi are repeated.
+
+    With ``keep`` the string at the least place (h1, h2, start) isn't in it,
+    and rows with equal texts count as one text.
+    """
+    # tables that are joined with are stored, so that joins can split a name with very many suffixes
+    all_anchors = _anchors(texts, by)
+    path = store(all_anchors, "anchors")
+    anchors = read_back(texts.sparkSession, path, all_anchors)
+    names = materialize(anchors.groupBy("key").agg(F.count("*").alias("suffixes")).where("suffixes > 1"), "names")
     again = materialize(anchors.join(names, "key"), "repeated-names")
-    mixed = again.where("mixed").drop("mixed")
+    remove(texts.sparkSession, path)
     second = materialize(
-        mixed.groupBy("key", "ctx").agg(
-            F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("h1", "h2", "q", "lo", "hi")]
-        ),
+        again.groupBy("key", "ctx").agg(F.first("suffixes").alias("suffixes"), F.count("*").alias("n"), F.min(F.struct("h1", "h2", "q", "lo", "hi")).alias("x"))
+        .select("key", "ctx", "suffixes", "n", "x.*"),
         "second-names",
     )
-    sizes = materialize(second.groupBy("key").agg(F.count("*").alias("names")), "name-counts")
-    contexts = materialize(_contexts(texts, second.join(sizes, "key")), "contexts")
+    sizes = materialize(second.groupBy("key").agg(F.count("*").alias("names")).where("names > 1"), "name-counts")
+    contexts = materialize(_contexts(texts, second.join(sizes, "key"), by), "contexts")
+    place = F.struct("h1", "h2", "q")
+    # a name of many suffixes is dealt out to SALTS tasks
+    salts = F.when(F.col("suffixes") > MANY, SALTS).otherwise(1)
+    equal = second.where("n > 1").select("key", "ctx", place.alias("least"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    copies = again.withColumn("salt", F.pmod(F.xxhash64(place), salts).cast("int")).join(equal, ["key", "ctx", "salt"])
     spans = (
-        again.where("not mixed").select("h1", "h2", "lo", "hi"),
-        mixed.join(second.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("h1", "h2", "lo", "hi"),
-        _compare_small(contexts.where(f"names <= {small_group}")),
-        _compare_large(contexts.where(f"names > {small_group}")),
+        copies.where(place != F.col("least")) if keep else copies,
+        _compare_small(contexts.where(f"names <= {small_group}"), by, keep),
+        _compare_large(contexts.where(f"names > {small_group}"), by, keep),
     )
-    whole = spans[0]
+    whole = spans[0].select("h1", "h2", "lo", "hi")
     for part in spans[1:]:
-        whole = whole.unionByName(part)
+        whole = whole.unionByName(part.select("h1", "h2", "lo", "hi"))
     return whole
 
 
-def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs (start, end exclusive) of the bytes covered by the strings that start in the spans."""
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
         if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + LENGTH)
+            out[-1][1] = max(out[-1][1], hi + length)
+        else:
+            out.append([lo, hi + length])
+    return [(a, b) for a, b in out]
+
+
+def starts(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs (first, last) of the starts in the spans."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
         else:
-            out.append([lo, hi + LENGTH])
+            out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, carried: list[str], text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """The ``carried`` columns of every row, with n_bytes, n_removed, n_spans, kept_sha256, and kept_text on demand.
+def _by_text(spans: DataFrame, tag: str) -> DataFrame:
+    """(h1, h2, spans): a row a text, whose spans are merged where one task sees them."""
+    grouped = spans.distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return materialize(grouped, tag)
 
-    kept_text leaves out characters of which a removed string took some bytes.
 
-    A null text is empty. Equal texts of at least LENGTH bytes are removed
-    whole, all copies. Matches never cross texts. Shorter texts and an empty
-    table need no search. Carried columns keep their names; the text
-    itself must be carried under another name if it is wanted.
+def _within(marked: DataFrame, lesser: DataFrame, by: Cover, length: int, keep: bool) -> DataFrame:
+    """The spans of strings of ``length`` bytes, sought where the strings of ``by`` (spans in ``lesser``) repeat one after another."""
+
+    def pieces(batches):
+        names, types = ["h1", "h2", "at", "text", "p1", "p2"], [_I64, _I64, _I32, pa.binary(), _I64, _I64]
+
+        def rows():
+            for batch in batches:
+                for h1, h2, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                    for lo, hi in starts([(x["lo"], x["hi"]) for x in spans]):
+                        if hi - lo >= length - by.length:
+                            piece = text[lo : hi + by.length]
+                            yield (h1, h2, lo, piece, *identity(piece))
+
+        return _batches(rows(), names, types, 500)
+
+    texts = marked.join(lesser, ["h1", "h2"]).select("h1", "h2", F.col("text").cast("binary").alias("text"), "spans")
+    found = materialize(arrow_map(texts, pieces, "h1 long, h2 long, at int, text binary, p1 long, p2 long"), "pieces")
+    spans = materialize(repeated_strings(found.select("text"), cover(length), keep).distinct().select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "lo", "hi"), "piece-spans")
+    places = materialize(found.select("h1", "h2", "at", "p1", "p2").distinct(), "places")
+    return places.join(spans, ["p1", "p2"]).select("h1", "h2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
+
+
+def remove_repeats(
+    docs: DataFrame, carried: list[str], text_col: str = "text", with_text: bool = False, length: int = LENGTH, keep: bool = False, passage: int | None = None
+) -> DataFrame:
+    """The ``carried`` columns of every row, with n_bytes, n_removed, n_spans, kept_sha256.
+
+    with_text adds kept_text, which leaves out characters of which a removed
+    string took some bytes; ``passage`` (below length) adds n_passage, the bytes
+    that lie in repeated strings of so many bytes and do not go by that.
+
+    A null text is empty. Equal texts of at least ``length`` bytes are removed
+    whole, all copies; with ``keep`` one copy of each string stays, that of the
+    least place, and equal texts count as one. Matches never cross texts; a text of any
+    length is read in pieces. Shorter texts and an empty table need no search; repeated
+    rows are judged alike. Carried columns keep their names and may be called
+    like those of this operator, except for those that it returns.
     """
     own = [F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     texts = docs.select(text)
-    spans = materialize(
-        repeated_strings(texts).distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")),
-        "spans",
-    )
+    if passage is None:
+        spans = _by_text(repeated_strings(texts, cover(length), keep), "spans").select("h1", "h2", "spans", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("more"))
+    else:
+        by = cover(passage)
+        lesser = _by_text(repeated_strings(texts, by), "passages")
+        greater = _by_text(_within(_with_identity(texts, "text string"), lesser, by, length, keep), "spans")
+        spans = lesser.withColumnRenamed("spans", "more").join(greater, ["h1", "h2"], "left")
     columns = [f"c{i} {kinds[c]}" for i, c in enumerate(carried)]
     marked = _with_identity(docs.select(*own, text), ", ".join([*columns, "text string"]))
-    joined = marked.join(spans, ["h1", "h2"], "left").select(*[f"c{i}" for i in range(len(carried))], "text", "spans")
+    joined = marked.join(spans, ["h1", "h2"], "left").select(*[f"c{i}" for i in range(len(carried))], "text", "spans", "more")
+    more = [*["n_passage"] * (passage is not None), *["kept_text"] * with_text]
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(_texts(batch, len(carried)), batch.column("spans").to_pylist()):
-                gone = covered([(x["lo"], x["hi"]) for x in spans or []])
+            for text, spans, lesser in zip(_texts(batch, len(carried)), batch.column("spans").to_pylist(), batch.column("more").to_pylist()):
+                gone = covered([(x["lo"], x["hi"]) for x in spans or []], length)
                 at, kept = 0, []
                 for a, b in gone:
                     kept.append(text[at:a])
                     at = b
-                kept = b"".join([*kept, text[at:]])
-                out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * with_text))
-            types = [_I64, _I64, _I64, pa.string(), *[pa.string()] * with_text]
+                kept.append(text[at:])
+                whole = b"".join(kept)
+                row = [len(text), len(text) - len(whole), len(gone), hashlib.sha256(whole).hexdigest()]
+                if passage is not None:
+                    row.append(sum(b - a for a, b in covered([(x["lo"], x["hi"]) for x in lesser or []], passage)))
+                if with_text:
+                    row.append("".join(part.decode(errors="ignore") for part in kept))
+                out.append(row)
+            types = [_I64, _I64, _I64, pa.string(), *[_I64] * (passage is not None), *[pa.string()] * with_text]
             columns = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(carried)], *[pa.array(c, t) for c, t in zip(columns, types)]],
-                [*[f"c{i}" for i in range(len(carried))], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text],
+                [*[f"c{i}" for i in range(len(carried))], "n_bytes", "n_removed", "n_spans", "kept_sha256", *more],
             )
 
-    schema = ", ".join([*columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
+    kind = {"n_passage": "long", "kept_text": "string"}
+    schema = ", ".join([*columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *[f"{m} {kind[m]}" for m in more]])
     return arrow_map(joined, run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carried)})

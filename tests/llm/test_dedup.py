@@ -138,38 +138,78 @@ def test_repeats_match_brute_force(spark, table):
     assert suffix_dedup.remove_repeats(table([]), ["doc_id"]).count() == 0
 
 
+def test_two_lengths_at_once(spark, table):
+    texts = planted_texts()
+    want, lesser = brute_removal(texts, suffix_dedup.LENGTH), brute_removal(texts, suffix_dedup.PASSAGE)
+    found = suffix_dedup.remove_repeats(table(list(enumerate(texts))), ["doc_id", "source"], passage=suffix_dedup.PASSAGE)
+    assert found.columns == ["doc_id", "source", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (rows[i] for i in range(len(texts)))] == want
+    assert [rows[i].n_passage for i in range(len(texts))] == [x[1] for x in lesser]
+    assert suffix_dedup.remove_repeats(table([]), ["doc_id"], passage=200).count() == 0
+
+
+def kept_copies(texts, length):
+    """What is left of each text if of equal strings only the one at the least (hash of the text, start) stays."""
+    data = {(t or "").encode() for t in texts}
+    first = {}
+    for x in data:
+        for p in range(len(x) - length + 1):
+            place = (*suffix_dedup.identity(x), p)
+            first[x[p : p + length]] = min(first.get(x[p : p + length], place), place)
+    out = {}
+    for x in data:
+        gone = np.zeros(len(x), bool)
+        for p in range(len(x) - length + 1):
+            if first[x[p : p + length]] != (*suffix_dedup.identity(x), p):
+                gone[p : p + length] = True
+        out[x] = hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest()
+    return [out[(t or "").encode()] for t in texts]
+
+
+def test_one_copy_stays(spark, table):
+    texts = planted_texts()
+    for length in (200, 400):
+        found = suffix_dedup.remove_repeats(table(list(enumerate(texts))), ["doc_id"], length=length, keep=True)
+        rows = {r.doc_id: r.kept_sha256 for r in found.collect()}
+        assert [rows[i] for i in range(len(texts))] == kept_copies(texts, length)
+
+
 def test_both_ways_to_compare_agree(spark, table):
     source = table(list(enumerate(planted_texts()))).selectExpr("coalesce(text, '') AS text")
 
     def starts(found):
         return {(r.h1, r.h2, p) for r in found.collect() for p in range(r.lo, r.hi + 1)}
 
-    assert starts(suffix_dedup.repeated_strings(source)) == starts(suffix_dedup.repeated_strings(source, small_group=0))
+    for length, keep in ((400, False), (200, True)):
+        by = suffix_dedup.cover(length)
+        assert starts(suffix_dedup.repeated_strings(source, by, keep)) == starts(suffix_dedup.repeated_strings(source, by, keep, small_group=0))
 
 
 def test_sorting_a_group_equals_counting_its_strings():
     random.seed(5)
     base = bytes(random.choices(b"abcdef ", k=700))
     group = []
-    for _ in range(60):
+    for i in range(60):
         data = bytearray(base)
         for _ in range(random.randint(0, 3)):
             data[random.randrange(700)] = random.choice(b"xyz")
         a = random.randint(0, 255)
         b = random.randint(a, 255)
         lo, hi = 256 - b, 256 - a
-        group.append({"q": 256, "lo": lo, "hi": hi, "n": random.choice([1, 1, 2]), "bytes": bytes(data[lo : hi + 400])})
-    few, many = suffix_dedup._repeated_few(group), suffix_dedup._repeated_many(group)
-    assert all(x == y.tolist() for x, y in zip(few, many))
+        group.append({"h1": random.randrange(9), "h2": i, "q": 256, "lo": lo, "hi": hi, "n": random.choice([1, 1, 2]), "bytes": bytes(data[lo : hi + 400])})
+    for keep in (False, True):
+        few, many = (f(group, suffix_dedup.cover(400), keep) for f in (suffix_dedup._repeated_few, suffix_dedup._repeated_many))
+        assert all(x == y.tolist() for x, y in zip(few, many))
 
 
 def test_long_texts_are_sampled_alike_in_pieces():
     random.seed(6)
-    text = bytes(random.choices(range(97, 123), k=5000))
+    text, by = bytes(random.choices(range(97, 123), k=5000)), suffix_dedup.cover(400)
     old, suffix_dedup.PIECE = suffix_dedup.PIECE, 700
     try:
-        pieces = [(q, p) for q, lo, hi in suffix_dedup.sampled(text) for p in range(lo, hi + 1)]
+        pieces = [(q, p) for q, lo, hi in suffix_dedup.sampled(text, by) for p in range(lo, hi + 1)]
     finally:
         suffix_dedup.PIECE = old
-    assert pieces == [(q, p) for q, lo, hi in suffix_dedup.sampled(text) for p in range(lo, hi + 1)]
-    assert [p for _, p in pieces] == list(range(len(text) - suffix_dedup.LENGTH + 1))
+    assert pieces == [(q, p) for q, lo, hi in suffix_dedup.sampled(text, by) for p in range(lo, hi + 1)]
+    assert [p for _, p in pieces] == list(range(len(text) - by.length + 1))
