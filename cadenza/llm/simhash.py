@@ -53,8 +53,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return sum(1 << j for j in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, th long): the SimHash and a hash of each text. A null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp long, th long): the SimHash of each text, and a hash of it or of the columns ``hashed``. A null text is empty."""
 
     def run(batches):
         for batch in batches:
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        F.xxhash64(*[F.col(c) for c in hashed] if hashed else [F.coalesce(F.col(text_col), F.lit(""))]).alias("th"),
     )
     return arrow_map(source, run, "doc_id long, fp long, th long")
 
@@ -149,23 +149,24 @@ def covering_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, hashed: list[str] | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, th, fp, component_id.
-
-    component_id is the least doc_id that can be reached over links. Null or
-    wordless texts have fingerprint 0 and are linked like any other; repeated
-    rows are linked; a component whose ids are all null has a null id; an empty
-    table gives an empty table. Other columns of ``docs`` are ignored.
+    """One row per row of ``docs``: doc_id, th, fp, component_id, root.
+
+    component_id is the least doc_id that can be reached over links, root the
+    least fingerprint, which names a component whatever its ids; th is a hash of the text or
+    of the columns ``hashed``. Null or wordless texts have fingerprint 0 and are
+    linked like any other; repeated rows are linked; a component whose ids are
+    all null has a null id; an empty table gives an empty table. Other columns
+    of ``docs`` are ignored, whatever their names.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    marked = materialize(fingerprints(docs, id_col, text_col, hashed), "simhash")
+    # tables that are joined with are stored, so that joins can split a fingerprint or root with very many rows
+    groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     roots = connected_components(covering_links(groups.select("fp"), radius))
-    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    least = linked.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size"))
-    labels = linked.join(least.where("size > 1"), "root").select("fp", "component")
-    return marked.join(labels, "fp", "left").select(
-        "doc_id", "th", "fp", F.coalesce("component", "doc_id").alias("component_id")
+    linked = materialize(
+        groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots"
     )
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    labels = materialize(linked.select("fp", "root").join(least, "root"), "labels")
+    return marked.join(labels, "fp").select("doc_id", "th", "fp", "component_id", "root")
