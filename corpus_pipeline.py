@@ -1,52 +1,72 @@
 """From raw documents to packed training sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet and read again as the documents of the next stage.
+Parquet and read again as the documents of the next stage. All but the last
+return the columns of their input, of any names beside doc_id and text (n_chars
+is counted again where it is there). Ids may be null or shared, texts null (empty) or
+very long, rows repeated; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 from cadenza.llm import packing, pii, queries, simhash, suffix_dedup, toxicity
 from cadenza.llm.scratch import materialize
 
+#: Bytes of a passage that repeats: one that over 50 words reach.
+PASSAGE = suffix_dedup.PASSAGE
 
-def _like(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` with the text replaced and n_chars counted again."""
-    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names k0, k1 ... that clash with no operator's, and these names by the given ones."""
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _named(found: DataFrame, names: dict[str, str], text: str | None = None) -> DataFrame:
+    """The given names again; the text replaced by the column ``text``, and n_chars counted again."""
+    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")} if text else {}
+    return found.select(*[changed.get(c, F.col(k)).alias(c) for c, k in names.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the models call toxic go."""
-    model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").drop("score")
+    """Documents that the models call toxic go; a text without words, null ones too, stays."""
+    own, names = _numbered(docs)
+    model = toxicity.train(own, queries.table(spark, sf_dir, "labels"), names["doc_id"], names["text"])
+    return _named(toxicity.score(own, model, own.columns, names["text"]).where("score < 0.5"), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of linked fingerprints: the least doc_id, of equal ids the least text hash."""
-    found = simhash.near_duplicates(docs)
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("i"), "doc_id", "th")).alias("x"))
-    keep = least.select(F.col("x.doc_id").alias("keep_id"), F.col("x.th").alias("keep_hash"))
-    hashed = docs.withColumn("own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own_hash") == F.col("keep_hash")))
-    twice = Window.partitionBy("keep_id", "keep_hash").orderBy("own_hash")
-    return kept.withColumn("own_copy", F.row_number().over(twice)).where("own_copy = 1").select(*docs.columns)
+    """One document stays of each group of linked fingerprints: the least doc_id (null ids last), of equal ids the least hash of all columns.
+
+    Texts without words are one group. Rows that are equal in all columns are interchangeable, one of them stays.
+    """
+    own, names = _numbered(docs)
+    hashed = [names[f.name] for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    found = simhash.near_duplicates(own, names["doc_id"], names["text"], hashed=hashed)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("x"))
+    keep = materialize(least.select(F.col("x.doc_id").alias("keep_id"), F.col("x.th").alias("keep_hash")), "kept")
+    marked = own.withColumn("th", F.xxhash64(*hashed))
+    kept = marked.join(keep, F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_hash")))
+    return _named(kept.dropDuplicates(["keep_id", "keep_hash"]), names)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; characters that a passage's edge cuts go with it."""
-    others = [c for c in docs.columns if c != "text"]
-    return _like(docs, suffix_dedup.remove_repeats(docs, others, with_text=True), "kept_text")
+    """Strings of PASSAGE bytes that repeat go but for one copy; characters that a string's edge cuts go with it."""
+    own, names = _numbered(docs)
+    others = [k for c, k in names.items() if c != "text"]
+    return _named(suffix_dedup.remove_repeats(own, others, names["text"], with_text=True, length=PASSAGE, keep=True), names, "kept_text")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kind."""
-    others = [c for c in docs.columns if c != "text"]
-    return _like(docs, pii.personal_data(docs, others), "redacted")
+    own, names = _numbered(docs)
+    others = [k for c, k in names.items() if c != "text"]
+    return _named(pii.personal_data(own, others, names["text"]), names, "redacted")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
