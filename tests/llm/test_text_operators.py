@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -353,6 +354,103 @@ def test_main_text():
         html_text.main_text(broken)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><nav>m</nav><article><p>A text, and more.</p></article></div>', "A text, and more."),
+        ('<article class="post ad-free"><p>A text, and more.</p></article>', "A text, and more."),
+        ("<p>Some <label>word</label> here", "Some word here"),
+        ("<form><nav>x</nav><div><h1>T</h1><p>A text, in a form around everything.</p></div></form>", "T A text, in a form around everything."),
+        ("<p>1 < 2 <", "1 < 2 <"),
+        ("<nav><a href=x>Home</a></nav><div class=ad>Buy it, now.</div><article></article>", ""),
+        ("<div><p>" + "Words, of a page. " * 20 + "</p></div><div class=comments>" + "<article><p>A comment, rather long. And more of it.</p></article>" * 30 + "</div>", ("Words, of a page. " * 20).strip()),
+        ("<article><p>" + "Words, of a page. " * 9 + "</p><p class=share-price>" + "Shares rose, they say. " * 9 + "</p><p class=share>Share</p></article>", ("Words, of a page. " * 9 + "Shares rose, they say. " * 9).strip()),
+    ],
+)
+def test_words_of_classes_do_not_decide(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_long_pages_take_linear_time():
+    for part in ("<b>x", "<a ", "<div>x", "<p>x", "</b>x<i>", '<a x="', "<!-- ", "<div class=ad>x", "<li>x<ul>"):
+        began = time.perf_counter()
+        html_text.main_text(part * 100_000)
+        assert time.perf_counter() - began < 10  # quadratic: hours
+
+
+def plain_text(page):
+    """The selection by its definition, over tuples of (tag, class) and with no regard to time. For pages with plain markup only."""
+    blocks, stack = [], []
+    for tag, name, text in re.findall(r"<(/?\w+)(?: class=(\w+))?>|([^<]+)", page):
+        if text:
+            path = tuple(x for x in stack if x[0] != "a")
+            if not any(t == "nav" for t, _ in stack):
+                if blocks and blocks[-1][3] and blocks[-1][0] == path:
+                    blocks[-1][1] += text
+                    blocks[-1][2] += len(text) * (stack[-1][0] == "a")
+                else:
+                    blocks.append([path, text, len(text) * (stack[-1][0] == "a"), True])
+        elif tag[0] == "/":
+            stack.pop()
+        else:
+            stack.append((tag, name))
+        if tag and tag.strip("/") != "a" and blocks:
+            blocks[-1][3] = False
+    order = list(dict.fromkeys(b[0] for b in blocks))
+    of = lambda p: [b for b in blocks if b[0] == p]
+    size = {p: sum(len(t) for _, t, _, _ in of(p)) for p in order}
+    share = {p: sum(k for _, _, k, _ in of(p)) / size[p] for p in order}
+    own = [sum(len(t) + 10 * sum(c in ".,;:!?" for c in t) for _, t, _, _ in of(p)) / len(of(p)) * (1 - share[p]) ** 2 for p in order]
+    smooth = {p: max(0, own[i] + 0.25 * sum(own[j] - own[i] for j in (i - 1, i + 1) if 0 <= j < len(own))) for i, p in enumerate(order)}
+    left_out = lambda p: any(name == "comments" for _, name in p)
+    low = lambda p: 0.4 ** sum(name == "notice" for _, name in p)
+    rated = {p: 0 if left_out(p) else smooth[p] * low(p) for p in order}
+    under = lambda c: [p for p in order if p[: len(c)] == c]
+    weight = lambda c: sum(rated[p] * size[p] for p in under(c))
+    chars = lambda c: sum(size[p] for p in under(c) if not left_out(p))
+    children = lambda c: list(dict.fromkeys(p[: len(c) + 1] for p in order if len(p) > len(c) and p[: len(c)] == c and not left_out(p)))
+    if sum(rated[p] * size[p] for p in order) <= 0.02 * sum(smooth[p] * size[p] for p in order):
+        return None
+    best = ()
+    while not best or best[-1][0] != "article":
+        inner = [c for c in children(best) if children(c)]
+        below = max(inner, key=weight, default=None)
+        if below is None or weight(below) < 0.8 * weight(best):
+            break
+        best = below
+    ratio = lambda c: weight(c) / chars(c)
+    beside = [c for k in range(len(best)) for c in children(best[:k]) if c != best[: k + 1] and c[-1][1] != "notice" and (ratio(c) >= 0.5 * ratio(best) or c[-1][0] == "h1")]
+
+    def kept(p):
+        inside = any(p[: len(c)] == c for c in [best, *beside]) or (p == best[: len(p)] and rated[p] >= 0.5 * ratio(best))
+        return inside and not left_out(p) and share[p] <= 0.6 and (low(p) == low(best) or rated[p] >= 0.2 * ratio(best))
+
+    return " ".join(b[1] for b in blocks if kept(b[0]))
+
+
+def test_selection_equals_its_definition():
+    random.seed(17)
+    sentence = lambda: "".join(random.choices("abcdef", k=random.randint(3, 40))) + random.choice(["", ".", ", and x.", "!"])
+
+    def part(depth):
+        kind = random.random()
+        if depth > 4 or kind < 0.45:
+            text = sentence() if random.random() < 0.8 else f"<a>{sentence()}</a>"
+            return f"<p>{text}</p>" if random.random() < 0.9 else f"<h1>{text}</h1>"
+        tag = random.choice(["div", "div", "section", "article", "nav"])
+        name = random.choice(["", "", "", " class=x", " class=comments", " class=notice"])
+        return f"<{tag}{name}>{''.join(part(depth + 1) for _ in range(random.randint(1, 4)))}</{tag}>"
+
+    compared = 0
+    for _ in range(3000):
+        page = "".join(part(0) for _ in range(random.randint(1, 4)))
+        want = plain_text(page)
+        if want is not None:
+            assert html_text.main_text(page) == want, page
+            compared += bool(want)
+    assert compared > 1000
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, 6), (1, "u", PAGE, 5), (None, "", "<p>x</p>", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
