@@ -1,18 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two interpolated Kneser-Ney models of the spelling of words, one of toxic and
-one of ordinary labelled texts, share their backoff: below the discounted
-ORDER-grams of a class stand its shorter ones, and below these the continuation
-counts (how many different characters precede a string) of both classes
-together. An expression that is rare in a class thus falls back on counts
-that are the same for either class and says little, while a new form of a known
-stem is recognised. Words count once a document. A text is judged by the
-length-normalised difference of its two log-likelihoods: over the whole text, and
-over its most toxic words; a logistic curve, fitted on labelled rows that no
-count saw, turns these into a probability.
+Two interpolated Kneser-Ney models spell the words of toxic and of ordinary
+labelled texts. A class has counts of its own for strings of ORDER characters (a
+word starts with ORDER - 1 marks, so its beginnings are such strings too). Below
+them stand the continuation counts, how many different characters precede a
+shorter string, of both classes together: what is rare in a class falls back on
+counts that the classes share and says little, while a new form of a known stem
+is recognised by its beginning.
+
+A word's gain is the difference of its two log-likelihoods. Most words of a toxic
+text are ordinary, so the toxic likelihood of a word in a text is a mixture,
+SHARE of it from the toxic model; the difference of the text's two
+log-likelihoods, every word as often as it occurs, is divided by the square root
+of the number of words, and a logistic curve (slope and offset), fitted on
+labelled rows that no count saw, turns it into a probability.
 
 Counting is a distributed ``groupBy`` over all training rows, and the model is a
-stored table that grows with the corpus: every string with LEAST words is in it.
+stored table that grows with the corpus; no count is cut.
 A model of up to STRINGS strings goes to the tasks as sorted arrays. A larger one
 stays a table that the distinct words of the texts are joined with, and then the
 gains of the SENT most frequent words go to the tasks, those of all other words
@@ -21,50 +25,37 @@ are joined with the texts that hold them. The scores are the same.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import arrow_map, materialize
 
 #: Labelled rows for the curve at most (those with the least hash of their id); all others are counted.
 CURVE_ROWS = 20_000
-#: Words that must hold a string of the model, and the discount of a count.
-LEAST, DISCOUNT = 3, 1.5
+#: Characters of the strings that a class counts, the discount of any count, and the share of a toxic text's words that the toxic model spells.
+ORDER, DISCOUNT, SHARE = 5, 0.75, 0.03
 #: The strings of a model that is sent to the tasks (a larger one is joined), and then the words whose gains are sent (others are joined).
 STRINGS, SENT = 2_000_000, 400_000
-#: Characters of the longest strings, and of the longest strings whose counts the classes share.
-ORDER, SHARED_ORDER = 6, 1
-FOLDS, CURVE_FOLD, CACHED_WORDS, FEATURES = 5, 1, 100_000, 4
+FOLDS, CURVE_FOLD, CACHED_WORDS = 5, 1, 100_000
+CLASSES = ("toxic", "ordinary")
 
 _WORD = re.compile(r"[^\W\d_]+")
+_MARKS = "^" * (ORDER - 1)
 
 
-def words(text: str) -> dict[str, None]:
-    """The distinct words of a text, in order."""
-    return dict.fromkeys(_WORD.findall(text.lower()))
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
-def grams(word: str):
-    """The strings of SHARED_ORDER to ORDER characters that end at each character of a word."""
-    padded = f"^{word}$"
-    for end in range(2, len(padded) + 1):
-        for start in range(max(0, end - ORDER), max(1, end - SHARED_ORDER + 1)):
-            yield padded[start:end]
-
-
-def substrings(word: str):
-    """(end, size, string) of the strings of up to ORDER characters of a word."""
-    padded = f"^{word}$"
-    for end in range(1, len(padded) + 1):
-        for start in range(max(0, end - ORDER), end):
-            yield end, end - start, padded[start:end]
+def grams(word: str) -> list[str]:
+    """The strings of ORDER characters that end at each character of a word and at its end."""
+    padded = f"{_MARKS}{word}$"
+    return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,87 +64,78 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _keys(codes: np.ndarray) -> list[np.ndarray]:
-    """By size 0 to ORDER, the 64-bit hashes of the strings of that size that end at each character."""
-    keys = [np.zeros(len(codes), np.uint64)]
-    for _ in range(ORDER):
-        before = np.concatenate((keys[0][:1], keys[-1][:-1]))
-        keys.append(_mixed(before + (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
-    return keys
+def _keys(codes: np.ndarray, size: int) -> np.ndarray:
+    """The 64-bit hashes of the strings of ``size`` characters that end at each character (from the size-th on)."""
+    key = np.full(len(codes), size, np.uint64)
+    for i in range(size):
+        key[size - 1 :] = _mixed(key[size - 1 :] + (codes[i : len(codes) - size + 1 + i].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return key
 
 
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All characters of the strings one after another, and the length of each string."""
-    return np.frombuffer("".join(strings).encode("utf-32-le"), "<u4"), np.fromiter(map(len, strings), np.int64, len(strings))
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4"), np.fromiter(map(len, strings), np.int64, len(strings))
+
+
+def mixture(gains: np.ndarray) -> np.ndarray:
+    """Log ratio of the mixture's likelihood to the ordinary one."""
+    return np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + gains)
 
 
 class Strings:
-    """The strings of a model as arrays sorted by hash: ratio and back are NaN where a string has none."""
+    """A model as arrays sorted by hash: a string of ORDER characters has its log ratio, one of ORDER - 1 that of the weights behind it."""
 
-    def __init__(self, key: np.ndarray, ratio: np.ndarray, back: np.ndarray):
+    def __init__(self, key: np.ndarray, value: np.ndarray):
         order = np.argsort(key)
-        self.key, self.ratio, self.back, self.known = key[order], ratio[order], back[order], {}
+        self.key, self.value, self.known = key[order], value[order], {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def _found(self, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def _found(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.key):
             return np.full(len(keys), np.nan)
         at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return np.where(self.key[at] == keys, values[at], np.nan)
+        return np.where(self.key[at] == keys, self.value[at], np.nan)
 
     def gains(self, words: list[str]) -> np.ndarray:
         """Difference of the log-likelihoods of each word."""
-        codes, sizes = _codes([f"^{w}$" for w in words])
-        keys, own = _keys(codes), np.repeat(np.arange(len(words)), sizes)
+        if not words:
+            return np.zeros(0)
+        codes, sizes = _codes([f"{_MARKS}{w}$" for w in words])
         place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        total, left = np.zeros(len(codes)), place >= SHARED_ORDER
-        for size in range(ORDER, SHARED_ORDER, -1):
-            at = np.flatnonzero(left & (place >= size - 1))
-            ratio = self._found(self.ratio, keys[size][at])
-            absent = np.isnan(ratio)
-            total[at] += np.where(absent, 0.0, ratio)
-            left[at[~absent]] = False
-            total[at[absent]] += np.nan_to_num(self._found(self.back, keys[size - 1][at[absent] - 1]))
-        return np.bincount(own, total, len(words))
+        at = np.flatnonzero(place >= ORDER - 1)
+        total = self._found(_keys(codes, ORDER)[at])
+        absent = np.flatnonzero(np.isnan(total))
+        total[absent] = np.nan_to_num(self._found(_keys(codes, ORDER - 1)[at[absent] - 1]))
+        return np.bincount(np.repeat(np.arange(len(words)), sizes)[at], total, len(words))
 
     def look_up(self, words: list[str]) -> None:
-        """Put the gains of the words into ``known``, which forgets when it is full."""
+        """Put what the words add to a text into ``known``, which forgets when it is full."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
             new = words
-        self.known.update(zip(new, self.gains(new).tolist()))
+        self.known.update(zip(new, mixture(self.gains(new)).tolist()))
 
 
 @dataclass
 class Model:
-    strings: DataFrame  # s, ratio: log ratio of its last character's probabilities, back: log ratio of the backoff weights after it
-    curve: np.ndarray | None = None
+    strings: DataFrame  # s, value: of ORDER characters, or of ORDER - 1 (see Strings)
+    curve: tuple[float, float] = (0.0, 0.0)  # offset and slope
 
     def arrays(self) -> Strings | None:
         """The model for the tasks; none if it has more than STRINGS strings."""
         if self.strings.count() > STRINGS:
             return None
-
-        def hashed(batches):
-            for batch in batches:
-                codes, sizes = _codes(batch.column(0).to_pylist())
-                keys = np.stack(_keys(codes))[sizes, np.cumsum(sizes) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1), batch.column(2)], ["key", "ratio", "back"])
-
-        own = arrow_map(self.strings, hashed, "key long, ratio double, back double").toArrow()  # STRINGS rows
-        values = [own.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3)]
-        return Strings(values[0].view(np.uint64), *[v.astype(float) for v in values[1:]])
-
-
-def measures(gains: list[float]) -> list[float]:
-    """The difference per word, by the square root of the words, of the most toxic word, and of the three most toxic."""
-    if not gains:
-        return [0.0] * FEATURES
-    total, top = math.fsum(gains), sorted(gains)[-3:]
-    return [total / len(gains), total / len(gains) ** 0.5, top[-1], sum(top) / 3]
+        own = self.strings.toArrow()  # STRINGS rows
+        strings, value = own.column(0).to_pylist(), own.column(1).to_numpy()
+        key = np.zeros(len(strings), np.uint64)
+        for size in (ORDER, ORDER - 1):
+            at = [i for i, s in enumerate(strings) if len(s) == size]
+            if at:
+                key[at] = _keys(_codes([strings[i] for i in at])[0], size)[size - 1 :: size]
+        return Strings(key, value)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -175,6 +157,29 @@ def _fold(column):
     return F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS
 
 
+def _summed(source: DataFrame, add) -> DataFrame:
+    """Rows (s, toxic, ordinary): what ``add`` puts into a table of counts, in parts of bounded size."""
+
+    def flush(own):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own.keys(), pa.string()), *[pa.array([n[i] for n in own.values()], pa.int64()) for i in (0, 1)]], ["s", *CLASSES]
+        )
+
+    def run(batches):
+        own = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                add(own, row)
+                if len(own) > 200_000:
+                    yield flush(own)
+                    own.clear()
+        if own:
+            yield flush(own)
+
+    parts = arrow_map(source, run, "s string, toxic long, ordinary long")
+    return parts.groupBy("s").agg(*[F.sum(c).alias(c) for c in CLASSES])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled rows of ``docs`` whose fold is not 0; with one class only, every score is that class's share."""
     marked = labels.where("doc_id is not null and toxic is not null").where(_fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -184,87 +189,79 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     aside = materialize(known.orderBy(place, "doc_id").limit(CURVE_ROWS), "curve")  # CURVE_ROWS rows
     counted = rows.join(marked.join(F.broadcast(aside.select("doc_id")), "doc_id", "left_anti"), "doc_id").select("text", "toxic")
 
-    def summed(source, add):
-        """Rows (s, toxic, ordinary): what ``add`` puts into a table of counts, in parts of bounded size."""
-
-        def flush(own):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(own.keys(), pa.string()), *[pa.array([n[i] for n in own.values()], pa.int64()) for i in (0, 1)]], ["s", "toxic", "ordinary"]
-            )
-
-        def run(batches):
-            own = defaultdict(lambda: [0, 0])
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    add(own, row)
-                    if len(own) > 200_000:
-                        yield flush(own)
-                        own.clear()
-            if own:
-                yield flush(own)
-
-        parts = arrow_map(source, run, "s string, toxic long, ordinary long")
-        return parts.groupBy("s").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
     def add_words(own, row):
         for w in words(row[0]):
             own[w][row[1] != 1] += 1
 
     def add_grams(own, row):
-        for g in set(grams(row[0])):
+        for g in grams(row[0]):
             own[g][0] += row[1]
             own[g][1] += row[2]
 
-    counts = summed(summed(counted, add_words), add_grams).where(F.col("toxic") + F.col("ordinary") >= LEAST)
-    model = Model(_estimate(materialize(counts, "counts")))
+    model = Model(_estimate(materialize(_summed(_summed(counted, add_words), add_grams), "counts")))
     held = rows.join(F.broadcast(aside), "doc_id").select("text", F.col("toxic").alias("y"), place.alias("place"))
-    sample = _measured(held, model, ["y", "place"], "text").orderBy("place", "a", "y").limit(CURVE_ROWS).select("y", *"abcd").toArrow()  # CURVE_ROWS rows
-    y = sample.column(0).to_numpy().astype(float)
+    sample = _measured(held, model, ["y", "place"], "text").orderBy("place", "x", "y").limit(CURVE_ROWS).select("y", "x").toArrow()  # CURVE_ROWS rows
+    y, x = (sample.column(i).to_numpy().astype(float) for i in (0, 1))
     if 0 < y.sum() < len(y):
-        model.curve = logistic(np.column_stack([sample.column(i).to_numpy() for i in range(1, FEATURES + 1)]), y)
+        model.curve = tuple(logistic(x[:, None], y).tolist())
     else:
         share = (y.sum() + 0.5) / (len(y) + 2)  # without labels nothing is called toxic
-        model.curve = np.array([np.log(share / (1 - share)), *[0.0] * FEATURES])
+        model.curve = (float(np.log(share / (1 - share))), 0.0)
     return model
 
 
 def _estimate(counts: DataFrame) -> DataFrame:
-    """Kneser-Ney log ratios (s, ratio, back) of the strings in ``counts`` (s; toxic and ordinary words that hold it)."""
-    classes = ("toxic", "ordinary")
-    counts = counts.select("s", F.length("s").alias("size"), F.expr("left(s, length(s) - 1)").alias("h"), F.expr("substring(s, 2)").alias("lower"), *classes)
-    kinds = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
-    sums = counts.groupBy("h").agg(*[F.sum(c).alias(f"all_{c}") for c in classes], *[kinds(c).alias(f"kinds_{c}") for c in classes])
-    weights = [F.when(F.col(f"all_{c}") > 0, F.col(f"kinds_{c}") / F.col(f"all_{c}")).otherwise(1.0).alias(f"w_{c}") for c in classes]
-    totals = materialize(sums.select("h", *[f"all_{c}" for c in classes], *weights), "totals")
-
-    preceded = counts.where(F.col("size") == SHARED_ORDER + 1).groupBy(F.col("lower").alias("s")).agg(F.count("*").alias("k"))
-    shared = counts.where(F.col("size") == SHARED_ORDER).select("s").join(preceded, "s", "left").select("s", (F.coalesce("k", F.lit(0)) + 0.5).alias("n"))
-    base = shared.crossJoin(F.broadcast(shared.agg(F.sum("n").alias("sum"))))  # SHARED_ORDER is 1: one context
-    level = materialize(base.select("s", *[(F.col("n") / F.col("sum")).alias(f"p_{c}") for c in classes]), "level")
-    levels = []
-    for size in range(SHARED_ORDER + 1, ORDER + 1):
-        below = level.select(F.col("s").alias("lower"), *[F.col(f"p_{c}").alias(f"below_{c}") for c in classes])
-        found = counts.where(F.col("size") == size).join(totals, "h").join(below, "lower", "left")
-        own = [F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) for c in classes]
-        level = materialize(
-            found.select("s", *[(n + F.col(f"w_{c}") * F.coalesce(f"below_{c}", F.lit(1e-3))).alias(f"p_{c}") for n, c in zip(own, classes)]), "level"
+    """(s, value) from all ``counts`` (s of ORDER characters; how often either class has it): see Strings.
+
+    P_c(s) = (max(n_c(s) - d, 0) + d k_c(h) P(s without its first character)) / n_c(h) for the context h before the
+    last character, k_c(h) the different strings behind it; P alone where the class lacks h. P is the same with
+    the continuation counts of both classes, down to the even distribution. A string that both lack keeps only
+    the ratio of the weights d k_c(h) / n_c(h): P is the same for both.
+    """
+    context, lower = F.expr("left(s, length(s) - 1)"), F.expr("substring(s, 2)")
+    discount = lambda n: F.greatest(n - DISCOUNT, F.lit(0.0))
+
+    def following(found: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        """By context h: the counts of all strings behind it, and the weight of what is below."""
+        sums = found.groupBy(context.alias("h")).agg(
+            *[F.sum(c).alias(f"all_{c}") for c in names], *[F.sum(F.when(F.col(c) > 0, DISCOUNT).otherwise(0.0)).alias(f"kinds_{c}") for c in names]
         )
-        levels.append(level)
-    ratio = reduce(DataFrame.unionByName, levels).select("s", F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("ratio"))
-    back = totals.where(F.length("h") >= SHARED_ORDER).select(F.col("h").alias("s"), F.log(F.col("w_toxic") / F.col("w_ordinary")).alias("back"))
-    return materialize(ratio.join(back, "s", "full"), "strings")
+        return sums.select("h", *[f"all_{c}" for c in names], *[F.try_divide(f"kinds_{c}", f"all_{c}").alias(f"w_{c}") for c in names])
+
+    continued = []  # the strings of ORDER - 1 characters and fewer, and the characters that precede each
+    for _ in range(ORDER - 1):
+        longer = continued[-1] if continued else counts
+        continued.append(materialize(longer.select(lower.alias("s")).groupBy("s").agg(F.count("*").alias("n")), "continued"))
+    single = continued[-1]
+    total = single.agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    even = F.lit(DISCOUNT) * F.col("kinds") / F.col("all") / (F.col("kinds") + 1)
+    shared = materialize(single.crossJoin(F.broadcast(total)).select("s", (discount(F.col("n")) / F.col("all") + even).alias("p")), "shared")
+    for found in reversed(continued[:-1]):
+        below = shared.select(F.col("s").alias("low"), F.col("p").alias("below"))
+        level = found.withColumn("h", context).withColumn("low", lower).join(following(found, ("n",)), "h").join(below, "low")
+        shared = materialize(level.select("s", (discount(F.col("n")) / F.col("all_n") + F.col("w_n") * F.col("below")).alias("p")), "shared")
+    contexts = materialize(following(counts, CLASSES), "contexts")
+
+    def spelled(c: str) -> Column:
+        return F.when(F.col(f"all_{c}") > 0, discount(F.col(c)) / F.col(f"all_{c}") + F.col(f"w_{c}") * F.col("p")).otherwise(F.col("p"))
+
+    top = counts.withColumn("h", context).join(contexts, "h").join(shared.withColumnRenamed("s", "low"), lower == F.col("low"))
+    weight = [F.when(F.col(f"all_{c}") > 0, F.col(f"w_{c}")).otherwise(1.0) for c in CLASSES]
+    return materialize(
+        top.select("s", F.log(spelled("toxic") / spelled("ordinary")).alias("value")).unionByName(contexts.select(F.col("h").alias("s"), F.log(weight[0] / weight[1]).alias("value"))),
+        "strings",
+    )
 
 
 def _gains(texts: DataFrame, model: Model) -> DataFrame:
-    """(word, n, gain) of the distinct words of a column of texts: how many texts hold it, and the difference of its log-likelihoods."""
+    """(word, n, gain) of the distinct words of a column of texts: how often they occur, and the difference of their log-likelihoods."""
 
     def count(batches):
-        own = defaultdict(int)
+        own = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in words(text):
-                    own[w] += 1
+                own.update(words(text))
                 if len(own) > 200_000:
                     yield flush()
                     own.clear()
@@ -272,42 +269,33 @@ def _gains(texts: DataFrame, model: Model) -> DataFrame:
             yield flush()
 
     def cut(batches):
-        names = ["word", "last", "size", "s"]
-        types = [pa.string(), pa.int32(), pa.int32(), pa.string()]
         out = []
         for batch in batches:
             for w in batch.column(0).to_pylist():
-                for found in substrings(w):
-                    out.append((w, *found))
+                for g, n in Counter(grams(w)).items():
+                    out.append((w, g, n))
                     if len(out) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["word", "s", "times"])
                         out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["word", "s", "times"])
 
+    types = [pa.string(), pa.string(), pa.int64()]
     vocabulary = materialize(arrow_map(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    parts = arrow_map(vocabulary.select("word"), cut, "word string, last int, size int, s string").join(model.strings, "s")
-    # a string is the end of a longest match, and the context of the character behind it
-    roles = F.array(
-        F.struct("last", "size", "ratio", F.lit(None).cast("double").alias("back")),
-        F.struct((F.col("last") + 1).alias("last"), (F.col("size") + 1).alias("size"), F.lit(None).cast("double").alias("ratio"), "back"),
-    )
-    roles = parts.select("word", F.explode(roles).alias("x")).select("word", "x.*").where("ratio is not null or back is not null")
-    sizes = range(SHARED_ORDER + 1, ORDER + 1)
-    by_end = roles.groupBy("word", "last").agg(
-        F.max(F.when(F.col("ratio").isNotNull(), F.struct("size", "ratio"))).alias("found"), *[F.sum(F.when(F.col("size") == k, F.col("back"))).alias(f"b{k}") for k in sizes]
-    )
-    longest = F.coalesce("found.size", F.lit(0))
-    gain = F.coalesce("found.ratio", F.lit(0.0)) + sum(F.when(longest < k, F.coalesce(f"b{k}", F.lit(0.0))).otherwise(0.0) for k in sizes)
-    # the last character has none behind it; sums in any order are equal once rounded
-    summed = by_end.where(F.col("last") <= F.length("word") + 2).groupBy("word").agg(F.round(F.sum(gain), 9).alias("gain"))
-    return materialize(vocabulary.join(summed, "word", "left").select("word", "n", F.coalesce("gain", F.lit(0.0)).alias("gain")), "gains")
+    parts = arrow_map(vocabulary.select("word"), cut, "word string, s string, times long")
+    whole = model.strings.where(F.length("s") == ORDER)
+    behind = model.strings.where(F.length("s") == ORDER - 1).select(F.col("s").alias("h"), F.col("value").alias("weight"))
+    found = parts.join(whole, "s", "left").withColumn("h", F.left("s", F.lit(ORDER - 1))).join(behind, "h", "left")
+    # sums in any order are equal once rounded
+    summed = found.groupBy("word").agg(F.round(F.sum(F.col("times") * F.coalesce("value", "weight", F.lit(0.0))), 9).alias("gain"))
+    return materialize(vocabulary.join(summed, "word").select("word", "n", "gain"), "gains")
 
 
 def _joined(docs: DataFrame, source: DataFrame, model: Model, text_col: str):
-    """The gains of the SENT most frequent words, and ``source`` with more: the gains of the other words of own_text."""
+    """What the SENT most frequent words add to a text, and ``source`` with more: what the other words of own_text add."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gains = _gains(docs.select(text.alias("text")), model)
+    mixed = F.log(F.lit(1 - SHARE) + F.lit(SHARE) * F.exp(F.least("gain", F.lit(700.0))))
+    gains = materialize(_gains(docs.select(text.alias("text")), model).select("word", "n", mixed.alias("gain")), "mixed")
     frequent = materialize(gains.orderBy(F.desc("n"), "word").limit(SENT), "frequent")
     rest = materialize(gains.join(frequent.select("word"), "word", "left_anti").select("word", "gain"), "rest")
     own = frequent.select("word", "gain").toArrow()  # SENT rows
@@ -315,18 +303,19 @@ def _joined(docs: DataFrame, source: DataFrame, model: Model, text_col: str):
 
     def others(batches):
         for batch in batches:
-            out = [(k, w) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for w in words(t) if w not in sent.value]
+            out = [(k, w, n) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for w, n in Counter(words(t)).items() if w not in sent.value]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["own_key", "word"])
+                k, w, n = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], ["own_key", "word", "times"])
 
     # equal texts have equal words, so the key of a row is its text's hash
-    held = arrow_map(docs.select(F.sha2(text, 256).alias("own_key"), text.alias("text")), others, "own_key string, word string").distinct()
-    more = materialize(held.join(rest, "word").groupBy("own_key").agg(F.sort_array(F.collect_list("gain")).alias("more")), "more")
-    return sent, source.withColumn("own_key", F.sha2("own_text", 256)).join(more, "own_key", "left").drop("own_key")
+    held = arrow_map(docs.select(F.sha2(text, 256).alias("own_key"), text.alias("text")), others, "own_key string, word string, times long").distinct()
+    more = held.join(rest, "word").groupBy("own_key").agg(F.round(F.sum(F.col("times") * F.col("gain")), 9).alias("more"))
+    return sent, source.withColumn("own_key", F.sha2("own_text", 256)).join(materialize(more, "more"), "own_key", "left").drop("own_key")
 
 
 def _measured(docs: DataFrame, model: Model, carried: list[str], text_col: str) -> DataFrame:
-    """The ``carried`` columns of every row and the FEATURES of its text, a to d."""
+    """The ``carried`` columns of every row, and x: the normalised difference of its text's log-likelihoods; 0 without words."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.coalesce(F.col(text_col), F.lit("")).alias("own_text"))
     names, arrays = [f"c{i}" for i in range(len(carried))], model.arrays()
@@ -337,36 +326,37 @@ def _measured(docs: DataFrame, model: Model, carried: list[str], text_col: str)
 
     def from_words(batch):
         for t, more in zip(batch.column("own_text").to_pylist(), batch.column("more").to_pylist()):
-            yield measures([g for g in map(sent.value.get, words(t)) if g is not None] + (more or []))
+            own = words(t)
+            yield (sum(n * sent.value.get(w, 0.0) for w, n in Counter(own).items()) + (more or 0.0)) / max(1, len(own)) ** 0.5
 
     def from_strings(batch):
         texts = batch.column("own_text").to_pylist()
         for i in range(0, len(texts), 64):
-            own = [list(words(t)) for t in texts[i : i + 64]]
-            sent.value.look_up(list(dict.fromkeys(w for ws in own for w in ws)))
-            yield from (measures(list(map(sent.value.known.__getitem__, ws))) for ws in own)
+            own = [words(t) for t in texts[i : i + 64]]
+            sent.value.look_up(list({w: None for ws in own for w in ws}))
+            add = sent.value.known.__getitem__
+            yield from (sum(map(add, ws)) / max(1, len(ws)) ** 0.5 for ws in own)
 
     measure = from_words if arrays is None else from_strings
     del arrays
 
     def run(batches):
         for batch in batches:
-            x = np.array([*measure(batch)], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *[pa.array(x[:, i]) for i in range(FEATURES)]], [*names, *"abcd"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array([*measure(batch)], pa.float64())], [*names, "x"])
 
-    schema = ", ".join([*[f"{n} {kinds[c]}" for n, c in zip(names, carried)], *[f"{x} double" for x in "abcd"]])
-    measured = arrow_map(source, run, schema)
-    return measured.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], *"abcd")
+    schema = ", ".join([*[f"{n} {kinds[c]}" for n, c in zip(names, carried)], "x double"])
+    return arrow_map(source, run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, carried)], "x")
 
 
 def score(docs: DataFrame, model: Model, carried: list[str], text_col: str = "text") -> DataFrame:
     """The ``carried`` columns of every row, and score: the probability that its text is toxic.
 
-    A null text is empty; a text without words gets the score of no evidence.
+    A null text is empty; a text without words gets the score of no evidence;
+    a text of any length is judged whole. Carried columns may have any name but score.
     """
     renamed = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(carried)], F.col(text_col).alias("own_text"))
     measured = _measured(renamed, model, [f"k{i}" for i in range(len(carried))], "own_text")
-    weighed = sum((F.col(x) * float(w) for x, w in zip("abcd", model.curve[1:])), F.lit(float(model.curve[0])))
+    weighed = F.lit(float(model.curve[0])) + F.col("x") * float(model.curve[1])
     score = 1 / (1 + F.exp(-F.greatest(F.least(weighed, F.lit(30.0)), F.lit(-30.0))))
     return measured.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(carried)], score.alias("score"))
 
@@ -376,8 +366,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are learnt only where crc32 of the id as text is not divisible by
     FOLDS; null labels and unlabelled rows teach nothing; repeated labels of an
-    id count once, as toxic if any is. A null id is not held out. Empty tables
-    give an empty table.
+    id count once, as toxic if any is. A null id is not held out; repeated rows
+    are scored alike, and equal scores stand side by side. Empty tables give an
+    empty table. Other columns are ignored, whatever their names.
     """
     scored = score(docs, train(docs, labels, id_col, text_col), [id_col], text_col)
     held = F.coalesce(_fold(id_col) == 0, F.lit(False))

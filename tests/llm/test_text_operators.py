@@ -211,37 +211,33 @@ def test_toxicity_learns_from_the_other_folds_only(spark, table):
 
 
 def plain_gain(word, counts):
-    """The gain of a word by the definition, from all counts."""
-    totals, p = defaultdict(lambda: [0, 0, 0, 0]), {}
-    for g, pair in counts.items():
-        for c in (0, 1):
-            totals[g[:-1]][c] += pair[c]
-            totals[g[:-1]][c + 2] += min(pair[c], toxicity.DISCOUNT)
-    shared = {g: len({h[0] for h in counts if len(h) == 2 and h[1] == g}) + 0.5 for g in counts if len(g) == 1}
-    weight = lambda h, c: totals[h][c + 2] / totals[h][c] if totals[h][c] else 1.0
+    """The gain of a word by the definition: two Kneser-Ney models over the continuation counts of both."""
+    d, size = toxicity.DISCOUNT, toxicity.ORDER
+    continued = {size - 1: Counter(g[1:] for g in counts)}
+    for k in range(size - 2, 0, -1):
+        continued[k] = Counter(u[1:] for u in continued[k + 1])
+
+    def shared(u):
+        if not u:
+            return 1 / (len(continued[1]) + 1)
+        behind = {v: n for v, n in continued[len(u)].items() if v[:-1] == u[:-1]}
+        if not behind:
+            return shared(u[1:])
+        return (max(behind.get(u, 0) - d, 0) + d * len(behind) * shared(u[1:])) / sum(behind.values())
 
     def probability(g, c):
-        if len(g) == 1:
-            return shared[g] / sum(shared.values())
-        if (g, c) not in p:
-            n = totals[g[:-1]][c]
-            p[g, c] = (max(counts[g][c] - toxicity.DISCOUNT, 0) / n if n else 0) + weight(g[:-1], c) * probability(g[1:], c)
-        return p[g, c]
-
-    total, padded = 0.0, f"^{word}$"
-    for end in range(2, len(padded) + 1):
-        for start in range(max(0, end - toxicity.ORDER), end - 1):
-            if (g := padded[start:end]) in counts:
-                total += np.log(probability(g, 0) / probability(g, 1))
-                break
-            if g[:-1] in totals:
-                total += np.log(weight(g[:-1], 0) / weight(g[:-1], 1))
-    return total
+        behind = {v: n[c] for v, n in counts.items() if v[:-1] == g[:-1] and n[c]}
+        if not behind:
+            return shared(g[1:])
+        return (max(behind.get(g, 0) - d, 0) + d * len(behind) * shared(g[1:])) / sum(behind.values())
+
+    padded = "^" * (size - 1) + word + "$"
+    return sum(np.log(probability(g, 0) / probability(g, 1)) for g in (padded[i : i + size] for i in range(len(word) + 1)))
 
 
 def test_model_keeps_all_counts_and_all_words(spark, table, monkeypatch):
     random.seed(15)
-    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 8))) for _ in range(300)]
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 8))) for _ in range(120)]
     rows, labels = [], []
     for i in range(600):
         words = random.choices(vocabulary, k=30)
@@ -252,28 +248,29 @@ def test_model_keeps_all_counts_and_all_words(spark, table, monkeypatch):
     crc = lambda i: zlib.crc32(str(i).encode()) % 5
     model = toxicity.train(docs, marks)
     curve = sorted((i for i, _ in labels if crc(i) == 1))
-    by_word, counts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    counts = defaultdict(lambda: [0, 0])
     asked = spark.createDataFrame([(i,) for i in curve], "i long").selectExpr("i", "xxhash64(i) h").orderBy("h").limit(50).collect()
     aside = {r.i for r in asked}
     assert len(curve) > 50
     for i, text in rows:
         if crc(i) and i not in aside:
-            for w in set(text.split()):
-                by_word[w][i % 6 != 0] += 1
-    for w, (a, b) in by_word.items():
-        for g in set(toxicity.grams(w)):
-            counts[g][0] += a
-            counts[g][1] += b
-    counts = {g: n for g, n in counts.items() if sum(n) >= toxicity.LEAST}
-    assert {r.s for r in model.strings.where("ratio is not null").collect()} == {g for g in counts if len(g) > 1}
-    gains, some = {r.word: r.gain for r in toxicity._gains(docs.selectExpr("text"), model).collect()}, ["zuvox", "zuvoxy", "québec", "東京", "ab" * 40, *vocabulary[:10]]
+            for w in text.split():
+                for g in toxicity.grams(w):
+                    counts[g][i % 6 != 0] += 1
+    assert {r.s for r in model.strings.collect()} == set(counts) | {g[:-1] for g in counts}
+    some = ["zuvox", "zuvoxy", "québec", "東京", "ab" * 40, *vocabulary[:10]]
+    want = {w: plain_gain(w, counts) for w in {*some, *rows[0][1].split()}}
+    gains = {r.word: r.gain for r in toxicity._gains(docs.selectExpr("text"), model).collect()}
     for w, sent in zip(some, model.arrays().gains(some)):
-        assert gains[w] == pytest.approx(plain_gain(w, counts), abs=1e-6) and sent == pytest.approx(gains[w], abs=1e-6)
-    whole = {(r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+        assert gains[w] == pytest.approx(want[w], abs=1e-6) and sent == pytest.approx(want[w], abs=1e-6)
+    scores = {(r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    own = rows[0][1].split()
+    x = sum(np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(want[w])) for w in own) / len(own) ** 0.5
+    assert (0, round(1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * x, -30, 30))), 6)) in scores
     monkeypatch.setattr(toxicity, "STRINGS", 0)
     monkeypatch.setattr(toxicity, "SENT", 20)
-    assert whole == {(r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model, ["doc_id"]).collect()}
-    assert len(whole) == 602
+    assert scores == {(r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert len(scores) == 602
 
 
 # ---------------------------------------------------------------- personal data
