@@ -41,6 +41,8 @@ CURVE_ROWS = 20_000
 ORDER, DISCOUNT, SHARE = 5, 0.75, 0.03
 #: The strings of a model that is sent to the tasks (a larger one is joined), and then the words whose gains are sent (others are joined).
 STRINGS, SENT = 2_000_000, 400_000
+#: The labels that go to all tasks (about 100 MB); more are joined with the texts by a shuffle.
+LABELS = 4_000_000
 FOLDS, CURVE_FOLD, CACHED_WORDS = 5, 1, 100_000
 CLASSES = ("toxic", "ordinary")
 
@@ -187,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.xxhash64("doc_id")
     known = marked.where(_fold("doc_id") == CURVE_FOLD).join(rows.select("doc_id"), "doc_id", "left_semi")
     aside = materialize(known.orderBy(place, "doc_id").limit(CURVE_ROWS), "curve")  # CURVE_ROWS rows
-    counted = rows.join(marked.join(F.broadcast(aside.select("doc_id")), "doc_id", "left_anti"), "doc_id").select("text", "toxic")
+    marked = materialize(marked.join(F.broadcast(aside.select("doc_id")), "doc_id", "left_anti"), "labels")
+    counted = rows.join(F.broadcast(marked) if marked.count() <= LABELS else marked, "doc_id").select("text", "toxic")
 
     def add_words(own, row):
         for w in words(row[0]):
