@@ -2,23 +2,25 @@
 
 Seeds are what fixed formats recognise: emails, IP addresses, payment cards,
 phone numbers, and quoted credentials behind an assignment. Every token with a
-digit or an at sign is a mention; its patterns are the words around it together
-with its shape. Spark holds the graph of patterns and instances (distinct
+digit or an at sign is a mention, neighbouring groups of digits are one; its patterns are the words around it, up to
+the next mention, together with whether it has letters. Spark holds the graph of patterns and instances (distinct
 values) as a table and scores it in rounds: a pattern's confidence in a kind is
 the smoothed mean confidence of its distinct instances, an instance's is what
 its patterns give it jointly, and seeds stay certain. Patterns that end with
-enough distinct support and confidence then discover mentions that no format
-recognises.
+enough confidence and enough distinct instances that are certain or believed
+(found by other patterns) then discover mentions that no format recognises.
 
 The graph grows with the number of mentions, not of words; it is counted by
 ``groupBy`` with partial aggregation, so a pattern or value with a third of all
-mentions costs a task one row. All trusted patterns reach the tasks.
+mentions costs a task one row. Up to SENT trusted patterns go to the tasks; more
+stay a table that the mentions are joined with. No pattern is dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 #: Rounds of scoring; what a pattern needs.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
+#: Trusted patterns that are sent to the tasks (about 200 MB); more are joined.
+SENT = 1_000_000
 #: Weight of an unseen counterexample in a pattern's mean.
 DOUBT = 1.0
 
@@ -38,9 +42,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"""[A-Za-z_]{3,20} ?[=:] ?(["'])([A-Za-z0-9+/_-]{16,256})\1""")
+_DIGITS = re.compile(r"\d+")
+_SECRET = re.compile(r"""[A-Za-z_]{3,20} ?[=:] ?(["'])([A-Za-z0-9+/_-]{16,}+)\1""")
 _MARK = re.compile(r"[0-9@]")
 _AROUND = re.compile(r"\S+")
+_GROUP, _GROUPS = re.compile(r"[(+]*[0-9][0-9()./-]*"), re.compile(r"(?: [0-9][0-9./-]*)+")
+_LETTER = re.compile(r"[^\W\d_]")
+_NEXT = re.compile(r"\s*(\S+)")
 #: Punctuation that stands beside a mention and doesn't belong to it.
 _TRIM = "\"'`.,;:!?()[]{}<>*#$%&|"
 
@@ -95,19 +103,12 @@ def seeds(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def shape(value: str) -> str:
-    """Runs of digits as 9, of letters as a, other characters as they are."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value[:400]))[:40]
-
-
 def mentions(text: str, known: list[tuple[str, int, int]]):
-    """(kind or '', start, end, patterns) of the seeds and of the other tokens with a digit or an at sign."""
+    """(kind or '', start, end, patterns) of the seeds and of the other tokens with a digit or an at sign; linear in the text."""
     if not known and not _MARK.search(text):
         return
-    taken = sorted((a, b) for _, a, b in known)
-    for kind, a, b in known:
-        yield kind, a, b, patterns(text, a, b)
-    i, at = 0, 0
+    taken, others = sorted((a, b) for _, a, b in known), []
+    i = at = 0
     while m := _MARK.search(text, at):
         p = m.start()
         while i < len(taken) and taken[i][1] <= p:
@@ -116,32 +117,37 @@ def mentions(text: str, known: list[tuple[str, int, int]]):
             at = taken[i][1]
             continue
         left = p
-        while left > 0 and not text[left - 1].isspace() and left > at:
+        while left > at and not text[left - 1].isspace():
             left -= 1
-        m = _AROUND.match(text, p)
-        stop = min(m.end(), taken[i][0]) if i < len(taken) and taken[i][0] > p else m.end()
-        at = max(stop, p + 1)
+        limit = taken[i][0] if i < len(taken) else len(text)
+        stop = _AROUND.match(text, p, limit).end()
+        if _GROUP.fullmatch(text, left, stop) and (more := _GROUPS.match(text, stop, limit)):
+            stop = more.end()
+        at = stop
         token = text[left:stop]
         a = left + len(token) - len(token.lstrip(_TRIM))
         b = left + len(token.rstrip(_TRIM))
         if b - a >= 5:
-            yield "", a, b, patterns(text, a, b)
+            others.append(("", a, b))
+    every = [*known, *others]
+    starts, stops = sorted(a for _, a, _ in every), sorted(b for _, _, b in every)
+    for kind, a, b in every:
+        before, after = bisect_right(stops, a), bisect_left(starts, b)
+        yield kind, a, b, patterns(text, a, b, stops[before - 1] if before else 0, starts[after] if after < len(starts) else len(text))
 
 
-def patterns(text: str, a: int, b: int) -> list[str]:
-    """Lexical patterns of a mention: its shape with one and with two words to its left, and with its neighbours."""
-    left = text[max(0, a - 80) : a].split()[-2:]
-    right = text[b : b + 40].split()[:1]
-    left = [re.sub(r"\d+", "9", w.lower())[-20:] for w in left]
-    right = [re.sub(r"\d+", "9", w.lower())[:20] for w in right]
-    own = "9a" if any(c.isalpha() for c in text[a : min(b, a + 400)]) else "9"
-    one = left[-1] if left else "^"
-    two = " ".join(left) if len(left) == 2 else "^ " + one
-    return [f"L {one} | {own}", f"LL {two} | {own}", f"LR {one} _ {right[0] if right else '$'} | {own}"]
+def patterns(text: str, a: int, b: int, low: int, high: int) -> list[str]:
+    """Lexical patterns of a mention: one and two words to its left, and its neighbours; @ is another mention, which ends at low or starts at high."""
+    left = text[low:a].rsplit(None, 2)[-2:]
+    left = (["^"] * (low == 0) or ["@"]) * (len(left) < 2) + [_DIGITS.sub("9", w.lower()) for w in left]
+    right = _NEXT.match(text, b, high)
+    right = _DIGITS.sub("9", right[1].lower()) if right else "$" if high == len(text) else "@"
+    own = "9a" if _LETTER.search(text, a, b) else "9"
+    return [f"L {left[-1]} | {own}", f"LL {' '.join(left)} | {own}", f"LR {left[-1]} _ {right} | {own}"]
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[str, float]]:
-    """Patterns that are trusted: pattern -> (kind, confidence). Null texts hold nothing."""
+def patterns_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(pattern, kind, p): the patterns that are trusted, and their confidence. Null texts hold nothing."""
 
     def run(batches):
         for batch in batches:
@@ -178,25 +184,25 @@ def learn(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[str, float
             "pattern", "instance", "kind", "seed", "sure",
             F.when(F.col("seed") != "", F.col("sure")).otherwise(F.coalesce("c", F.lit(0.0))).alias("c"),
         )
-    final = materialize(
-        belief.groupBy("pattern", "kind").agg(
-            (F.sum("c") / (F.count("*") + F.lit(DOUBT))).alias("p"), F.count("*").alias("n"), F.sum("sure").alias("seeds")
-        ),
-        "patterns",
-    )
-    best = final.where((F.col("p") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT)).select("pattern", "kind", "p").orderBy("pattern", "kind").toArrow()
-    return {pattern: (kind, p) for pattern, kind, p in zip(*(c.to_pylist() for c in best.columns))}
+    sure = F.sum((F.col("c") >= CONFIDENCE).cast("long"))
+    final = belief.groupBy("pattern", "kind").agg((F.sum("c") / (F.count("*") + F.lit(DOUBT))).alias("p"), sure.alias("sure"))
+    # CONFIDENCE is above one half, so a pattern has one kind at most
+    return materialize(final.where((F.col("p") >= CONFIDENCE) & (F.col("sure") >= SUPPORT)).select("pattern", "kind", "p"), "patterns")
+
+
+def candidates(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, patterns) of the mentions that no format recognises."""
+    return [(a, b, own) for kind, a, b, own in mentions(text, seeds(text)) if not kind]
 
 
 def find_spans(text: str, trusted: dict[str, tuple[str, float]]) -> list[tuple[str, int, int]]:
-    """All spans of a text: seeds, and mentions whose patterns are trusted."""
-    found = seeds(text)
-    if trusted:
-        for kind, a, b, own in list(mentions(text, found)):
-            best = max((trusted[p] for p in own if p in trusted), key=lambda x: x[1], default=None)
-            if not kind and best:
-                found.append((best[0], a, b))
-    return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+    """The spans of mentions that no format recognises and a pattern of which is trusted: of the most confident pattern, then of the greatest kind."""
+    found = []
+    for a, b, own in candidates(text):
+        best = max(((trusted[p][1], trusted[p][0]) for p in own if p in trusted), default=None)
+        if best:
+            found.append((best[1], a, b))
+    return found
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -221,20 +227,29 @@ def personal_data(docs: DataFrame, carried: list[str], text_col: str = "text") -
 
     Spans are kind:start:end in code points, end exclusive. A null text is
     empty and has no span; repeated rows are judged alike, and their values count
-    once as evidence; an empty table gives an empty table.
+    once as evidence; a text of any length is read whole, in linear time; of equally
+    confident patterns the greatest kind counts; an empty table gives an empty table. Carried
+    columns may be called like those of this operator, except for those that it returns.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(learn(docs, text_col))  # all trusted patterns: they grow with the corpus
+    trusted = patterns_table(docs, text_col)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.coalesce(F.col(text_col), F.lit("")).alias("own_text"))
-    names = [f"c{i}" for i in range(len(carried))]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], text.alias("own_text"))
+    names, sent = [f"c{i}" for i in range(len(carried))], None
+    if trusted.count() <= SENT:
+        own = trusted.toArrow()  # SENT rows
+        sent = docs.sparkSession.sparkContext.broadcast({pattern: (kind, p) for pattern, kind, p in zip(*(c.to_pylist() for c in own.columns))})
+    else:
+        source = source.withColumn("own_key", F.sha2("own_text", 256)).join(_joined(docs.select(text.alias("text")), trusted), "own_key", "left").drop("own_key")
 
     def run(batches):
         types = [*[pa.int64()] * 4, *[pa.string()] * 3]
         for batch in batches:
             out = []
-            for text in batch.column(len(carried)).to_pylist():
-                spans = find_spans(text, sent.value)
+            texts = batch.column("own_text").to_pylist()
+            more = [[(x["kind"], x["a"], x["b"]) for x in found or []] for found in batch.column("found").to_pylist()] if sent is None else (find_spans(t, sent.value) for t in texts)
+            for text, found in zip(texts, more):
+                spans = sorted([*seeds(text), *found], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
                 base = base_spans(text)
                 counts = [sum(k == kind for k, _, _ in base) for kind in BASE]
                 out.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans)))
@@ -246,3 +261,17 @@ def personal_data(docs: DataFrame, carried: list[str], text_col: str = "text") -
 
     schema = ", ".join([*[f"{n} {kinds[c]}" for n, c in zip(names, carried)], *[f"n_{k} long" for k in BASE], "base_sha256 string, spans string, redacted string"])
     return arrow_map(source, run, schema).withColumnsRenamed(dict(zip(names, carried)))
+
+
+def _joined(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(own_key, found): by the hash of a text the spans of find_spans, by a join with the trusted patterns. Equal texts have equal spans."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(k, a, b, p) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for a, b, own in candidates(t) for p in own]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["own_key", "a", "b", "pattern"])
+
+    asked = arrow_map(texts.select(F.sha2("text", 256).alias("own_key"), "text"), run, "own_key string, a int, b int, pattern string").distinct()
+    best = asked.join(trusted, "pattern").groupBy("own_key", "a", "b").agg(F.max(F.struct("p", "kind")).alias("best"))
+    return materialize(best.groupBy("own_key").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "a", "b")).alias("found")), "found")
