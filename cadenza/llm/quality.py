@@ -9,8 +9,8 @@ shrunk rate is clearly below the corpus, and all documents of a host go whose
 shrunk rate leaves hardly any good one.
 
 Everything is DataFrame expressions. Repeated three-word windows are found by
-sorting 64-bit numbers (window hash above, position below), not by comparing
-windows. Only measures, no texts, pass through the two shuffles.
+sorting 64-bit numbers (the upper bits of a window's hash above, its position
+below), or pairs where these bits don't tell all hashes apart, not by comparing windows. Only measures, no texts, pass through the two shuffles.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 0.5
 MOST_SYMBOLS, MOST_DUP_LINES, LEAST_DUP_LINES, MOST_CAPITALS, SHORT_WORD, LONG_WORD = 0.10, 0.30, 3, 0.50, 2.0, 14.0
 #: Shrunk rates: at most this share of the corpus rate excuses a failed rule; at least this rate condemns a host.
 GOOD_HOST, BAD_HOST = 0.5, 0.9
-#: Bits of a position inside a sorted number; texts with more words are compared by pairs of hash and position.
+#: Bits of a position inside a sorted number; texts with more words, or with two hashes equal in the other bits, are compared by pairs of hash and position.
 POSITION_BITS = 20
 
 
@@ -44,19 +44,23 @@ def repeated_words(words: Column, size: int = 3) -> Column:
         F.array().cast("array<bigint>")
     )
 
+    low = (1 << POSITION_BITS) - 1
+
     def covered(hashes: Column) -> Column:
-        low = (1 << POSITION_BITS) - 1
         packed = F.array_sort(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
         return _covered(packed, lambda x: x.bitwiseAND(F.lit(low)).cast("int"), hashes, size)
 
-    def covered_long(hashes: Column) -> Column:
+    def covered_as_pairs(hashes: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return _covered(pairs, lambda x: x["i"], hashes, size)
 
     def count(hashes: Column) -> Column:
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).when(
-            F.size(hashes) < (1 << POSITION_BITS), covered(hashes)
-        ).otherwise(covered_long(hashes))
+        def by_distinct(distinct: Column) -> Column:
+            # the upper bits of a hash and a position make one number, if no two hashes share these bits
+            told_apart = F.size(F.array_distinct(F.transform(distinct, lambda h: h.bitwiseAND(F.lit(~low))))) == F.size(distinct)
+            return F.when(F.size(distinct) == F.size(hashes), F.lit(0)).when((F.size(hashes) < (1 << POSITION_BITS)) & told_apart, covered(hashes)).otherwise(covered_as_pairs(hashes))
+
+        return let(F.array_distinct(hashes), by_distinct)
 
     return let(windows, count)
 
