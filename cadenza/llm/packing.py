@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .scratch import arrow_map, materialize
 
 LENGTH, END_ID = 2048, 1
-#: Proportions are counted in units of 1 / UNITS; more sources than MAX_QUEUES share queues by hash.
+#: Proportions are counted in units of 1 / UNITS; beyond MAX_QUEUES sources those without a target share queues by hash.
 UNITS, MAX_QUEUES = 1 << 20, 1024
 #: A worker's memory of encoded pieces, in pieces and in characters a piece.
 CACHED_PIECES, LONG_ENTRY = 300_000, 64
@@ -252,31 +252,35 @@ class Plan:
                 return
 
 
-def tokenized(docs: DataFrame, tokenizer: str, queues: int | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, queue, part, at, n, ids): ids end with END_ID; at counts the queue's tokens before, in this partition."""
-    queue = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    if queues:
-        queue = F.pmod(F.xxhash64(queue), F.lit(queues)).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), queue.alias("queue"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def tokenized(docs: DataFrame, tokenizer: str, own: list[str] | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, queue, part, at, n, ids): ids end with END_ID; at counts the queue's tokens before, in this partition.
+
+    A source is a queue (s and its name); if ``own`` is given, only these are, and the others share MAX_QUEUES by hash (h and a number).
+    """
+    name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    queue = F.concat(F.lit("s"), name)
+    if own is not None:
+        queue = F.when(name.isin(own), queue).otherwise(F.concat(F.lit("h"), F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string")))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), name.alias("source"), queue.alias("queue"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         part, seen, coder = TaskContext.get().partitionId(), {}, encoder(tokenizer)
         end, wide = np.array([END_ID], coder.kind).tobytes(), coder.kind.itemsize
         for whole in batches:
-            for batch in _portions(whole, 2):
-                flat, edges = coder.encode(batch.column(2))
+            for batch in _portions(whole, 3):
+                flat, edges = coder.encode(batch.column(3))
                 data, edges = flat.tobytes(), (edges * wide).tolist()
                 ids = [data[a:b] + end for a, b in zip(edges, edges[1:])]
                 at, sizes = [], [len(x) // wide for x in ids]
-                for name, n in zip(batch.column(1).to_pylist(), sizes):
+                for name, n in zip(batch.column(2).to_pylist(), sizes):
                     at.append(seen.get(name, 0))
                     seen[name] = at[-1] + n
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "queue", "part", "at", "n", "ids"],
+                    [*batch.columns[:3], pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "source", "queue", "part", "at", "n", "ids"],
                 )
 
-    return arrow_map(source, run, "doc_id long, queue string, part int, at long, n long, ids binary")
+    return arrow_map(source, run, "doc_id long, source string, queue string, part int, at long, n long, ids binary")
 
 
 def pack(
@@ -293,28 +297,30 @@ def pack(
     """Place every token of ``docs`` in a sequence of ``length`` tokens.
 
     ``targets`` gives proportions by source (default: those of the corpus);
-    sources without one follow when the others have run dry. Returns a row per
-    piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, and ids (unsigned 32-bit) on demand. All sequences but the last are
+    sources without one follow when the others have run dry. Beyond MAX_QUEUES
+    sources those without a target share queues, so what holds for a source holds for its
+    queue; targets hold whatever the number of sources (the plan grows with the square of the targets). Returns a row per
+    piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset, source, and ids (unsigned 32-bit) on demand. All sequences but the last are
     full. A null text is empty and packs as its end id; a null source is the
     queue ""; repeated rows are packed each; an empty table gives an empty
     table; other columns are ignored.
     """
     spark = docs.sparkSession
     sources = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).distinct().limit(MAX_QUEUES + 1).count()
-    queues = MAX_QUEUES if sources > MAX_QUEUES else None
-    tokens = materialize(tokenized(docs, tokenizer, queues, id_col, text_col, source_col), "tokens")
+    own = sorted(targets or ()) if sources > MAX_QUEUES else None
+    tokens = materialize(tokenized(docs, tokenizer, own, id_col, text_col, source_col), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
-    totals = {x["queue"]: x["n"] for x in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows
+    totals = {x["queue"]: x["n"] for x in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows and the targets
     names = sorted(totals)
-    wanted = [totals[q] if targets is None or queues else targets.get(q, 0.0) for q in names]
+    wanted = [totals[q] if targets is None else targets.get(q[1:], 0.0) if q[0] == "s" else 0.0 for q in names]
     plan = spark.sparkContext.broadcast(Plan([totals[q] for q in names], wanted, round_tokens or length))
     index = {q: i for i, q in enumerate(names)}
-    placed = tokens.join(bases.select("queue", "part", "base"), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
+    placed = tokens.join(bases.select("queue", "part", "base"), ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
     wide = (encoder(tokenizer).kind.itemsize == 2 and "<u2") or "<u4"
-    fields = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", *["ids"] * with_ids]
 
     def run(batches):
         memory: dict = {}
@@ -323,7 +329,7 @@ def pack(
             for i in range(0, whole.num_rows, 2048):
                 batch = whole.slice(i, 2048)
                 rows, starts, sizes, crcs, places, own = [], [], [], [], [], []
-                for row, (queue, at, n, ids) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                for row, (queue, at, n, ids) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
                     ids = np.frombuffer(ids, wide).astype("<u4").tobytes()
 
                     def add(start, size, position):
@@ -342,12 +348,12 @@ def pack(
                     places = np.array(places, np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
-                            pa.array(crcs, pa.int64()), batch.column(3).take(rows), pa.array(places // length), pa.array(places % length),
+                            batch.column(0).take(rows), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                            pa.array(crcs, pa.int64()), batch.column(4).take(rows), pa.array(places // length), pa.array(places % length), batch.column(1).take(rows),
                             *[pa.array(own, pa.binary())] * with_ids,
                         ],
                         fields,
                     )
 
-    schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     return arrow_map(placed, run, schema + ", ids binary" * with_ids)
