@@ -91,7 +91,8 @@ class Coder:
         merges = pa.table(dict(zip(("head", "tail", "token"), (pa.array(c, pa.int32()) for c in zip(*pairs)))))  # noqa: F841
         vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int64()), "hex": pa.array([t.hex() for t in self.ranks])})  # noqa: F841
         self.engine = duckdb.connect()
-        self.engine.execute("SET threads = 1; SET memory_limit = '250MB'; SET preserve_insertion_order = false")
+        # no temporary folder: nothing is spilled to the worker's disk
+        self.engine.execute("SET threads = 1; SET memory_limit = '250MB'; SET temp_directory = ''; SET preserve_insertion_order = false")
         self.engine.execute("CREATE TABLE merges AS SELECT * FROM merges; CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
     def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
