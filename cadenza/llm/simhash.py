@@ -30,6 +30,8 @@ from .scratch import arrow_map, materialize
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: Shingles whose bits are counted at once, and fingerprints in a bucket that is searched undivided.
 CHUNK, LARGE_BUCKET = 1 << 15, 20_000
+#: The maps of the masks that divide large buckets, one after another; fingerprints that still stand together differ in a few bits only.
+SHIFTS = (3, 5, 9)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -93,16 +95,17 @@ def spanning_edges(values: np.ndarray, radius: int) -> list[tuple[np.ndarray, np
     return found
 
 
-def bucket_edges(values: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    if len(values) <= LARGE_BUCKET:
+def bucket_edges(values: np.ndarray, radius: int, level: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that hold the linked groups of a bucket together; a large bucket is divided, and so are its parts, by the masks of another map."""
+    if len(values) <= LARGE_BUCKET or level == len(SHIFTS):
         return spanning_edges(values, radius)
     found = []
-    for mask in covering_masks(radius, shift=3):
+    for mask in covering_masks(radius, SHIFTS[level]):
         keys = values & np.uint64(mask)
         order = np.argsort(keys, kind="stable")
         for part in np.split(values[order], np.flatnonzero(np.diff(keys[order])) + 1):
             if len(part) > 1:
-                found += spanning_edges(part, radius)
+                found += bucket_edges(part, radius, level + 1)
     return found
 
 
