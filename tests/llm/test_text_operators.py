@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from cadenza.llm import bpe, fingerprints, html_text, licenses, packing, pii, quality, toxicity
@@ -84,6 +85,21 @@ def test_every_token_is_packed_once(spark, table, targets):
     assert packing.pack(table([]), WORDS).count() == 0
 
 
+def test_targets_hold_for_many_sources(spark, table, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    random.seed(12)
+    rows = [(i, " ".join(random.choices(["one", "two", "three"], k=40)), "en", "a" if i % 3 == 0 else "b" if i % 3 == 1 else f"s{i}") for i in range(150)]
+    pieces = packing.pack(table(rows), WORDS, targets={"a": 3.0, "b": 1.0}, length=256).collect()
+    assert pieces[0].__fields__[:8] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+    assert all(x.source == rows[x.doc_id][3] for x in pieces) and {x.doc_id for x in pieces} == set(range(150))
+    shares = Counter()
+    for x in pieces:
+        if x.sequence_id < 5:
+            shares[x.source] += x.length
+    assert set(shares) == {"a", "b"} and shares["a"] == pytest.approx(3 * shares["b"], abs=8)
+    assert sum(x.length for x in packing.pack(table(rows), WORDS, length=256).collect()) == sum(x.length for x in pieces)
+
+
 # ---------------------------------------------------------------- fingerprints and quality
 
 
@@ -119,6 +135,50 @@ def test_fingerprints_estimate_likeness(spark, table):
     assert fingerprints.fingerprints(table([(5, "a b c d e f")])).first().near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash and its densification by the definition, with the hash that Spark's xxhash64 is."""
+    number = lambda v, size, seed=42: xxhash.xxh64_intdigest((v % (1 << 8 * size)).to_bytes(size, "little"), seed)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    words = [w for w in re.split(fingerprints.BLANK, text.lower()) if w]
+    hashes = []
+    for i in range(len(words) - 4):
+        h = 42
+        for w in words[i : i + 5]:
+            h = number(xxhash.xxh64_intdigest(w.encode(), 42), 8, h)
+        hashes.append(signed(h))
+    if not hashes and words:
+        hashes = [signed(xxhash.xxh64_intdigest(" ".join(words).encode(), 42))]
+    if not hashes:
+        return ""
+    least = {}
+    for h in hashes:
+        least[(h >> 56) + 128] = min(h, least.get((h >> 56) + 128, h))
+    out = []
+    for i in range(256):
+        order = [signed(number(k, 4, number(i, 4))) % 256 for k in range(fingerprints.ASKED + 1)]
+        asked = [i, *order[:-1], *[(order[-1] + j) % 256 for j in range(256)]]
+        found = next(least[b] for b in asked if b in least)
+        out.append(number(i, 4, number(found, 8)) & 15)
+    return "".join(f"{v:x}" for v in out)
+
+
+def test_fingerprints_equal_their_definition(spark, table):
+    random.seed(18)
+    made = [" ".join(random.choices(["Ab", "cd", "ef", "é", "gh", "ij"], k=n)) for n in (0, 1, 3, 4, 5, 6, 12, 40, 200, 3000)]
+    rows = list(enumerate(made))
+    got = {r.doc_id: r for r in fingerprints.fingerprints(table(rows)).collect()}
+    for i, text in rows:
+        assert got[i].fingerprint == plain_fingerprint(text)
+        follower = made[i - 1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + follower[:half]
+        assert got[i].edited_fingerprint == plain_fingerprint(edited) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = got[i].fingerprint, plain_fingerprint(follower)
+        agree = sum(x == y for x, y in zip(a, b)) / 256
+        want = 1.0 if not a and not b else 0.0 if not a or not b else max(0.0, (agree - 1 / 16) / (1 - 1 / 16))
+        assert got[i].near_next == pytest.approx(want)
+
+
 def test_quality_measures_and_verdicts(spark, table):
     lines = "good line of plain words here\n" * 4 + "ends\n\n \t\n"
     junk = " ".join(f"w{i}###" for i in range(200))
@@ -152,8 +212,9 @@ def test_host_rates_shrink(spark):
 def test_sorting_by_position_equals_sorting_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(" ".join(random.choices("abc", k=60)).split(),) for _ in range(20)], "w array<string>")
     packed = [r[0] for r in df.select(quality.repeated_words(df.w)).collect()]
-    monkeypatch.setattr(quality, "POSITION_BITS", 1)
-    assert packed == [r[0] for r in df.select(quality.repeated_words(df.w)).collect()]
+    for bits in (1, 61):  # too many words, and hashes that the other bits don't tell apart
+        monkeypatch.setattr(quality, "POSITION_BITS", bits)
+        assert packed == [r[0] for r in df.select(quality.repeated_words(df.w)).collect()]
 
 
 # ---------------------------------------------------------------- byte-level BPE
@@ -323,11 +384,72 @@ def test_no_trusted_pattern_is_dropped(spark, table):
     letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
     n = 3400  # three patterns each
     rows = [(i, "\n".join(f"w{letters(i)} q{letters(i)} u{i}x{k}@example.com z{letters(i)}" for k in range(6))) for i in range(n)]
-    trusted = pii.learn(table(rows))
+    trusted = {r.pattern: r.kind for r in pii.patterns_table(table(rows)).collect()}
     assert len(trusted) > 10_000
     assert all(f"LR q{letters(i)} _ z{letters(i)} | 9a" in trusted for i in range(n))
 
 
+def plain_trusted(texts):
+    """The trusted patterns by the definition: dictionaries in place of tables."""
+    kind_of, own = {}, defaultdict(set)
+    for text in texts:
+        for kind, a, b, found in pii.mentions(text or "", pii.seeds(text or "")):
+            for p in found:
+                kind_of[p, text[a:b]] = max(kind, kind_of.get((p, text[a:b]), ""))
+                own[p].add(text[a:b])
+    own = {p: values for p, values in own.items() if len(values) >= pii.SUPPORT}
+    edges = [(p, v, kind_of[p, v]) for p, values in own.items() for v in values]
+    belief = {(p, v, k): float(seed == k) for p, v, seed in edges for k in pii.KINDS}
+
+    def means():
+        return {(p, k): sum(belief[p, v, k] for v in values) / (len(values) + pii.DOUBT) for p, values in own.items() for k in pii.KINDS}
+
+    for _ in range(pii.ROUNDS):
+        score, joint = means(), defaultdict(lambda: 1.0)
+        for p, v, seed in edges:
+            for k in pii.KINDS:
+                if not seed and score[p, k] > 0.05:
+                    joint[v, k] *= 1 - min(score[p, k], 0.999)
+        belief = {(p, v, k): float(seed == k) if seed else 1 - joint[v, k] for p, v, seed in edges for k in pii.KINDS}
+    score = means()
+    sure = lambda p, k: sum(belief[p, v, k] >= pii.CONFIDENCE for v in own[p])
+    return {p: (k, score[p, k]) for p in own for k in pii.KINDS if score[p, k] >= pii.CONFIDENCE and sure(p, k) >= pii.SUPPORT}
+
+
+def test_patterns_equal_their_definition(spark, table):
+    random.seed(19)
+    number = lambda: "".join(random.choices("0123456789", k=9))
+    made = [f"{random.choice(['call', 'ring'])} {random.choice(['me', 'us'])} {random.choice(['at', 'on'])} {random.choice(['+' + number(), number(), '020 ' + number()[:4] + ' 0958'])} today" for _ in range(150)]
+    made += [f"id {number()} of {random.choice(['x', 'y'])}" for _ in range(40)] + [f"write to u{i}@mail.example.com now" for i in range(12)] + [None, ""]
+    trusted = pii.patterns_table(table(list(enumerate(made))))
+    got = {r.pattern: (r.kind, r.p) for r in trusted.collect()}
+    want = plain_trusted(made)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1]) for p in want)
+
+
+def test_patterns_that_are_joined_find_the_same(spark, table, monkeypatch):
+    random.seed(20)
+    made = [f"Dial the number +{random.randint(10**9, 10**10)} for x." for _ in range(30)] + ["Dial the number 5550-12345 for x.", "Dial the number 020 7946 0958 for x.", None, "", "Dial the number 5550-12345 for x."]
+    docs = table([(i % 31 if i else None, t) for i, t in enumerate(made)])
+    sent = sorted(map(str, pii.personal_data(docs, ["doc_id", "lang"]).collect()))
+    assert sum("phone:" in x for x in sent) == 33 and any("<PHONE> for" in x for x in sent)
+    monkeypatch.setattr(pii, "SENT", 0)
+    assert sent == sorted(map(str, pii.personal_data(docs, ["doc_id", "lang"]).collect()))
+
+
+def test_long_neighbours_are_read_whole():
+    x, y, z, w = ("x" * 300, "y" * 300, "z" * 100, "w" * 90)
+    text = f"{x} {y} {z} a1@b.cd {w} 020 7946 0958 e"
+    found = [(text[a:b], own) for _, a, b, own in pii.mentions(text, pii.seeds(text))]
+    assert found == [("a1@b.cd", [f"L {z} | 9a", f"LL {y} {z} | 9a", f"LR {z} _ {w} | 9a"]), ("020 7946 0958", [f"L {w} | 9", f"LL @ {w} | 9", f"LR {w} _ e | 9"])]
+    assert pii.seeds("password = '" + "a1" * 500 + "'")[0][2] > 1000
+    began = time.perf_counter()
+    for part in ("a@b.cd,", "1" * 9 + " ", "x1@", "+1 2 3 4 5 6 7 8 ", "p='a1" + "b" * 20 + "' "):
+        pii.find_spans(part * 30_000, {"L x | 9": ("phone", 0.9)})
+    assert time.perf_counter() - began < 30  # quadratic: hours
+
+
 def test_redaction_joins_overlaps():
     assert pii.redact("ab12345cd", [("card", 2, 5), ("phone", 3, 7)]) == "ab<CARD>cd"
 
