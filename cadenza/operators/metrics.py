@@ -79,15 +79,18 @@ def pattern_metrics(df: DataFrame, pattern: str, label: str, decision: str) -> D
     )
 
 
-def running_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+def running_counts(df: DataFrame, score: str, label: str | tuple[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """Distinct scores of each group with pos, neg, and above_pos, above_neg: the rows of greater or equal score.
 
+    ``label`` may be two columns of counts, of errors and of others, in a table with one row per group and score.
     Rows without a score or a label take no part.
     """
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    distinct = rows.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    ).withColumn("bucket", F.floor(F.col("score") * BUCKETS))
+    if isinstance(label, tuple):
+        own = df.where(F.col(score).isNotNull()).select(*keys, F.col(score).alias("score"), F.col(label[0]).alias("pos"), F.col(label[1]).alias("neg")).where("pos + neg > 0")
+    else:
+        rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        own = rows.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    distinct = own.withColumn("bucket", F.floor(F.col("score") * BUCKETS))
     sums = distinct.groupBy(*keys, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     over = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -103,7 +106,7 @@ def running_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] =
     )
 
 
-def pr_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+def pr_curve(df: DataFrame, score: str, label: str | tuple[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """WN-08, WN-16, AG-23: precision and recall of the decision score >= threshold, a row per distinct score."""
     c = running_counts(df, score, label, keys)
     return c.select(

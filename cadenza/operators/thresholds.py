@@ -8,10 +8,9 @@ Sweeps evaluate all settings in one pass over the data.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .metrics import confusion, derived, pr_curve, ratio
 
@@ -33,7 +32,7 @@ def recall_at_precision(df: DataFrame, score: str, label: str, least: float, key
     return _best(curve, keys, [F.col("recall"), -F.col("threshold")], (F.col("precision") >= least) & (F.col("positives") > 0), POINT)
 
 
-def threshold_or_most_precise(df: DataFrame, score: str, label: str, least: float, keys: Sequence[str] = ()) -> DataFrame:
+def threshold_or_most_precise(df: DataFrame, score: str, label: str | tuple[str, str], least: float, keys: Sequence[str] = ()) -> DataFrame:
     """WN-09, ML-49: as recall_at_precision, falling back on the most precise point (then recall); found tells which."""
     curve = pr_curve(df, score, label, keys).where("positives > 0")
     met = F.col("precision") >= least
@@ -85,15 +84,23 @@ def hierarchical_thresholds(
 ) -> DataFrame:
     """ML-11, ML-13, ML-14, ML-17: (level, key, threshold) for all rows and for every value of each level that has support.
 
-    A value needs ``least_rows`` rows, ``least_positives`` errors and one correct row.
+    A value needs ``least_rows`` rows, ``least_positives`` errors and one correct row. The rows are counted once by
+    levels and score; the counts, not the rows, are dealt to the levels, and one search serves all of them.
     """
-    found = [threshold_or_most_precise(dev, score, label, least_precision).select(F.lit("global").alias("level"), F.lit("").alias("key"), "threshold")]
-    for level in levels:
-        support = dev.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-        enough = support.where((F.col("n") >= least_rows) & (F.col("p") >= least_positives) & (F.col("n") > F.col("p"))).select(level)
-        own = threshold_or_most_precise(dev.join(enough, level, "left_semi"), score, label, least_precision, [level])
-        found.append(own.select(F.lit(level).alias("level"), F.col(level).cast("string").alias("key"), "threshold"))
-    return reduce(DataFrame.unionByName, found)
+    value = F.col(score).cast("double")
+    counts = dev.groupBy(*levels, value.alias("_score")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
+    )
+    places = [F.struct(F.lit(level).alias("level"), F.col(level).cast("string").alias("key")) for level in levels]
+    everywhere = F.struct(F.lit("global").alias("level"), F.lit("").alias("key"))
+    dealt = counts.select("_score", "_n", "_pos", "_neg", F.inline(F.array(everywhere, *places))).groupBy("level", "key", "_score").agg(*[F.sum(c).alias(c) for c in ("_n", "_pos", "_neg")])
+    whole = Window.partitionBy("level", "key")  # a row a score: as many as a value has distinct scores, already counted
+    supported = dealt.withColumns({"_rows": F.sum("_n").over(whole), "_errors": F.sum("_pos").over(whole)})
+    enough = (F.col("_rows") >= least_rows) & (F.col("_errors") >= least_positives) & (F.col("_rows") > F.col("_errors")) & F.col("key").isNotNull()
+    kept = supported.where((F.col("level") == "global") | enough)
+    found = threshold_or_most_precise(kept, "_score", ("_pos", "_neg"), least_precision, ["level", "key"]).select("level", "key", "threshold")
+    whole_table = dev.sparkSession.createDataFrame([("global", "")], "level string, key string")  # there with a null threshold, too
+    return found.where("level <> 'global'").unionByName(whole_table.join(F.broadcast(found.where("level = 'global'")), ["level", "key"], "left"))
 
 
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, score: str, levels: Sequence[str]) -> DataFrame:
@@ -122,14 +129,17 @@ def settings(grid: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def sweep(df: DataFrame, grid: Mapping[str, Sequence[float]], decide, label: str, inputs: Sequence[str]) -> DataFrame:
+def sweep(df: DataFrame, grid: Mapping[str, Sequence[float]], decide, label: str, inputs: Sequence[str], cells: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """ML-38, ML-39, ML-41: confusion counts and metrics of every setting, in one pass.
 
     ``decide(row, setting)`` gives the decision as a boolean column of ``inputs`` and
-    of the parameters. Rows are first merged by equal inputs and label, so the
-    settings multiply the distinct inputs and not the rows.
+    of the parameters. ``cells`` names the parameters that an input is compared with (by >=, >, <= or <): the input is
+    first replaced by one value of its cell between their values, so the settings multiply at
+    most the cells of the grid, however many rows and distinct inputs there are. Inputs
+    without an entry are merged by equal values.
     """
-    merged = df.groupBy(*inputs, label).agg(F.count(F.lit(1)).alias("weight"))
+    merged = df.select(*[_cell(F.col(c), [v for p in cells[c] for v in grid[p]]).alias(c) if cells and c in cells else F.col(c) for c in inputs], label)
+    merged = merged.groupBy(*inputs, label).agg(F.count(F.lit(1)).alias("weight"))
     table = F.array(*[F.struct(F.lit(i).alias("setting"), *[F.lit(float(v)).alias(k) for k, v in s.items()]) for i, s in enumerate(settings(grid))])
     each = merged.select("*", F.explode(table).alias("s")).select(*inputs, label, "weight", "s.*")
     hit = decide({c: F.col(c) for c in inputs}, {k: F.col(k) for k in grid})
@@ -139,6 +149,15 @@ def sweep(df: DataFrame, grid: Mapping[str, Sequence[float]], decide, label: str
     return derived(summed)
 
 
+def _cell(value: Column, candidates: Sequence[float]) -> Column:
+    """The candidate that the value equals, else a number between the candidates beside it; nulls stay."""
+    at = sorted({float(c) for c in candidates})
+    found = F.lit(at[0] - 1.0)
+    for low, high in zip(at, [*at[1:], at[-1] + 2.0]):
+        found = F.when(value == low, low).when(value > low, (low + high) / 2).otherwise(found)
+    return F.when(value.isNotNull(), found)
+
+
 def best_setting(swept: DataFrame, least_precision: float) -> DataFrame:
     """SO-03, SO-04, SO-11, SO-12, ML-69: of the settings that are precise enough, else of all, the best; ties by number."""
     met = (F.col("precision") >= least_precision).cast("int")
