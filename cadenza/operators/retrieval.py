@@ -6,47 +6,82 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..shipping import ship
 
 
+#: Tasks that the rows of one model are dealt to.
+SALTS = 16
+#: Vectors of queries and of items that one task multiplies at once.
+QUERY_BLOCK, ITEM_BLOCK = 512, 4_096
+
+
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     """The vector divided by its length; a zero vector stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return df.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm)))
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _blocks(df: DataFrame, key: str, identity: str, vector: str, size: int) -> DataFrame:
+    """(key, block, ids, vectors): the rows of each key in blocks of about ``size`` by hash; null vectors and keys are left out."""
+    rows = df.where(F.col(vector).isNotNull()).select(key, F.col(identity).alias("_id"), F.col(vector).alias("_v"))
+    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
+    dealt = rows.join(counts, key).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    held = F.collect_list(F.struct("_id", "_v")).alias("x")  # about ``size`` rows
+    return dealt.groupBy(key, "_block", "_blocks").agg(held).select(key, "_block", "_blocks", F.col("x._id").alias("_ids"), F.col("x._v").alias("_vectors"))
 
 
-def top_similarities(queries: DataFrame, bank: DataFrame, query: str, item: str, key: str, vector: str, k: int) -> DataFrame:
+def top_similarities(queries: DataFrame, bank: DataFrame, query: str, item: str, key: str, vector: str, k: int, others_only: bool = False) -> DataFrame:
     """SO-02, JN-26: for each query the greatest cosine among bank items of its key and the mean of the k greatest.
 
-    An equi-join on the key, never all pairs; the k greatest are kept by an
-    array that each merge cuts to k, so a large key isn't collected.
+    Blocks of queries meet blocks of items of their key as matrix products, a task a pair of blocks, whose k best of each query are merged;
+    a large key is many blocks. ``others_only`` leaves out the item whose id is the query's. Keys without items give no row.
     """
-    left = unit_vectors(queries.select(query, key, F.col(vector).alias("_q")), "_q")
-    right = unit_vectors(bank.select(item, key, F.col(vector).alias("_b")), "_b")
-    pairs = left.join(right, key).select(query, F.round(dot(F.col("_q"), F.col("_b")), 6).alias("sim"))
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim")))).where(F.col("_r") <= k)
+    asked = _blocks(unit_vectors(queries, vector), key, query, vector, QUERY_BLOCK).select(key, F.col("_ids").alias("_qids"), F.col("_vectors").alias("_queries"))
+    items = _blocks(unit_vectors(bank, vector), key, item, vector, ITEM_BLOCK)
+    most = items.groupBy(key).agg(F.max("_blocks").alias("_blocks"))
+    pairs = asked.join(most, key).select(key, "_qids", "_queries", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).join(items.drop("_blocks"), [key, "_block"])
+    kind = dict(queries.dtypes)[query]
+
+    def run(batches):
+        for batch in batches:
+            for qids, vectors, ids, own in zip(*(batch.column(c) for c in ("_qids", "_queries", "_ids", "_vectors"))):
+                qids, ids = qids.as_py(), ids.as_py()
+                sims = _matrix(vectors, len(qids)) @ _matrix(own, len(ids)).T
+                if others_only:
+                    place = {x: j for j, x in enumerate(ids)}
+                    for i, x in enumerate(qids):
+                        if x in place:
+                            sims[i, place[x]] = -np.inf
+                best = np.sort(sims, axis=1)[:, ::-1][:, :k]
+                rows, _ = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in rows], batch.schema.field("_qids").type.value_type), pa.array(best[np.isfinite(best)])], [query, "sim"])
+
+    ship(queries.sparkSession)
+    found = pairs.select("_qids", "_queries", "_ids", "_vectors").mapInArrow(run, f"{query} {kind}, sim double").withColumn("sim", F.round("sim", 6))
+    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim")))).where(F.col("_r") <= k)
     return ranked.groupBy(query).agg(F.max("sim").alias("top1"), F.round(F.avg("sim"), 6).alias("topk_mean"))
 
 
-def retrieval_verifier(queries: DataFrame, bank: DataFrame, confusable: DataFrame, query: str, item: str, key: str, vector: str, k: int = 5, low: float = 0.15, least_margin: float = 0.03, group: str | None = None) -> DataFrame:
+def _matrix(rows, n: int) -> np.ndarray:
+    return rows.values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def retrieval_verifier(queries: DataFrame, bank: DataFrame, confusable: DataFrame, query: str, item: str, key: str, vector: str, k: int = 5, low: float = 0.15, least_margin: float = 0.03, group: str | None = None, others_only: bool = False) -> DataFrame:
     """ML-02, ML-03: similarity to the own key against that to its confusable keys (a table key, other), and a decision.
 
     ``queries`` carries is_error, the main model's decision. A key without items is compared with the items of its
     ``group`` (a column of both tables); without these either, it has similarity 0.
     """
-    same = top_similarities(queries, bank, query, item, key, vector, k)
+    same = top_similarities(queries, bank, query, item, key, vector, k, others_only)
     if group:
         bare = queries.join(bank.select(key).distinct(), key, "left_anti").where(F.col(group) != "")
-        same = same.unionByName(top_similarities(bare, bank, query, item, group, vector, k))
+        same = same.unionByName(top_similarities(bare, bank, query, item, group, vector, k, others_only))
     others = confusable.select(F.col(key).alias("_key"), F.col("other").alias(key))
     asked = queries.withColumnRenamed(key, "_key").join(others, "_key").select(query, key, vector)
-    crossed = top_similarities(asked, bank, query, item, key, vector, k).select(query, F.col("top1").alias("_other"))
+    crossed = top_similarities(asked, bank, query, item, key, vector, k, others_only).groupBy(query).agg(F.max("top1").alias("_other"))
     rows = queries.join(same, query, "left").join(crossed, query, "left")
     s, o = F.coalesce("top1", F.lit(0.0)), F.coalesce("_other", F.lit(0.0))
     error = F.col("is_error") == 1
@@ -107,37 +142,51 @@ def _expected(n: int) -> float:
 def anomaly_verifier(train: DataFrame, rows: DataFrame, key: str, group: str, features: list[str], least_key: int = 20, least_group: int = 50, fit_rows: int = 2000) -> DataFrame:
     """ML-05, ML-06: anomaly of each row by the model of its key, else of its group, else of all; adds anomaly_score and anomaly_model.
 
-    A model is fitted on at most ``fit_rows`` rows of its key (by hash; isolation
-    trees see small subsamples anyway), so the fit has a bound; scoring is a join of each row with its
-    model and runs in batches.
+    A model is fitted on about ``fit_rows`` rows of its key, those whose hash lies below fit_rows / n (isolation
+    trees see small subsamples anyway). A model comes before its rows in a task, so it is read once there; the rows of a
+    model are dealt to SALTS tasks. Rows are scored in batches. The score is 2 ** (-path), without a contamination offset.
     """
-    levels = [("key", F.concat(F.lit("k:"), F.col(key).cast("string")), least_key), ("group", F.concat(F.lit("g:"), F.col(group).cast("string")), least_group), ("all", F.lit("all"), 1)]
-    schema = "model string, forest binary"
+    levels = [("k:", key, least_key), ("g:", group, least_group), ("all", None, 1)]
+
+    def names(df: DataFrame) -> list:
+        return [F.concat(F.lit(mark), F.col(c).cast("string")) if c else F.lit(mark) for mark, c, _ in levels]
 
     def fit(batch: pd.DataFrame) -> pd.DataFrame:
         x = batch[features].astype(float).fillna(0.0).to_numpy()
-        return pd.DataFrame({"model": [batch["model"].iloc[0]], "forest": [pickle.dumps(IsolationForest().fit(x))]})
+        return pd.DataFrame({"anomaly_model": [batch["model"].iloc[0]], "_forest": [pickle.dumps(IsolationForest().fit(x))]})
 
     ship(train.sparkSession)
-    models, out = None, rows.withColumns({f"_m{i}": name for i, (_, name, _) in enumerate(levels)})
-    for i, (_, name, least) in enumerate(levels):
-        named = train.select(name.alias("model"), *features)
-        enough = named.groupBy("model").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("model")
-        ranked = named.withColumn("_r", F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64(*features))))
-        own = ranked.where(F.col("_r") <= fit_rows).join(enough, "model", "left_semi").drop("_r").groupBy("model").applyInPandas(fit, schema)
-        models = own if models is None else models.unionByName(own)
-        out = out.join(enough.select(F.col("model").alias(f"_m{i}"), F.lit(True).alias(f"_h{i}")), f"_m{i}", "left")
+    each = F.array(*[F.struct(F.lit(i).alias("level"), name.alias("model")) for i, name in enumerate(names(train))])
+    named = train.select(*features, F.xxhash64(*train.columns).alias("_hash"), F.inline(each)).where("model IS NOT NULL")
+    least = F.array(*[F.lit(n) for _, _, n in levels])
+    enough = named.groupBy("level", "model").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least[F.col("level")]).select("model", "_n")
+    share = F.pmod(F.col("_hash"), F.lit(1 << 30)) / float(1 << 30)
+    models = named.join(enough, "model").where(share * F.col("_n") < fit_rows).groupBy("model").applyInPandas(fit, "anomaly_model string, _forest binary")
+    own = rows
+    for i, name in enumerate(names(rows)):
+        own = own.withColumn(f"_m{i}", name).join(enough.select(F.col("model").alias(f"_m{i}"), F.lit(True).alias(f"_h{i}")), f"_m{i}", "left")
     chosen = F.coalesce(*[F.when(F.col(f"_h{i}"), F.col(f"_m{i}")) for i in range(len(levels))])
-    out = out.withColumn("anomaly_model", chosen).drop(*[f"_{c}{i}" for c in "mh" for i in range(len(levels))])
-    joined = out.join(models.withColumnRenamed("model", "anomaly_model"), "anomaly_model", "left")
-
-    @F.pandas_udf("double")
-    def score(forest: pd.Series, *columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.astype(float).fillna(0.0).to_numpy() for c in columns])
-        scores = np.zeros(len(forest))
-        for data, at in forest.groupby(forest).groups.items():
-            at = forest.index.get_indexer(at)
-            scores[at] = pickle.loads(data).anomaly(x[at])
-        return pd.Series(scores)
-
-    return joined.withColumn("anomaly_score", F.round(score("forest", *features), 6)).drop("forest")
+    own = own.select(*rows.columns, chosen.alias("anomaly_model"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int").alias("_salt"), F.lit(1).alias("_order"))
+    dealt = models.withColumns({"_order": F.lit(0), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    together = own.unionByName(dealt, allowMissingColumns=True).repartition("anomaly_model", "_salt").sortWithinPartitions("anomaly_model", "_salt", "_order")
+    columns = [*rows.columns, "anomaly_model"]
+
+    def score(batches):
+        name = forest = None
+        for batch in batches:
+            models, stored = batch.column("anomaly_model").to_pylist(), batch.column("_forest")
+            x = np.column_stack([np.nan_to_num(batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False)) for f in features])
+            scores, fresh = np.full(batch.num_rows, np.nan), batch.column("_order").to_numpy() == 0
+            cuts = [0, *[i for i in range(1, batch.num_rows) if models[i] != models[i - 1] or fresh[i] != fresh[i - 1]], batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if fresh[a]:
+                    name, forest = models[a], pickle.loads(stored[a].as_py())
+                elif models[a] is not None and models[a] == name:
+                    scores[a:b] = forest.anomaly(x[a:b])
+            kept = pa.array(~fresh)
+            out = pa.array(scores, mask=np.isnan(scores))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], out], [*columns, "anomaly_score"]).filter(kept)
+
+    kinds = dict(own.dtypes)
+    scored = together.mapInArrow(score, ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "anomaly_score double"]))
+    return scored.withColumn("anomaly_score", F.round("anomaly_score", 6))

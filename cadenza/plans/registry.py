@@ -263,7 +263,7 @@ def _swept(spark, sf_dir):
         votes = (row["prob_correct"] <= s["correct_t"]).cast("int") + ((row["duration_ms"] < s["short_t"]) | (row["duration_ms"] > s["long_t"])).cast("int")
         return (row["error_score"] >= s["main_t"]) & (votes >= s["votes"])
 
-    return thresholds.sweep(phones(spark, sf_dir), GRID, decide, "gold", ["error_score", "prob_correct", "duration_ms"])
+    return thresholds.sweep(phones(spark, sf_dir), GRID, decide, "gold", ["error_score", "prob_correct", "duration_ms"], {"error_score": ["main_t"], "prob_correct": ["correct_t"], "duration_ms": ["short_t", "long_t"]})
 
 
 @query("grid_sweep_324", f"WITH {_SWEEP} SELECT * FROM swept")
@@ -360,12 +360,12 @@ def validated_join(spark, sf_dir):
     return joins.validated_join(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"]).select("doc_id", "quality", "toxic", "lang")
 
 
-@query("labelled_join", """WITH p AS (SELECT event_id, user_id, event_type, printf('%.3f', value) AS v FROM events WHERE event_id % 2 = 0), l AS (SELECT event_id, user_id, printf('%.3f', value) AS v, event_type AS label FROM events WHERE event_type <> 'click')
+@query("labelled_join", """WITH p AS (SELECT event_id, user_id, event_type, printf('%.3f', value) AS v FROM events), l AS (SELECT event_id, user_id, printf('%.3f', value) AS v, event_type AS label FROM events WHERE event_type <> 'click')
     SELECT p.event_id, p.user_id, p.event_type, l.label FROM p JOIN l ON p.event_id = l.event_id AND p.user_id = l.user_id AND p.v = l.v""")
 def labelled_join(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     found = joins.labelled(
-        events.where("event_id % 2 = 0").select("event_id", "user_id", "event_type", "value"), events.where("event_type <> 'click'").select("event_id", "user_id", "value", F.col("event_type").alias("label")),
+        events.select("event_id", "user_id", "event_type", "value"), events.where("event_type <> 'click'").select("event_id", "user_id", "value", F.col("event_type").alias("label")),
         ["event_id", "user_id", "word"], ["value"], "label",
     )
     return found.select("event_id", "user_id", "event_type", "label")
@@ -385,22 +385,31 @@ def overlap_argmax(spark, sf_dir):
     return found.withColumn("overlap", F.round("overlap", 3))
 
 
-@query("cosine_topk", """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1), b AS (SELECT vec_id AS item, label, embedding AS e FROM embeddings WHERE vec_id % 2 = 0),
-    s AS (SELECT q.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], b.e::DOUBLE[]), 6) AS sim FROM q JOIN b ON q.label = b.label),
+_ASKED = "q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT vec_id AS item, label, embedding AS e FROM embeddings)"
+_SIMILAR = "round(list_cosine_similarity(q.embedding::DOUBLE[], b.e::DOUBLE[]), 6)"
+
+
+@query("cosine_topk", f"""WITH {_ASKED}, s AS (SELECT q.vec_id, {_SIMILAR} AS sim FROM q JOIN b ON q.label = b.label AND q.vec_id <> b.item),
     r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC) <= 5)
     SELECT vec_id, max(sim) AS top1, round(avg(sim), 6) AS topk_mean FROM r GROUP BY 1""")
 def cosine_topk(spark, sf_dir):
+    """Every row whose id is divisible by 100 against all others of its label."""
     rows = table(spark, sf_dir, "embeddings")
-    found = retrieval.top_similarities(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "item"), "vec_id", "item", "label", "embedding", 5)
+    found = retrieval.top_similarities(rows.where("vec_id % 100 = 0"), rows.withColumnRenamed("vec_id", "item"), "vec_id", "item", "label", "embedding", 5, others_only=True)
     return found.select("vec_id", "top1", "topk_mean")
 
 
-@query("retrieval_verifier")
+@query("retrieval_verifier", f"""WITH {_ASKED}, s AS (SELECT q.vec_id, q.label, b.label AS own, {_SIMILAR} AS sim FROM q JOIN b ON (b.label = q.label OR b.label = (q.label + 1) % 10) AND q.vec_id <> b.item),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, own ORDER BY sim DESC) AS place FROM s WHERE own = label),
+    t AS (SELECT vec_id, max(sim) AS a, round(avg(sim), 6) AS m FROM r WHERE place <= 5 GROUP BY 1), o AS (SELECT vec_id, max(sim) AS o FROM s WHERE own <> label GROUP BY 1),
+    v AS (SELECT q.vec_id, q.label, q.vec_id % 300 = 0 AS err, coalesce(a, 0.0) AS a, coalesce(m, 0.0) AS m, coalesce(o, 0.0) AS o FROM q LEFT JOIN t USING (vec_id) LEFT JOIN o USING (vec_id))
+    SELECT vec_id, label, a AS proto_same_sim_top1, m AS proto_same_sim_topk_mean, o AS proto_confusion_sim_top1, round(a - o, 6) AS proto_margin,
+        CASE WHEN err AND o > a THEN 'likely_error' WHEN err AND a >= 0.15 AND a - o >= 0.03 THEN 'likely_correct' WHEN err THEN 'uncertain_review' WHEN a < 0.15 THEN 'candidate_error_for_review' ELSE 'likely_correct' END AS retrieval_verifier_decision FROM v""")
 def retrieval_verifier(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     confusable = spark.range(10).select(F.col("id").cast("int").alias("label"), ((F.col("id") + 1) % 10).cast("int").alias("other"))
-    asked = rows.where("vec_id % 2 = 1").withColumn("is_error", (F.col("vec_id") % 3 == 0).cast("int"))
-    return retrieval.retrieval_verifier(asked, rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "item"), confusable, "vec_id", "item", "label", "embedding")
+    asked = rows.where("vec_id % 100 = 0").withColumn("is_error", (F.col("vec_id") % 300 == 0).cast("int"))
+    return retrieval.retrieval_verifier(asked, rows.withColumnRenamed("vec_id", "item"), confusable, "vec_id", "item", "label", "embedding", others_only=True)
 
 
 @query("anomaly_verifier")
@@ -744,7 +753,9 @@ def text_comparison(spark, sf_dir):
     return compare_texts(pairs, "item_id", "target", "heard")
 
 
-@query("target_words")
+@query("target_words", """WITH m AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)*') AS w, regexp_split_to_array(text, '[A-Za-z]+(?:[''’][A-Za-z]+)*') AS g FROM benchmark),
+    p AS (SELECT item_id, i - 1 AS word_index, w[i] AS o, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS a FROM m, unnest(range(1, len(w) + 1)) AS r(i))
+    SELECT item_id, word_index, upper(o) AS word, replace(upper(o), '’', chr(39)) AS normalized_word, o AS original_word, a::BIGINT AS char_start, (a + length(o))::BIGINT AS char_end FROM p""")
 def target_words(spark, sf_dir):
     from ..functions.lexicon import target_words as words
 
@@ -917,3 +928,6 @@ def translated_labels(spark, sf_dir):
 
     rows = translated(table(spark, sf_dir, "orders"), "o_orderstatus", {"F": "true_error", "O": "correct"}, "e2e_label", F.col("o_totalprice") < 50000, "bad_alignment")
     return rows.groupBy("e2e_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import diagnoses as _diagnoses  # noqa: E402, F401  registers its queries here
