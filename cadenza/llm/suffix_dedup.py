@@ -54,10 +54,15 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Cover:
-    """Strings of ``length`` bytes, of which each owns one of the ``span`` (a power of two) suffixes from its start on."""
+    """Strings of ``length`` bytes, of which each owns one of the ``span`` (a power of two) suffixes from its start on.
+
+    With ``residues``, a difference cover modulo span, the suffixes at these residues are sampled instead, and a string owns all
+    of them among the span suffixes from its start on: two equal strings have one at the same distance.
+    """
 
     length: int
     span: int
+    residues: tuple[int, ...] = ()
 
     @property
     def core(self) -> int:
@@ -72,6 +77,15 @@ def cover(length: int) -> Cover:
     return Cover(length, 1 << ((2 * length // 3).bit_length() - 1))
 
 
+def residue_cover(length: int, r: int) -> Cover:
+    """The cover by 6 r + 4 residues modulo 24 r^2 + 36 r + 13: the steps between marks of a ruler that measures every distance."""
+    steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
+    marks = [0]
+    for step in steps:
+        marks.append(marks[-1] + step)
+    return Cover(length, 24 * r * r + 36 * r + 13, tuple(marks))
+
+
 #: Bytes of a string that goes, and of one that a passage of over 50 words reaches (51 words have 330 bytes or so, short ones 200).
 LENGTH, PASSAGE = 400, 200
 
@@ -81,6 +95,12 @@ ANCHOR = "h1 long, h2 long, key long, ctx long, q int, lo int, hi int"
 def sampled(text: bytes, by: Cover):
     """Yield (q, lo, hi): the sampled position q owns the strings that start in lo..hi."""
     last = len(text) - by.length
+    if by.residues:
+        for start in range(0, len(text), by.span):
+            for q in (start + x for x in by.residues):
+                if q + by.core <= len(text) and q - by.span < last:
+                    yield q, max(0, q - by.span + 1), min(q, last)
+        return
     for at in range(0, last + 1, PIECE):
         owners = _owners(text[at : min(at + PIECE - 1, last) + by.length], by)
         cuts = np.flatnonzero(np.diff(owners)) + 1
@@ -417,13 +437,13 @@ def _within(marked: DataFrame, lesser: DataFrame, by: Cover, length: int, keep:
 
 
 def remove_repeats(
-    docs: DataFrame, carried: list[str], text_col: str = "text", with_text: bool = False, length: int = LENGTH, keep: bool = False, passage: int | None = None
+    docs: DataFrame, carried: list[str], text_col: str = "text", with_text: bool = False, length: int = LENGTH, keep: bool = False, passage: int | None = None, by: Cover | None = None
 ) -> DataFrame:
     """The ``carried`` columns of every row, with n_bytes, n_removed, n_spans, kept_sha256.
 
     with_text adds kept_text, which leaves out characters of which a removed
     string took some bytes; ``passage`` (below length) adds n_passage, the bytes
-    that lie in repeated strings of so many bytes and do not go by that.
+    that lie in repeated strings of so many bytes and do not go by that. ``by`` is another cover for ``length``.
 
     A null text is empty. Equal texts of at least ``length`` bytes are removed
     whole, all copies; with ``keep`` one copy of each string stays, that of the
@@ -437,7 +457,7 @@ def remove_repeats(
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     texts = docs.select(text)
     if passage is None:
-        spans = _by_text(repeated_strings(texts, cover(length), keep), "spans").select("h1", "h2", "spans", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("more"))
+        spans = _by_text(repeated_strings(texts, by or cover(length), keep), "spans").select("h1", "h2", "spans", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("more"))
     else:
         by = cover(passage)
         lesser = _by_text(repeated_strings(texts, by), "passages")

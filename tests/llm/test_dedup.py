@@ -213,3 +213,13 @@ def test_long_texts_are_sampled_alike_in_pieces():
         suffix_dedup.PIECE = old
     assert pieces == [(q, p) for q, lo, hi in suffix_dedup.sampled(text, by) for p in range(lo, hi + 1)]
     assert [p for _, p in pieces] == list(range(len(text) - by.length + 1))
+
+
+def test_a_cover_by_residues_finds_the_same(spark, table):
+    for r in (0, 1, 2):
+        by = suffix_dedup.residue_cover(400, r)
+        assert {(a - b) % by.span for a in by.residues for b in by.residues} == set(range(by.span))
+    texts = planted_texts()
+    found = suffix_dedup.remove_repeats(table(list(enumerate(texts))), ["doc_id"], by=suffix_dedup.residue_cover(400, 2))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (rows[i] for i in range(len(texts)))] == brute_removal(texts, 400)
