@@ -9,9 +9,9 @@ without a pair leave, and the recursion ends when none is left. Decoding joins
 the tokens to the vocabulary and aggregates their bytes in order. Documents are
 put together from their words' ids and bytes.
 
-A round handles every row of a word to contract one pair, so the rounds of a
-word cost the square of its length. Words over LONG_WORD bytes are contracted by
-the same rule with a heap of pairs.
+A round handles every row of a word to contract one pair and the query keeps the rows of all rounds, so a
+word costs the square of its length in memory: words are put into queries of ROWS such
+rows. Words over LONG_WORD bytes, few of which would fill a query, are contracted by the same rule with a heap of pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .scratch import arrow_map
 
-#: Bytes of the longest word that the recursive query takes, words a query, and words that a worker remembers.
-LONG_WORD, WORDS_A_QUERY, CACHED_WORDS = 64, 40_000, 300_000
+#: Bytes of the longest word that the recursive query takes, rows of all rounds a query (about 50 MB), and words that a worker remembers, of so many bytes at most.
+LONG_WORD, ROWS, CACHED_WORDS, CACHED_BYTES = 1_024, 2_000_000, 300_000, 64
 #: Bytes of text whose words are looked up at once.
 PORTION = 4 << 20
 #: The characters that Unicode calls white space.
@@ -105,8 +105,12 @@ class Coder:
             if x is None and len(d) > LONG_WORD:
                 ids[i] = np.array(contract(d, self.ranks), "<u4").tobytes()
         short = [i for i, x in enumerate(ids) if x is None]
-        for at in range(0, len(short), WORDS_A_QUERY):
-            part = short[at : at + WORDS_A_QUERY]
+        rows = np.cumsum([len(data[i]) ** 2 // 2 + 1 for i in short])
+        at = 0
+        while at < len(short):
+            stop = max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + ROWS, "right")))
+            part = short[at:stop]
+            at = stop
             for i, x in zip(part, self.encode([data[i] for i in part])):
                 ids[i] = x
         return list(zip(ids, self.decode(ids)))
@@ -164,7 +168,7 @@ class Coder:
         at, edges = coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(list(map(len, split)), dtype=np.int64)))
         parts = [gathered([v[k] for v in found], at, edges) for k in (0, 1)]
         out = list(zip(*parts))
-        known.update((w, v) for w, v in new.items() if len(w) <= LONG_WORD)
+        known.update((w, v) for w, v in new.items() if len(w) <= CACHED_BYTES)
         if len(known) > CACHED_WORDS:  # the older half goes; frequent words come back at once
             for w in list(islice(known, len(known) // 2)):
                 del known[w]

@@ -237,6 +237,7 @@ def test_long_words_are_contracted_by_the_same_rule():
     coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
     random.seed(4)
     words = [bytes(random.choices(b"abtheing ", k=random.randint(2, 60))) for _ in range(300)]
+    words += [bytes(random.choices(b"abtheing", k=n)) for n in (65, 300, 1000)]
     words = [w for w in words if w not in coder.ranks]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(words)] == [bpe.contract(w, coder.ranks) for w in words]
 
