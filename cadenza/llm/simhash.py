@@ -28,8 +28,8 @@ from .components import connected_components
 from .scratch import arrow_map, materialize
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
-#: Shingles whose bits are counted at once, and fingerprints in a bucket that is searched undivided.
-CHUNK, LARGE_BUCKET = 1 << 15, 20_000
+#: Shingles whose bits are counted at once, texts that are read at once, and fingerprints in a bucket that is searched undivided.
+CHUNK, ROWS, LARGE_BUCKET = 1 << 15, 500, 20_000
 #: The maps of the masks that divide large buckets, one after another; fingerprints that still stand together differ in a few bits only.
 SHIFTS = (3, 5, 9)
 
@@ -59,10 +59,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long, th long): the SimHash of each text, and a hash of it or of the columns ``hashed``. A null text is empty."""
 
     def run(batches):
-        for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "th"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                fps = np.array([fingerprint(x or b"") for x in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "th"])
 
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -171,5 +173,4 @@ def near_duplicates(
         groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots"
     )
     least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    labels = materialize(linked.select("fp", "root").join(least, "root"), "labels")
-    return marked.join(labels, "fp").select("doc_id", "th", "fp", "component_id", "root")
+    return marked.join(linked.select("fp", "root").join(least, "root"), "fp").select("doc_id", "th", "fp", "component_id", "root")
