@@ -20,8 +20,10 @@ QUERY_BLOCK, ITEM_BLOCK = 512, 4_096
 
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     """The vector divided by its length; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return df.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm)))
+    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    length = F.array(F.when(squares == 0, 1.0).otherwise(F.sqrt(squares)))
+    # a lambda over the one length, so that it is computed once a row and not once an element
+    return df.withColumn(vector, F.transform(length, lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0])
 
 
 def _blocks(df: DataFrame, key: str, identity: str, vector: str, size: int) -> DataFrame:
