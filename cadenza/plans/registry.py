@@ -930,4 +930,4 @@ def translated_labels(spark, sf_dir):
     return rows.groupBy("e2e_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import diagnoses as _diagnoses, evaluations as _evaluations  # noqa: E402, F401  register their queries here
+from . import diagnoses as _diagnoses, evaluations as _evaluations, reporting as _reporting  # noqa: E402, F401  register their queries here

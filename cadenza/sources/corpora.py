@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import phone, phone_group
@@ -84,38 +83,3 @@ def scored_phones(scores: DataFrame, metadata: DataFrame) -> DataFrame:
     known = rows.join(metadata.withColumn("_there", F.lit(True)), "utterance_id", "left")
     checked = F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit("no metadata for "), F.col("utterance_id")))
     return known.withColumn("_ok", checked).where(F.col("_ok").isNull()).drop("_there", "_ok")
-
-
-class TextGridSource(DataSource):
-    """IO-05 as a data source: spark.read.format("textgrid").load(folder); a partition per file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "textgrid"
-
-    def schema(self) -> str:
-        return TIERS
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _TextGridReader(self.options["path"])
-
-
-class _TextGridReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        from pathlib import Path
-
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).rglob("*.TextGrid"))]
-
-    def read(self, partition):
-        import re
-
-        with open(partition.value, encoding="utf-8-sig") as f:
-            text = f.read()
-        for body in re.split(r"(?m)^\s*item\s*\[\d+\]\s*:?\s*$", text)[1:]:
-            tier = re.search(r'name\s*=\s*"((?:[^"]|"")*)"', body)
-            found = re.finditer(r'intervals\s*\[\d+\]\s*:?\s*xmin\s*=\s*(\S+)\s*xmax\s*=\s*(\S+)\s*text\s*=\s*"((?:[^"]|"")*)"', body)
-            for i, m in enumerate(found):
-                yield partition.value, tier[1] if tier else "", i, float(m[1]), float(m[2]), m[3].replace('""', '"')
