@@ -88,6 +88,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_licenses": op10_licenses,
+    "op11_divergence": op11_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality": oracles.OP4, "op8_html": oracles.OP8, "op10_licenses": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op4_quality": oracles.OP4, "op8_html": oracles.OP8, "op10_licenses": oracles.OP10, "op11_divergence": oracles.OP11}
