@@ -116,3 +116,30 @@ WITH docs AS (
 )
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+_TERMS = "unnest(regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+#: op12: every document that holds a term of the item is scored.
+OP12 = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, {_LOWERED.format("coalesce(text, '')")} AS text FROM documents
+), words AS (
+    SELECT row, doc_id, {_TERMS.format("text")} AS term FROM docs
+), sizes AS (
+    SELECT row, count(*) AS n FROM words GROUP BY row
+), total AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), asked AS (
+    SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS.format(_LOWERED.format("coalesce(text, '')"))} AS term FROM benchmark)
+), postings AS (
+    SELECT row, doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total
+), scored AS (
+    SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (row), total GROUP BY item_id, row, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -94,6 +94,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_licenses": op10_licenses,
     "op11_divergence": op11_divergence,
+    "op12_search": op12_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality": oracles.OP4, "op8_html": oracles.OP8, "op10_licenses": oracles.OP10, "op11_divergence": oracles.OP11}
+ORACLE_SQL: dict[str, str] = {"op4_quality": oracles.OP4, "op8_html": oracles.OP8, "op10_licenses": oracles.OP10, "op11_divergence": oracles.OP11, "op12_search": oracles.OP12}
