@@ -100,6 +100,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_divergence": op11_divergence,
     "op12_search": op12_search,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality": oracles.OP4, "op8_html": oracles.OP8, "op10_licenses": oracles.OP10, "op11_divergence": oracles.OP11, "op12_search": oracles.OP12}
