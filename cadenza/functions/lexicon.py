@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..storage import stored
 from .scalars import phone
 
 
@@ -66,11 +67,19 @@ def ipa_to_arpabet(ipa: Column, table: Mapping[str, str]) -> Column:
 
 
 def vocabulary(values: DataFrame, column: str, special: Sequence[str] = ("<pad>", "<unk>")) -> DataFrame:
-    """FN-37, FN-38: token and id of the distinct values in order, after the special tokens."""
+    """FN-37, FN-38: token and id (int) of the distinct values in order, after the special tokens; nulls are no tokens.
+
+    Tokens are ordered by ranges: an id is the place in the range and the tokens of the ranges before it, so neither the driver nor a task orders all of them.
+    """
     spark = values.sparkSession
-    distinct = values.select(F.col(column).cast("string").alias("token")).where("token IS NOT NULL").distinct().orderBy("token")
-    tokens = [r["token"] for r in distinct.collect()]  # a model's vocabulary: phones, groups, words of a corpus
-    return spark.createDataFrame([(t, i) for i, t in enumerate([*special, *[t for t in tokens if t not in special]])], "token string, id int")
+    own = values.select(F.col(column).cast("string").alias("token")).where(F.col("token").isNotNull() & ~F.col("token").isin(*special)).distinct()
+    ranged = stored(own.repartitionByRange("token").withColumn("_part", F.spark_partition_id()), "vocabulary")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    placed = ranged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("token")) - 1 + F.col("_before") + len(special)
+    first = spark.createDataFrame([(t, i) for i, t in enumerate(special)], "token string, id int")
+    return first.unionByName(placed.select("token", rank.cast("int").alias("id")))
 
 
 def token_ids(tokens: Column, ids: Mapping[str, int]) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import number, optional, text
+from .quantiles import exact_quantiles
 from .metrics import confusion, derived, multiclass_report, pearson, ranking_metrics, ratio
 from .thresholds import threshold_or_most_precise
 
@@ -88,11 +89,14 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """AG-78: of each column the count, mean, deviation, least, quartiles (interpolated) and greatest of its numbers, and the rows without one."""
     each = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in columns])
-    quartiles = [F.round(F.percentile("v", q), 6).alias(name) for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return df.select(F.inline(each)).groupBy("column").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("least"), *quartiles, F.max("v").alias("greatest"),
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    rows = df.select(F.inline(each))
+    found = rows.groupBy("column").agg(
+        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("least"), F.max("v").alias("greatest"),
         F.count_if(F.col("v").isNull()).alias("without"),
     )
+    both = found.join(exact_quantiles(rows, "v", quartiles, ["column"]), "column", "left").withColumns({c: F.round(c, 6) for c in quartiles})
+    return both.select("column", "n", "mean", "std", "least", *quartiles, "greatest", "without")
 
 
 def correlation(df: DataFrame, gold: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:

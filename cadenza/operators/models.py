@@ -8,11 +8,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import number
+from ..storage import stored
 from .sampling import balanced_weights
 
+#: Rows of a class that one task orders.
+SLICE_ROWS = 200_000
+
 
 def numeric_features(df: DataFrame, known: Sequence[str], prefix: str = "w2v_") -> list[str]:
     """PR-18, PR-19: the known numeric columns that the frame has, and all with a prefix."""
@@ -20,7 +24,7 @@ def numeric_features(df: DataFrame, known: Sequence[str], prefix: str = "w2v_")
 
 
 def classifier(kind: str, seed: int = 42, layers: Sequence[int] = ()):
-    """ML-09, ML-19, ML-21, ML-61: logistic regression, random forest, boosted trees, or a perceptron."""
+    """ML-09, ML-21, ML-61: logistic regression, random forest, boosted trees, or a perceptron; extremely randomised trees (ML-19) are in ``trees``."""
     common = {"featuresCol": "features", "labelCol": "_label"}
     if kind == "logistic":
         return LogisticRegression(**common, weightCol="_weight", maxIter=100, regParam=1e-3, elasticNetParam=0.0)
@@ -55,7 +59,7 @@ def prepared(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str])
 
 
 def fit(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic") -> PipelineModel:
-    """ML-09, ML-18, ML-19, ML-21, ML-23, ML-29, ML-32, ML-64: a balanced classifier on prepared columns."""
+    """ML-09, ML-18, ML-21, ML-23, ML-29, ML-32, ML-64: a balanced classifier on prepared columns."""
     rows = balanced_weights(prepared(df, numeric, categorical).withColumn("_label", F.col(label).cast("double")).where("_label IS NOT NULL"), "_label")
     return Pipeline(stages=[*preprocessor(numeric, categorical), classifier(kind)]).fit(rows.withColumnRenamed("weight", "_weight"))
 
@@ -73,9 +77,35 @@ def coefficients(model: PipelineModel, names: Sequence[str]) -> list[tuple[str,
     return sorted(zip(names, values), key=lambda x: -abs(x[1]))
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), folds: int = 5) -> DataFrame:
-    """ML-36: each row scored by a model that was fitted on the other folds; folds by hash of the key."""
-    marked = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds)))
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """ML-36: df with a column fold: the folds of a class differ by one row at most.
+
+    Rows of a class are ordered by md5 of 'seed:key', then key. They are cut into slices by the hash, as many that a slice has about ``slice_rows`` rows;
+    a row's rank is its place in its slice and the rows of the slices before. So no task orders a whole class. Null labels are a class of their own;
+    null keys are the key ''; rows of one key take neighbouring ranks.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("_slices"))
+    hashed = df.withColumns({"_h": digest, "_p": place, "_y": F.col(label)})
+    dealt = hashed.join(sizes, F.col("_y").eqNullSafe(F.col("_l"))).withColumn("_s", F.floor(F.col("_p") * F.col("_slices"))).drop("_l", "_p", "_slices")
+    counts = dealt.groupBy(F.col("_y").alias("_l"), F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per slice
+    inner = F.row_number().over(Window.partitionBy("_y", "_s").orderBy("_h", key))
+    ranked = dealt.withColumn("_r", inner).join(before.drop("_n"), F.col("_y").eqNullSafe(F.col("_l")) & (F.col("_s") == F.col("_t")))
+    return ranked.withColumn("fold", ((F.col("_r") + F.col("_before") - 1) % folds).cast("int")).drop("_h", "_y", "_s", "_r", "_l", "_t", "_before")
+
+
+def out_of_fold(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), folds: int = 5, seed: int = 42) -> DataFrame:
+    """ML-36: each row scored by a model that was fitted on the other folds, whose classes are spread evenly.
+
+    There are as many folds as the least class has rows, ``folds`` at most; a class of one row leaves one model over all rows.
+    """
+    least = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0  # one row
+    folds = min(folds, least)
+    if folds < 2:
+        return scored(fit(df, label, numeric, categorical), df, numeric, categorical)
+    marked = stored(stratified_folds(df, key, label, folds, seed).withColumnRenamed("fold", "_fold"), "folds")
     parts = None
     for k in range(folds):
         model = fit(marked.where(F.col("_fold") != k), label, numeric, categorical)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .metrics import case_types, ratio
+from .quantiles import exact_quantiles
 
 # Phones whose vowels are weak in fluent speech.
 WEAK_VOWELS = ("AH", "IH", "ER", "R", "AX", "IX")
@@ -45,20 +46,22 @@ def alarm_summary(df: DataFrame, alarm: Column, phone: str = "target_phone") ->
 
 def score_summary(df: DataFrame, scores: Sequence[str]) -> DataFrame:
     """AG-44, AG-58: a row per score: count, distinct values, least, quartiles, greatest, mean, and whether it is constant."""
-    out = None
-    for name in scores:
-        x = F.col(name).try_cast("double")
-        own = df.agg(
-            F.lit(name).alias("score"), F.count(x).alias("n"), F.count_distinct(x).alias("distinct_values"), F.min(x).alias("least"), F.round(F.percentile(x, 0.25), 6).alias("q25"),
-            F.round(F.median(x), 6).alias("median"), F.round(F.percentile(x, 0.75), 6).alias("q75"), F.max(x).alias("greatest"), F.round(F.avg(x), 6).alias("mean"),
-        ).withColumn("constant", (F.col("distinct_values") == 1) & (F.col("n") > 1))
-        out = own if out is None else out.unionByName(own)
-    return out
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("score"), F.col(name).try_cast("double").alias("x")) for name in scores])))
+    found = each.groupBy("score").agg(
+        F.count("x").alias("n"), F.count_distinct("x").alias("distinct_values"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.round(F.avg("x"), 6).alias("mean")
+    )
+    quartiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    rows = found.join(exact_quantiles(each, "x", quartiles, ["score"]), "score", "left").withColumns({c: F.round(c, 6) for c in quartiles})
+    listed = rows.select("score", "n", "distinct_values", "least", *quartiles, "greatest", "mean")
+    return listed.withColumn("constant", (F.col("distinct_values") == 1) & (F.col("n") > 1))
 
 
 def duration_priors(df: DataFrame, phone: str, duration: str, fit: Column) -> DataFrame:
     """AG-49: exact median duration of each phone over the rows to fit on."""
-    return df.where(fit).groupBy(phone).agg(F.median(duration).alias("median_ms"), F.count(F.lit(1)).alias("n"))
+    rows = df.where(fit)
+    counts = rows.groupBy(F.col(phone).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    medians = exact_quantiles(rows, duration, {"median_ms": 0.5}, [phone])
+    return counts.join(medians, F.col("_p").eqNullSafe(F.col(phone)), "left").select(F.col("_p").alias(phone), "median_ms", "n")
 
 
 def word_label_from_scores(df: DataFrame, keys: Sequence[str], score: str, missing_support: Column | None = None) -> DataFrame:
@@ -80,10 +83,13 @@ def boundary_errors(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     """AG-56: median and nearest-rank 75th percentile of the absolute error, and the shares within 50 and 100 ms."""
     error = F.abs(F.col(predicted) - F.col(gold))
     rows = df.select(error.alias("e")).where("e IS NOT NULL")
-    return rows.agg(
-        F.count(F.lit(1)).alias("boundaries"), F.round(F.median("e"), 6).alias("median_ms"), F.round(F.percentile("e", 0.75), 6).alias("p75_ms"),
-        F.round(F.avg((F.col("e") <= 50).cast("double")), 6).alias("within_50_ms"), F.round(F.avg((F.col("e") <= 100).cast("double")), 6).alias("within_100_ms"),
-    )
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("boundaries"), F.round(F.avg((F.col("e") <= 50).cast("double")), 6).alias("within_50_ms"),
+        F.round(F.avg((F.col("e") <= 100).cast("double")), 6).alias("within_100_ms"),
+    )
+    found = exact_quantiles(rows, "e", {"median_ms": 0.5, "p75_ms": 0.75})
+    both = counts.join(F.broadcast(found), F.lit(True), "left")  # one row each
+    return both.select("boundaries", F.round("median_ms", 6).alias("median_ms"), F.round("p75_ms", 6).alias("p75_ms"), "within_50_ms", "within_100_ms")
 
 
 def alignment_failures(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,10 +7,10 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..shipping import ship
-
+from ..storage import stored
 
 #: Tasks that the rows of one model are dealt to.
 SALTS = 16
@@ -100,8 +100,8 @@ def retrieval_verifier(queries: DataFrame, bank: DataFrame, confusable: DataFram
 class IsolationForest:
     """Isolation trees over random subsamples; the score is higher the fewer cuts isolate a row."""
 
-    def __init__(self, trees: int = 50, sample: int = 128, seed: int = 42):
-        self.trees, self.sample, self.seed = trees, sample, seed
+    def __init__(self, trees: int = 50, sample: int = 128, seed: int = 42, contamination: float = 0.08):
+        self.trees, self.sample, self.seed, self.contamination = trees, sample, seed, contamination
         self.forest: list = []
 
     def fit(self, x: np.ndarray) -> IsolationForest:
@@ -109,6 +109,8 @@ class IsolationForest:
         self.size = min(self.sample, len(x))
         depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
         self.forest = [self._grow(x[random.choice(len(x), self.size, replace=False)], depth, random) for _ in range(self.trees)]
+        #: What separates the share of training rows that count as contamination from the others.
+        self.offset = float(np.percentile(-self.anomaly(x), 100 * self.contamination)) if len(x) else -0.5
         return self
 
     def _grow(self, x, depth, random):
@@ -137,16 +139,22 @@ class IsolationForest:
         return 2.0 ** (-depth / max(len(self.forest), 1) / max(_expected(self.size), 1e-9))
 
 
+    def oneclass(self, x: np.ndarray) -> np.ndarray:
+        """1 / (1 + exp(4 d)) of d, the normality (-anomaly) above the offset: over 0.5 beyond the contamination's quantile."""
+        return 1.0 / (1.0 + np.exp(4.0 * (-self.anomaly(x) - self.offset)))
+
+
 def _expected(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def anomaly_verifier(train: DataFrame, rows: DataFrame, key: str, group: str, features: list[str], least_key: int = 20, least_group: int = 50, fit_rows: int = 2000) -> DataFrame:
-    """ML-05, ML-06: anomaly of each row by the model of its key, else of its group, else of all; adds anomaly_score and anomaly_model.
+def anomaly_verifier(train: DataFrame, rows: DataFrame, key: str, group: str, features: list[str], least_key: int = 20, least_group: int = 50, fit_rows: int = 2000, sample: int = 512, contamination: float = 0.08) -> DataFrame:
+    """ML-05, ML-06: anomaly of each row by the model of its key, else of its group, else of all; adds anomaly_score, oneclass_anomaly_score and anomaly_model.
 
     A model is fitted on about ``fit_rows`` rows of its key, those whose hash lies below fit_rows / n (isolation
     trees see small subsamples anyway). A model comes before its rows in a task, so it is read once there; the rows of a
-    model are dealt to SALTS tasks. Rows are scored in batches. The score is 2 ** (-path), without a contamination offset.
+    model are dealt to SALTS tasks. Rows are scored in batches. anomaly_score is 2 ** (-path); oneclass_anomaly_score is 1 / (1 + exp(4 d)), d the
+    normality above the ``contamination`` quantile of the rows that the model was fitted on, which goes with the forest. A tree sees up to ``sample`` rows.
     """
     levels = [("k:", key, least_key), ("g:", group, least_group), ("all", None, 1)]
 
@@ -155,13 +163,14 @@ def anomaly_verifier(train: DataFrame, rows: DataFrame, key: str, group: str, fe
 
     def fit(batch: pd.DataFrame) -> pd.DataFrame:
         x = batch[features].astype(float).fillna(0.0).to_numpy()
-        return pd.DataFrame({"anomaly_model": [batch["model"].iloc[0]], "_forest": [pickle.dumps(IsolationForest().fit(x))]})
+        return pd.DataFrame({"anomaly_model": [batch["model"].iloc[0]], "_forest": [pickle.dumps(IsolationForest(sample=sample, contamination=contamination).fit(x))]})
 
     ship(train.sparkSession)
     each = F.array(*[F.struct(F.lit(i).alias("level"), name.alias("model")) for i, name in enumerate(names(train))])
-    named = train.select(*features, F.xxhash64(*train.columns).alias("_hash"), F.inline(each)).where("model IS NOT NULL")
+    named = stored(train.select(*features, F.xxhash64(*train.columns).alias("_hash"), F.inline(each)).where("model IS NOT NULL"), "named")
     least = F.array(*[F.lit(n) for _, _, n in levels])
     enough = named.groupBy("level", "model").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least[F.col("level")]).select("model", "_n")
+    enough = stored(enough, "models")
     share = F.pmod(F.col("_hash"), F.lit(1 << 30)) / float(1 << 30)
     models = named.join(enough, "model").where(share * F.col("_n") < fit_rows).groupBy("model").applyInPandas(fit, "anomaly_model string, _forest binary")
     own = rows
@@ -178,17 +187,25 @@ def anomaly_verifier(train: DataFrame, rows: DataFrame, key: str, group: str, fe
         for batch in batches:
             models, stored = batch.column("anomaly_model").to_pylist(), batch.column("_forest")
             x = np.column_stack([np.nan_to_num(batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False)) for f in features])
-            scores, fresh = np.full(batch.num_rows, np.nan), batch.column("_order").to_numpy() == 0
+            scores, oneclass, fresh = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan), batch.column("_order").to_numpy() == 0
             cuts = [0, *[i for i in range(1, batch.num_rows) if models[i] != models[i - 1] or fresh[i] != fresh[i - 1]], batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if fresh[a]:
                     name, forest = models[a], pickle.loads(stored[a].as_py())
                 elif models[a] is not None and models[a] == name:
-                    scores[a:b] = forest.anomaly(x[a:b])
-            kept = pa.array(~fresh)
-            out = pa.array(scores, mask=np.isnan(scores))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], out], [*columns, "anomaly_score"]).filter(kept)
+                    scores[a:b], oneclass[a:b] = forest.anomaly(x[a:b]), forest.oneclass(x[a:b])
+            kept, out = pa.array(~fresh), [pa.array(s, mask=np.isnan(s)) for s in (scores, oneclass)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *out], [*columns, "anomaly_score", "oneclass_anomaly_score"]).filter(kept)
 
     kinds = dict(own.dtypes)
-    scored = together.mapInArrow(score, ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "anomaly_score double"]))
-    return scored.withColumn("anomaly_score", F.round("anomaly_score", 6))
+    scored = together.mapInArrow(score, ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "anomaly_score double", "oneclass_anomaly_score double"]))
+    return scored.withColumns({c: F.round(c, 6) for c in ("anomaly_score", "oneclass_anomaly_score")})
+
+
+def oneclass_decision(main_error: Column, score: Column) -> Column:
+    """ML-06: the one-class verifier's decision of a row by the main model's decision and its one-class score; without a score, that of 0."""
+    value, error = F.coalesce(score, F.lit(0.0)), F.coalesce(main_error, F.lit(False))
+    return (
+        F.when(error & (value >= 0.55), "high_confidence_error").when(error, "uncertain_review")
+        .when(value >= 0.70, "candidate_error_for_review").otherwise("likely_correct")
+    )

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import exact_quantiles
+
 
 def priority_packet(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     """SO-01, SO-07: the first rows of an order; give it a tie breaker."""
@@ -69,6 +71,6 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 def hard_negatives(df: DataFrame, score: str, label: str, share: float, weight: float) -> DataFrame:
     """ML-22: weight for the correct rows with the highest scores, 1 for all others; the share's boundary is an exact quantile."""
-    bound = df.where(F.col(label) == 0).agg(F.percentile(score, 1 - share).alias("_bound"))
+    bound = exact_quantiles(df.where(F.col(label) == 0), score, {"_bound": 1 - share})
     hard = (F.col(label) == 0) & (F.col(score) >= F.col("_bound"))
-    return df.join(F.broadcast(bound)).withColumn("weight", F.when(hard, weight).otherwise(1.0)).drop("_bound")  # one row
+    return df.join(F.broadcast(bound), F.lit(True), "left").withColumn("weight", F.when(hard, weight).otherwise(1.0)).drop("_bound")  # one row

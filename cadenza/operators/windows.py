@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import exact_quantiles
+
 
 def duration_outlier(df: DataFrame, duration: str, key: str, z: float = 2.5) -> DataFrame:
     """WN-01: duration_outlier_flag, 1 where the duration is z sample deviations from the group's mean.
@@ -26,7 +28,7 @@ def last_in_group(df: DataFrame, keys: Sequence[str], index: str, condition: Col
 
 def median_ratio(df: DataFrame, value: str, key: str, name: str = "duration_ratio") -> DataFrame:
     """WN-03: value / exact median of its group; 1 where that is undefined."""
-    medians = df.groupBy(key).agg(F.median(value).alias("_median"))
+    medians = exact_quantiles(df, value, {"_median": 0.5}, [key])
     ratio = F.coalesce(F.col(value) / F.nullif(F.col("_median"), F.lit(0.0)), F.lit(1.0))
     return df.join(medians, key, "left").withColumn(name, ratio).drop("_median")
 
