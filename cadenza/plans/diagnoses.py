@@ -21,14 +21,14 @@ def deletion_trigger(spark, sf_dir):
     return rows.select("o_orderkey", diagnosis.deletion_trigger(rows).alias("triggered"))
 
 
-_STATES = f"""{PHONES}, p AS (SELECT target_phone, round(error_score, 2) AS d, round(prob_correct, 4) AS w, status = 'O' AS present, duration_ms < 10 AS equivalent, split,
+_STATES = f"""{PHONES}, p AS (SELECT target_phone, round(error_score * 0.97, 4) AS d, round(prob_correct * 0.95, 5) AS w, status = 'O' AS present, duration_ms < 10 AS equivalent, split,
     CASE WHEN gold = 1 AND error_score >= 0.5 THEN 'deleted' WHEN gold = 1 THEN 'mispronounced' ELSE 'correct' END AS gold FROM phones)"""
 
 
 def _states(spark, sf_dir):
     error = F.col("gold") == 1
     return phones(spark, sf_dir).select(
-        "target_phone", F.round("error_score", 2).alias("probability_deleted"), F.round("prob_correct", 4).alias("probability_mispronounced"), (F.col("status") == "O").alias("present"),
+        "target_phone", F.round(F.col("error_score") * 0.97, 4).alias("probability_deleted"), F.round(F.col("prob_correct") * 0.95, 5).alias("probability_mispronounced"), (F.col("status") == "O").alias("present"),
         (F.col("duration_ms") < 10).alias("equivalent"), "split", F.when(error & (F.col("error_score") >= 0.5), "deleted").when(error, "mispronounced").otherwise("correct").alias("gold_phone_state"),
     )
 

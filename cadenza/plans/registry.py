@@ -416,7 +416,7 @@ def retrieval_verifier(spark, sf_dir):
 def anomaly_verifier(spark, sf_dir):
     rows = phones(spark, sf_dir).select("utterance_id", "word_index", "target_phone", "phone_group", "gold", "duration_ms", "error_score", "prob_correct")
     scored = retrieval.anomaly_verifier(rows.where("gold = 0"), rows, "target_phone", "phone_group", ["duration_ms", "error_score", "prob_correct"])
-    return scored.select("utterance_id", "word_index", "target_phone", "anomaly_model", "anomaly_score")
+    return scored.select("utterance_id", "word_index", "target_phone", "anomaly_model", "anomaly_score", "oneclass_anomaly_score")
 
 
 @query("priority_packet", """SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_quantity FROM lineitem ORDER BY (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END), l_discount DESC, l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 300""")
@@ -930,4 +930,4 @@ def translated_labels(spark, sf_dir):
     return rows.groupBy("e2e_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import diagnoses as _diagnoses, evaluations as _evaluations, reporting as _reporting  # noqa: E402, F401  register their queries here
+from . import diagnoses as _diagnoses, evaluations as _evaluations, reporting as _reporting, training as _training  # noqa: E402, F401  register their queries here
