@@ -87,3 +87,22 @@ def token_ids(tokens: Column, ids: Mapping[str, int]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     found = F.transform(tokens, lambda t: F.try_element_at(table, t))
     return F.when(F.exists(found, lambda x: x.isNull()), F.array().cast("array<int>")).otherwise(found)
+
+
+def token_spans(words: DataFrame, keys: Sequence[str], index: str, word: str, vocabulary: Mapping[str, int], unknown: int, delimiter: bool = True) -> DataFrame:
+    """SQ-20: adds token_ids, token_start and token_end of each word in the tokens of its utterance, end exclusive.
+
+    A word is cut from the left into the longest tokens of the vocabulary (one of a model); a character that begins none is one unknown token. Between words
+    stands a delimiter, which belongs to the word before it. A word without characters, a null one too, has an empty span and no delimiter.
+    """
+    known = "|".join(f"\\Q{t}\\E" for t in sorted((t for t in vocabulary if t), key=lambda t: (-len(t), t)))
+    pattern = f"(?s)({known}|.)" if known else "(?s)(.)"
+    table = F.create_map(*[F.lit(x) for t, i in vocabulary.items() if t for x in (t, i)]) if known else F.create_map().cast("map<string,int>")
+    tokens = F.regexp_extract_all(F.coalesce(F.col(word), F.lit("")), F.lit(pattern), F.lit(1))
+    rows = words.withColumn("token_ids", F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(unknown))))
+    n, whole = F.size("token_ids"), Window.partitionBy(*keys)
+    last = F.max(F.when(n > 0, F.col(index))).over(whole)
+    width = n + (F.lit(delimiter) & (n > 0) & (F.col(index) < last)).cast("int")
+    before = F.coalesce(F.sum("_width").over(whole.orderBy(index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_width", F.coalesce(width, n)).withColumn("token_start", before.cast("int"))
+    return placed.withColumn("token_end", F.col("token_start") + F.col("_width")).drop("_width")

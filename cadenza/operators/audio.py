@@ -43,17 +43,18 @@ def wav_header(content: Column) -> Column:
         return F.when((s["data"] > 0) | (s["at"] + 7 > size), s).otherwise(new)
 
     chunks = F.sequence(F.lit(1), F.greatest(F.lit(1), (size / 8).cast("int")))
-    found = F.aggregate(chunks, begin, step)
     riff = (F.substring(content, F.lit(1), F.lit(4)).cast("string") == "RIFF") & (F.substring(content, F.lit(9), F.lit(4)).cast("string") == "WAVE")
-    fmt = found["fmt"]
-    header = F.struct(
-        _little(content, fmt, 2).alias("code"), _little(content, fmt + 2, 2).alias("channels"), _little(content, fmt + 4, 4).alias("rate"),
-        F.floor((_little(content, fmt + 14, 2) + 7) / 8).alias("width"), found["data"].alias("start"), F.least(found["bytes"], size - found["data"] + 1).alias("bytes"),
-    )
-    # a lambda over the one header, so that the chunks are walked once
-    usable = lambda h: h["code"].isin(1, 0xFFFE) & (h["channels"] > 0) & (h["rate"] > 0) & h["width"].between(1, 4)
-    whole = F.transform(F.array(header), lambda h: F.when(riff & (fmt > 0) & (found["data"] > 0) & usable(h), h))
-    return F.when(size >= 12, whole[0])
+
+    def fields(f: Column) -> Column:
+        return F.struct(
+            _little(content, f["fmt"], 2).alias("code"), _little(content, f["fmt"] + 2, 2).alias("channels"), _little(content, f["fmt"] + 4, 4).alias("rate"),
+            F.floor((_little(content, f["fmt"] + 14, 2) + 7) / 8).alias("width"), f["data"].alias("start"), F.least(f["bytes"], size - f["data"] + 1).alias("bytes"),
+        )
+
+    # lambdas over one element, so that the chunks are walked once and the header is read once
+    found = F.filter(F.array(F.aggregate(chunks, begin, step)), lambda f: (f["fmt"] > 0) & (f["data"] > 0))
+    usable = F.filter(F.transform(found, fields), lambda h: h["code"].isin(1, 0xFFFE) & (h["channels"] > 0) & (h["rate"] > 0) & h["width"].between(1, 4))
+    return F.when((size >= 12) & riff, F.get(usable, F.lit(0)))
 
 
 def pcm16_wav(samples: Column, rate: Column, channels: Column | None = None) -> Column:

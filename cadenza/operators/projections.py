@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import truthy
+from ..functions.scalars import number, truthy
 from .decisions import word_stats
 from .metrics import pr_curve, ranking_metrics, ratio
+from .quantiles import exact_quantiles
 from .thresholds import threshold_or_most_precise
 
 
@@ -87,3 +88,20 @@ def diverse_words(words: DataFrame, key: str, index: str, word: str, function_wo
     first = words.groupBy(key, upper.alias("_w")).agg(F.min(index).alias(index))
     order = Window.partitionBy(key).orderBy(F.when(F.col("_w").isin(*function_words), 0).otherwise(1), index)
     return first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select(key, index, F.col("_w").alias(word))
+
+
+def candidate_scores(df: DataFrame, strategy: str = "gop_aggressive", name: str = "candidate_score") -> DataFrame:
+    """ML-27: the score of a candidate, -gop_score or by how much the competitor's log likelihood exceeds the target's.
+
+    A missing value is the exact median of the others, 0 if there are none.
+    """
+    if strategy == "gop_aggressive":
+        value, sign = number("gop_score"), -1.0
+    elif strategy == "gop_margin":
+        value, sign = number("competitor_log_likelihood") - number("target_log_likelihood"), 1.0
+    else:
+        raise ValueError(f"unknown candidate strategy {strategy!r}")
+    rows = df.withColumn("_value", value)
+    middle = exact_quantiles(rows, "_value", {"_median": 0.5})
+    filled = rows.join(F.broadcast(middle), F.lit(True), "left")  # one row
+    return filled.withColumn(name, F.lit(sign) * F.coalesce("_value", "_median", F.lit(0.0))).drop("_value", "_median")

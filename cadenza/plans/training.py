@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, retrieval, trees
-from ..storage import new_path
+from ..functions import lexicon
+from ..operators import audio, display, models, projections, retrieval, trees
+from ..storage import new_path, stored
 from ..streaming.diagnosis import diagnose
 from .registry import _DECISIONS, _VOTES, ORACLE_SQL, PHONES, phones, query, table
 
@@ -73,3 +74,59 @@ ORACLE_SQL["word_mispronunciation"] = """WITH k AS (SELECT ['TH', 'R', 'L', 'V',
     d AS (SELECT *, kind IN ('ih_iy_confusion', 'ae_eh_confusion') AS light, kind IN ('th_fronting_or_stopping', 'r_l_w_confusion') AS plain, kind = 'voicing_confusion' AS hard FROM c)
     SELECT CASE WHEN light AND low THEN 'uncertain_review' WHEN light THEN 'acceptable_accent' WHEN hard AND low THEN 'mispronounced' WHEN t <> h AND low THEN 'mispronounced' WHEN plain THEN 'acceptable_accent'
         WHEN t <> h OR moderate THEN 'uncertain_review' ELSE 'correct' END AS mispronunciation_decision, kind AS mandarin_confusion_type, count(*) AS n FROM d GROUP BY 1, 2"""
+
+
+@query("token_spans", """WITH w AS (SELECT item_id, i - 1 AS word_index, x[i] AS word, len(regexp_extract_all(x[i], '(?s)ing|th|.')) AS n, len(x) AS k FROM (SELECT item_id, string_split(text, ' ') AS x FROM benchmark), unnest(range(1, len(x) + 1)) AS u(i)),
+    l AS (SELECT *, max(CASE WHEN n > 0 THEN word_index END) OVER (PARTITION BY item_id) AS last FROM w), s AS (SELECT *, n + (n > 0 AND word_index < last)::INTEGER AS width FROM l)
+    SELECT item_id, word_index::INTEGER AS word_index, word, (sum(width) OVER (PARTITION BY item_id ORDER BY word_index) - width)::INTEGER AS token_start, (sum(width) OVER (PARTITION BY item_id ORDER BY word_index))::INTEGER AS token_end FROM s""")
+def token_spans(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("word_index", "word"))
+    tokens = {t: i for i, t in enumerate(["ing", "th", *"abcdefghijklmnopqrstuvwxyz"])}
+    return lexicon.token_spans(words, ["item_id"], "word_index", "word", tokens, 99).drop("token_ids")
+
+
+@query("candidate_scores", f"""WITH {PHONES}, g AS (SELECT *, CASE WHEN duration_ms > 5 THEN prob_correct END AS gop FROM phones) SELECT utterance_id, word_index, phone_index, target_phone, -coalesce(gop, (SELECT median(gop) FROM g)) AS candidate_score FROM g""")
+def candidate_scores(spark, sf_dir):
+    rows = phones(spark, sf_dir).select("utterance_id", "word_index", "phone_index", "target_phone", F.when(F.col("duration_ms") > 5, F.col("prob_correct")).alias("gop_score"))
+    return projections.candidate_scores(rows).drop("gop_score")
+
+
+@query("audio_inspection", """WITH s AS (SELECT vec_id, list_transform(flatten([embedding for _ in range(40)]), lambda x: trunc(greatest(least(x::DOUBLE / 4, 1), -1) * 32767) / 32768) AS x, [8000, 16000, 44100][vec_id % 3 + 1] AS rate, vec_id % 2 + 1 AS channels FROM embeddings),
+    r AS (SELECT vec_id, rate, channels, len(x) / rate AS d, list_avg(list_transform(x, lambda v: v * v)) AS m FROM s)
+    SELECT vec_id, round(d, 6) AS duration_sec, rate::INTEGER AS sample_rate, channels::INTEGER AS channels, round(sqrt(m), 5) AS rms,
+    concat_ws(',', CASE WHEN channels <> 1 THEN 'audio_not_mono' END, CASE WHEN rate <> 16000 THEN 'audio_sample_rate_not_16k' END, CASE WHEN d <= 0.05 THEN 'audio_duration_too_short' END) AS warnings FROM r""")
+def audio_inspection(spark, sf_dir):
+    """Vectors as sounds: their elements are samples of three rates in one or two channels."""
+    rates = F.array(F.lit(8_000), F.lit(16_000), F.lit(44_100))
+    samples = F.transform(F.flatten(F.array_repeat("embedding", 40)), lambda x: x.cast("double") / 4)
+    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), audio.pcm16_wav(samples, rates[(F.col("vec_id") % 3).cast("int")], F.col("vec_id") % 2 + 1).alias("content"))
+    found = audio.inspect_audio(stored(files, "sounds"))
+    return found.select(F.col("path").cast("long").alias("vec_id"), "duration_sec", "sample_rate", "channels", F.round("rms", 5).alias("rms"), F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query("prepared_audio")
+def prepared_audio(spark, sf_dir):
+    """The same sounds between silences, mixed, resampled and trimmed; tested against a plain version."""
+    quiet = F.array_repeat(F.lit(0.0), 6_000)
+    samples = F.concat(quiet, F.transform(F.flatten(F.array_repeat("embedding", 40)), lambda x: x.cast("double") / 4), quiet)
+    rates = F.array(F.lit(8_000), F.lit(16_000), F.lit(44_100))
+    files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), audio.pcm16_wav(samples, rates[(F.col("vec_id") % 3).cast("int")]).alias("content"))
+    done = audio.preprocess_audio(stored(files, "sounds"), trim=True)
+    return done.select(F.col("path").cast("long").alias("vec_id"), (F.octet_length("content") - 44).alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("displayed_phones", """WITH p AS (SELECT l_orderkey, l_linenumber, round(l_discount * 1000, 0) AS percent, CASE l_returnflag WHEN 'R' THEN 'true_error' WHEN 'A' THEN 'uncertain_review' ELSE 'correct' END AS said,
+        CASE l_returnflag WHEN 'R' THEN 'mispronunciation' WHEN 'A' THEN 'possible_mispronunciation' ELSE '' END AS kind, CASE WHEN l_quantity < 3 THEN '<UNK>' ELSE 'AH' END AS target_phone FROM lineitem),
+    w AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'deletion' ELSE '' END AS final FROM orders), j AS (SELECT p.*, w.final, target_phone = '<UNK>' AS unknown, coalesce(w.final, '') = 'deletion' AS gone FROM p LEFT JOIN w ON o_orderkey = l_orderkey)
+    SELECT l_orderkey, l_linenumber, CASE WHEN unknown THEN '单词暂未收录' WHEN gone THEN '漏读' WHEN said = 'true_error' THEN '发音错误' WHEN said = 'uncertain_review' THEN '需复核' ELSE '正确' END AS display_decision,
+        CASE WHEN unknown THEN '无法判断' WHEN gone THEN '漏读' ELSE percent::INTEGER || '%' || CASE kind WHEN 'mispronunciation' THEN ' 读错' WHEN 'possible_mispronunciation' THEN ' 疑似错误' ELSE '' END END AS display_error,
+        CASE WHEN gone AND NOT unknown THEN 'suspect' ELSE 'bad' END AS display_align, CASE WHEN unknown THEN 'g2p_issue' WHEN gone THEN 'deletion' ELSE kind END AS display_error_type FROM j""")
+def displayed_phones(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(F.col("l_discount") * 1000, 0).alias("phone_error_percent"), F.when(flag == "R", "true_error").when(flag == "A", "uncertain_review").otherwise("correct").alias("phone_decision"),
+        F.when(flag == "R", "mispronunciation").when(flag == "A", "possible_mispronunciation").otherwise("").alias("phone_error_type"), F.when(F.col("l_quantity") < 3, "<UNK>").otherwise("AH").alias("target_phone"),
+    )
+    words = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", "deletion").otherwise("").alias("final_error_type"))
+    shown = display.displayed_phones(rows, words, ["l_orderkey"]).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
+    return shown.select("l_orderkey", "l_linenumber", "display_decision", "display_error", "display_align", "display_error_type")
