@@ -6,7 +6,8 @@ neighbouring documents come last, the others by their hashes. Two sets of
 similarity t share one of their first n - ceil(t n) + 1 shingles (their
 prefixes), and the sizes and the places of the first shared shingle bound what
 they can share. Classes of one size and prefix are one group; groups that meet
-in a shingle are filtered as groups, and their members are verified on texts.
+in a shingle are filtered as groups, their members by bitmaps of their shingles,
+which bound what two sets share, and what is left is verified on texts.
 
 Only what holds components together is verified. First every group is
 compared with one pivot, the group that stands first where they meet (the one
@@ -33,8 +34,10 @@ SHINGLE, PERCENT = 4, 85
 WINDOW, REPEATS, FREQUENT = 1 << 20, 8, 500_000
 #: Groups of a tile's side, and rows up to which a table is sent to all tasks (more: joined).
 TILE, SENT = 2000, 1_000_000
-#: Texts that a task reads at once, and words whose hashes it keeps.
-ROWS, WORDS = 500, 1 << 20
+#: Texts that a task reads at once, words whose hashes it keeps, and flags by which it knows shingles that go to the end.
+ROWS, WORDS, FLAGS = 500, 1 << 20, 1 << 22
+#: Rows of a tile up to which many tiles are compared at once.
+SMALL = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -73,6 +76,24 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """A bit for each shingle by its low bits, four to eight times as many bits as shingles."""
+    bits = np.zeros(max(64, 1 << (4 * len(found)).bit_length()), bool)
+    bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def can_be_similar(a: bytes, n_a: int, b: bytes, n_b: int, percent: int = PERCENT) -> bool:
+    """False only if sets of these bitmaps and sizes can't be similar: a bit that one lacks is a shingle that it lacks."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return both > 0 and 100 * both >= percent * (n_a + n_b - both)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -127,33 +148,39 @@ def _address(text_col: str) -> list[Column]:
 
 
 def prefixes(docs: DataFrame, text_col: str, tokens: np.ndarray, repeats: np.ndarray, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, n, prefix): a row per document with words; ``tokens`` (sorted, uint64) go to the end, by their ``repeats``."""
+    """(key, n, bits, prefix): a row per document with words; ``tokens`` (sorted, uint64) go to the end, by their ``repeats``."""
+    low = np.uint64(FLAGS - 1)
 
     def run(batches):
+        flags = np.zeros(FLAGS, bool)  # most shingles are seen not to be among the tokens here
+        flags[(tokens & low).astype(np.int64)] = True
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
-                keys, sizes, listed = [], [], []
+                keys, sizes, bits, listed = [], [], [], []
                 for text in whole.slice(start, ROWS).column(0).cast(pa.binary()).to_pylist():
                     found = shingles(text or b"", width)
                     if not len(found):
                         continue
                     length = prefix_length(len(found), percent)
                     if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-                        late = tokens[at] == found
+                        perhaps = np.flatnonzero(flags[(found & low).astype(np.int64)])
+                        at = np.minimum(np.searchsorted(tokens, found[perhaps]), len(tokens) - 1)
+                        there = tokens[at] == found[perhaps]
+                        late = np.zeros(len(found), bool)
+                        late[perhaps[there]] = True
                         first = found[~late][:length]
                         if len(first) < length:
                             last = found[late]
-                            order = np.lexsort((last, repeats[at[late]]))
+                            order = np.lexsort((last, repeats[at[there]]))
                             first = np.concatenate((first, last[order[: length - len(first)]]))
                     else:
                         first = found[:length]
-                    keys.append(set_key(found)), sizes.append(len(found)), listed.append(first)
+                    keys.append(set_key(found)), sizes.append(len(found)), bits.append(bitmap(found)), listed.append(first)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in listed]))).astype(np.int32)
                 flat = np.concatenate(listed).view(np.int64) if listed else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "n", "bits", "prefix"])
 
-    return arrow_map(docs.select(F.col(text_col).alias("text")), run, "key binary, n long, prefix array<long>")
+    return arrow_map(docs.select(F.col(text_col).alias("text")), run, "key binary, n long, bits binary, prefix array<long>")
 
 
 def _within(n: Column, pos: Column, other_n: Column, other_pos: Column, percent: int) -> Column:
@@ -162,6 +189,19 @@ def _within(n: Column, pos: Column, other_n: Column, other_pos: Column, percent:
     return sizes & ((100 + percent) * F.least(n - pos, other_n - other_pos) >= percent * (n + other_n))
 
 
+def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes that their bitmaps (key, n, bits) don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([can_be_similar(*row, percent) for row in rows], pa.bool_()))
+
+    with_b = pairs.join(bits.select(F.col("key").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b")), "b")
+    both = with_b.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a")), "a")
+    return arrow_map(both.select("a", "b", "bits_a", "n_a", "bits_b", "n_b"), run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes whose texts are similar."""
 
@@ -206,6 +246,21 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
             return np.zeros((0, 2), np.int64)
         return np.unique(np.column_stack((np.concatenate(found_a), np.concatenate(found_b))), axis=0)
 
+    def small(tiles, sizes):
+        """All pairs of many small tiles: every row with the row so many places further on, as long as they stand in one tile."""
+        _, i, j, side, gid, n, pos, part = tiles
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        found = []
+        for step in range(1, int(sizes.max())):
+            x = np.flatnonzero(number[step:] == number[:-step])
+            y = x + step
+            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            near &= (100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y])
+            near &= (part[x] != part[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+            a, b = gid[x[near]], gid[y[near]]
+            found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b))))
+        return np.unique(np.concatenate(found), axis=0)
+
     def run(batches):
         held = [np.zeros(0, np.int64) for _ in range(8)]
         for batch in batches:
@@ -223,7 +278,12 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         stops = np.concatenate((starts[1:], [len(token)]))
         done = len(starts) if whole else len(starts) - 1  # the last tile may go on in the next batch
         held_from[0] = 0 if whole or not len(starts) else int(starts[-1])
-        found = [solve([x[starts[k] : stops[k]] for x in held[1:]]) for k in range(done) if stops[k] - starts[k] > 1]
+        sizes = (stops - starts)[:done]
+        found = [solve([x[starts[k] : stops[k]] for x in held[1:]]) for k in np.flatnonzero(sizes > SMALL).tolist()]
+        few = (sizes > 1) & (sizes <= SMALL)
+        if few.any():
+            kept = np.repeat(few, sizes)
+            found.append(small([x[: len(kept)][kept] for x in held], sizes[few]))
         if found:
             ab = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
@@ -268,14 +328,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     firsts = prefixes(docs, text_col, tokens[order], repeats[order], width, percent).withColumn("gid", F.xxhash64("n", "prefix"))
     # copies bring the same row, so it doesn't matter which one stays
-    members = materialize(firsts.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("gid").alias("gid")), "prefixes")
+    members = materialize(firsts.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("gid").alias("gid"), F.first("bits").alias("bits")), "prefixes")
     groups = members.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     places = groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "n")
     shared = materialize(places.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token"), "shared")
     met = materialize(places.join(F.broadcast(shared) if shared.count() <= sent else shared, "token"), "met")
     sized = members.groupBy("gid").agg(F.min("key").alias("rep"), F.count("*").alias("m"))
     reps = materialize(sized.join(met.select("gid").distinct().withColumn("meets", F.lit(True)), "gid", "left").where("meets or m > 1"), "groups")
-    own = materialize(members.select("gid", "key").join(reps.select("gid"), "gid"), "members")
+    placed = materialize(members.select("gid", "key", "n", "bits").join(reps.select("gid"), "gid"), "members")
+    own, bits = placed.select("gid", "key"), placed.select("key", "n", "bits")
     wanted = own.join(classes, "key").select("key", "at.th", "at.bytes").dropDuplicates(["th", "bytes"])
     wanted = materialize(wanted, "wanted")
     texts = docs.where(F.col(text_col).isNotNull()).select(*_address(text_col), F.col(text_col).alias("text")).join(F.broadcast(wanted) if wanted.count() <= sent else wanted, ["th", "bytes"])
@@ -287,7 +348,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.groupBy("gid").agg(F.max_by("pivot", F.struct("tokens", "pivot")).alias("pivot"))
     named = stars.join(reps.select("gid", F.col("rep").alias("b")), "gid").join(reps.select(F.col("gid").alias("pivot"), F.col("rep").alias("a")), "pivot").select("a", "b")
     inside = own.join(reps.select("gid", F.col("rep").alias("a")), "gid").select("a", F.col("key").alias("b")).where("a <> b")
-    links = materialize(verified(named.unionByName(inside), texts, width, percent), "links")
+    near = materialize(possible(named.unionByName(inside), bits, percent), "pairs")
+    links = materialize(verified(near, texts, width, percent), "links")
 
     roots = materialize(connected_components(links), "roots")
     parts = own.join(roots.withColumnRenamed("node", "key"), "key", "left").select("gid", "key", F.coalesce("root", "key").alias("part"))
@@ -302,7 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = parts.select(F.col("gid").alias("a"), F.col("key").alias("ka"), F.col("part").alias("pa"))
     right = parts.select(F.col("gid").alias("b"), F.col("key").alias("kb"), F.col("part").alias("pb"))
     pairs = group_pairs.join(left, "a").join(right, "b").where("pa <> pb and (a <> b or ka < kb)").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-    more = materialize(verified(materialize(pairs, "pairs"), texts, width, percent), "links")
+    more = materialize(verified(materialize(possible(pairs, bits, percent), "pairs"), texts, width, percent), "links")
 
     roots = connected_components(links.unionByName(more))
     linked = materialize(classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")), "linked")

@@ -169,9 +169,10 @@ def test_jaccard_equals_all_pairs(spark, table, near_rows, monkeypatch, tile, se
     assert sorted((tuple(r) for r in found.collect()), key=str) == plain_components(near_rows)
 
 
-@pytest.mark.parametrize("tile", [2, 2000])
-def test_tiles_meet_every_pair_of_components(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, small", [(2, 64), (2, 1), (2000, 64), (2000, 1)])
+def test_tiles_meet_every_pair_of_components(spark, monkeypatch, tile, small):
     """Groups of one shingle: each pair of different components that passes the filters, once, however many blocks there are."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rng = random.Random(2)
     groups = [(k, rng.choice([10, 11, 12]), 0, 7, rng.choice([1, 1, 1, 2, 3, 4])) for k in range(30)]
     met = spark.createDataFrame([g[:4] for g in groups], "gid long, n long, pos int, token long")
@@ -181,6 +182,20 @@ def test_tiles_meet_every_pair_of_components(spark, monkeypatch, tile):
     assert sorted(found) == [(a[0], b[0]) for a in groups for b in groups if a[0] < b[0] and a[4] != b[4] and near(a[1], b[1])]
 
 
+def test_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(8)
+    out = 0
+    for n in (1, 2, 7, 40, 300, 2000):
+        for share in (0.5, 0.7, 0.8, 0.9, 0.95, 1.0):
+            for _ in range(20):
+                whole = rng.integers(0, 1 << 63, n, np.int64).view(np.uint64)
+                a, b = (np.unique(np.concatenate((whole[: int(share * n)], rng.integers(0, 1 << 63, n - int(share * n), np.int64).view(np.uint64)))) for _ in range(2))
+                possible = jaccard.can_be_similar(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b))
+                assert possible or not jaccard.similar(a, b)
+                out += not possible
+    assert out > 200
+
+
 def test_jaccard_of_nothing(table):
     assert jaccard.jaccard_components(table([], SCHEMA)).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_components(table([(4, None)], SCHEMA)).collect()] == [(4, 0, 4)]
