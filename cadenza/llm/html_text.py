@@ -10,10 +10,12 @@ nearly all that is fused there; the container that it reaches is the content,
 with the containers beside it whose fused ratio comes near its own.
 
 Tags and classes weigh, but don't decide: a path inside something that calls
-itself boilerplate (adverts, comments and so on) is left out as long as there is
-content elsewhere; where there isn't, an element that holds the layout of a page
-(a form around everything, say) is taken for a wrapper. Words with more than one
-use (share, notice, header) only lower a ratio.
+itself boilerplate (adverts, comments and so on) is left out, but never what
+holds the article that most of the page's ratios fall to, nor the article itself;
+where nothing else has content, an element that holds the layout of a page
+(a form around everything, say) is taken for a wrapper. A class calls itself
+boilerplate only if all of its words do or go along with such words (ad-slot, not
+ad-hoc). Words with more than one use (share, notice, header) only lower a ratio.
 """
 
 from __future__ import annotations
@@ -43,11 +45,18 @@ WEAK = {
     "banner", "promo", "header", "reply", "modal", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "widget", "notice",
     "disclaimer", "copyright", "toolbar", "masthead",
 }
-OTHERWISE = {"has", "with", "no", "not", "non", "without", "free", "less", "layout", "wrapper"}
+#: Words that go along with them in one class; with any other word it says nothing.
+COMPANY = {
+    "slot", "box", "container", "block", "area", "unit", "wrap", "list", "section", "bar", "item", "items", "inner", "outer", "left", "right", "top", "bottom", "form", "thread", "link", "links",
+    "site", "main", "page", "post", "posts", "article", "user", "google", "global", "primary", "secondary", "mobile", "sub", "inline", "reader", "js", "text", "button", "buttons", "icon", "icons",
+    "label", "content", "placeholder", "overlay", "dialog", "letter", "message", "author", "meta", "body",
+}
 #: A start tag that ends an open element of the same list.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that an implied end doesn't cross.
 SCOPES = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "html", "blockquote", "td", "th", "aside", "nav", "footer", "header", "form"}
+#: Elements in whose text a button is a word.
+SENTENCE = {"p", "li", "dd", "td", "blockquote"}
 MAIN, LAYOUT = {"article", "main"}, {"article", "main", "h1", "nav", "footer", "header", "aside"}
 #: The weight of neighbours in smoothing, of punctuation, and of a word that may declare boilerplate.
 SMOOTH, PUNCTUATION, LOWERED = 0.25, 10, 0.4
@@ -81,7 +90,7 @@ def _judged(tag: str, attributes: str, inside_main: bool) -> int:
     for m in _DECLARES.finditer(attributes):
         for token in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in _WORD.findall(token)}
-            if not words & OTHERWISE:
+            if all(w in STRONG or w in WEAK or w in COMPANY or w.isdigit() for w in words):
                 found = max(found, DECLARED if words & STRONG else MAYBE if words & WEAK else PLAIN)
     return found
 
@@ -90,7 +99,7 @@ class Page:
     """The tree of tag paths (node 0 is the root; parents stand before their children) and the blocks of a page."""
 
     def __init__(self):
-        self.parent, self.tag, self.judged, self.wraps = [0], [""], [PLAIN], [False]
+        self.parent, self.tag, self.judged, self.wraps, self.times = [0], [""], [PLAIN], [False], [1]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters of links
         self._nodes: dict[tuple[int, str, int], int] = {}
 
@@ -101,6 +110,8 @@ class Page:
             self.tag.append(tag)
             self.judged.append(judged)
             self.wraps.append(False)
+            self.times.append(0)
+        self.times[found] += 1
         return found
 
 
@@ -141,7 +152,7 @@ def read(html: str) -> Page:
     def pop():
         nonlocal out, in_link, main
         tag, node, is_out = stack[-1]
-        if tag not in INLINE:
+        if tag not in INLINE and (is_out or tag != "button"):
             flush()
         stack.pop()
         opened[tag] -= 1
@@ -208,7 +219,8 @@ def read(html: str) -> Page:
             if tag not in INLINE:
                 flush()
             continue
-        if tag not in INLINE:
+        word = tag == "button" and bool(stack) and stack[-1][0] in SENTENCE and any(x.strip() for x in parts)  # a word of the sentence
+        if tag not in INLINE and not word:
             for ended in (*CLOSES.get(tag, ()), "p"):
                 if scopes[-1].get(ended):
                     pop_through((ended,))
@@ -216,8 +228,8 @@ def read(html: str) -> Page:
         if attributes.endswith("/"):
             continue
         above = stack[-1][1] if stack else 0
-        judged = _judged(tag, attributes, main > 0)
-        if tag in INLINE:
+        judged = PLAIN if word else _judged(tag, attributes, main > 0)
+        if tag in INLINE or word:
             node = above
             judged = judged if judged == OUT else PLAIN
         else:
@@ -259,6 +271,27 @@ def ratios(page: Page) -> tuple[dict[int, float], dict[int, float], dict[int, in
     return {p: max(0.0, x) for p, x in smooth.items()}, share, size
 
 
+def _article(page: Page, weight: dict[int, float], gone: list[bool]) -> int:
+    """The one article in declared boilerplate that outweighs all that isn't in such, if no article stands outside; else 0.
+
+    An article that calls itself boilerplate is none, nor are several of one path (comments, say). What an article declares inside of itself doesn't count for it.
+    """
+    nodes = range(len(page.parent))
+    clear, free = [0.0] * len(nodes), [0.0] * len(nodes)  # what stands in a node without a declaration from there on, and what isn't gone
+    for p, w in weight.items():
+        clear[p], free[p] = w, 0.0 if gone[p] else w
+    for n in reversed(nodes[1:]):
+        if page.judged[n] == DECLARED:
+            clear[n] = 0.0
+        if page.tag[n] in MAIN and free[n] > 0:
+            return 0
+        clear[page.parent[n]] += clear[n]
+        free[page.parent[n]] += free[n]
+    articles = [n for n in nodes[1:] if page.tag[n] in MAIN and page.times[n] == 1 and clear[n] > 0]
+    best = max(articles, key=lambda n: (clear[n], -n), default=0)
+    return best if best and clear[best] >= free[0] else 0
+
+
 def select(page: Page) -> list[str]:
     """The texts of the content blocks."""
     if not page.blocks:
@@ -266,17 +299,24 @@ def select(page: Page) -> list[str]:
     smooth, share, size = ratios(page)
     nodes = range(len(page.parent))
 
-    def declared(absolved: bool) -> list[bool]:
-        """The nodes inside of declared boilerplate, of which wrappers are not if they are absolved."""
+    def declared(absolved) -> list[bool]:
+        """The nodes inside of declared boilerplate that isn't absolved."""
         found = [False] * len(nodes)
         for n in nodes[1:]:
-            found[n] = found[page.parent[n]] or (page.judged[n] == DECLARED and not (absolved and page.wraps[n]))
+            found[n] = found[page.parent[n]] or (page.judged[n] == DECLARED and n not in absolved)
         return found
 
-    gone = declared(False)
+    gone = declared(())
     everything = sum(smooth[p] * size[p] for p in smooth)
+    article = _article(page, {p: smooth[p] * size[p] for p in smooth}, gone)
+    absolved = set()
+    while article:
+        absolved.add(article)
+        article = page.parent[article]
+    if absolved:
+        gone = declared(absolved)
     if sum(smooth[p] * size[p] for p in smooth if not gone[p]) < BELIEVED * everything:
-        gone = declared(True)
+        gone = declared({n for n in nodes if page.wraps[n]} | absolved)
     lowered = [1.0] * len(nodes)
     for n in nodes[1:]:
         lowered[n] = lowered[page.parent[n]] * (LOWERED if page.judged[n] == MAYBE else 1.0)
@@ -301,10 +341,11 @@ def select(page: Page) -> list[str]:
         chain.append(below)
     best = chain[-1]
     density = fused[best] / text[best]
-    kept = [False] * len(nodes)
-    kept[best] = True
+    kept, inside = [False] * len(nodes), [False] * len(nodes)
+    kept[best], inside[best] = True, page.tag[best] in MAIN
     above = set(chain[:-1])
     for n in nodes[1:]:
+        inside[n] = inside[n] or inside[page.parent[n]]
         if kept[page.parent[n]]:
             kept[n] = True
         elif page.parent[n] in above and n not in above and n != best and text[n]:
@@ -312,7 +353,7 @@ def select(page: Page) -> list[str]:
     own = [n in above and ratio.get(n, 0.0) >= BESIDE * density for n in nodes]  # text that stands in a container of the content
 
     def is_content(p: int) -> bool:
-        return (kept[p] or own[p]) and not gone[p] and share[p] <= MOST_LINKS and (lowered[p] == lowered[best] or ratio[p] >= INSIDE * density)
+        return (kept[p] or own[p]) and not gone[p] and (share[p] <= MOST_LINKS or inside[p]) and (lowered[p] == lowered[best] or ratio[p] >= INSIDE * density)
 
     content = {p: is_content(p) for p in smooth}
     return [t for p, t, _ in page.blocks if content[p]]
