@@ -35,17 +35,13 @@ def _blocks(df: DataFrame, key: str, identity: str, vector: str, size: int) -> D
     return dealt.groupBy(key, "_block", "_blocks").agg(held).select(key, "_block", "_blocks", F.col("x._id").alias("_ids"), F.col("x._v").alias("_vectors"))
 
 
-def top_similarities(queries: DataFrame, bank: DataFrame, query: str, item: str, key: str, vector: str, k: int, others_only: bool = False) -> DataFrame:
-    """SO-02, JN-26: for each query the greatest cosine among bank items of its key and the mean of the k greatest.
-
-    Blocks of queries meet blocks of items of their key as matrix products, a task a pair of blocks, whose k best of each query are merged;
-    a large key is many blocks. ``others_only`` leaves out the item whose id is the query's. Keys without items give no row.
-    """
+def _best_of_blocks(queries: DataFrame, bank: DataFrame, query: str, item: str, key: str, vector: str, k: int, others_only: bool) -> DataFrame:
+    """(query, _item, sim): of every pair of a block of queries and a block of items of one key the k best items of each query, by a matrix product."""
     asked = _blocks(unit_vectors(queries, vector), key, query, vector, QUERY_BLOCK).select(key, F.col("_ids").alias("_qids"), F.col("_vectors").alias("_queries"))
     items = _blocks(unit_vectors(bank, vector), key, item, vector, ITEM_BLOCK)
     most = items.groupBy(key).agg(F.max("_blocks").alias("_blocks"))
     pairs = asked.join(most, key).select(key, "_qids", "_queries", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).join(items.drop("_blocks"), [key, "_block"])
-    kind = dict(queries.dtypes)[query]
+    kind, item_kind = dict(queries.dtypes)[query], dict(bank.dtypes)[item]
 
     def run(batches):
         for batch in batches:
@@ -57,16 +53,71 @@ def top_similarities(queries: DataFrame, bank: DataFrame, query: str, item: str,
                     for i, x in enumerate(qids):
                         if x in place:
                             sims[i, place[x]] = -np.inf
-                best = np.sort(sims, axis=1)[:, ::-1][:, :k]
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(sims, order, axis=1)
                 rows, _ = np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in rows], batch.schema.field("_qids").type.value_type), pa.array(best[np.isfinite(best)])], [query, "sim"])
+                arrays = [pa.array([qids[i] for i in rows], batch.schema.field("_qids").type.value_type), pa.array([ids[j] for j in order[np.isfinite(best)]], batch.schema.field("_ids").type.value_type)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(best[np.isfinite(best)])], [query, "_item", "sim"])
 
     ship(queries.sparkSession)
-    found = pairs.select("_qids", "_queries", "_ids", "_vectors").mapInArrow(run, f"{query} {kind}, sim double").withColumn("sim", F.round("sim", 6))
+    return pairs.select("_qids", "_queries", "_ids", "_vectors").mapInArrow(run, f"{query} {kind}, _item {item_kind}, sim double").withColumn("sim", F.round("sim", 6))
+
+
+def top_similarities(queries: DataFrame, bank: DataFrame, query: str, item: str, key: str, vector: str, k: int, others_only: bool = False) -> DataFrame:
+    """SO-02, JN-26: for each query the greatest cosine among bank items of its key and the mean of the k greatest.
+
+    Blocks of queries meet blocks of items of their key as matrix products, a task a pair of blocks, whose k best of each query are merged;
+    a large key is many blocks. ``others_only`` leaves out the item whose id is the query's. Keys without items give no row.
+    """
+    found = _best_of_blocks(queries, bank, query, item, key, vector, k, others_only)
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim")))).where(F.col("_r") <= k)
     return ranked.groupBy(query).agg(F.max("sim").alias("top1"), F.round(F.avg("sim"), 6).alias("topk_mean"))
 
 
+def _with_buckets(df: DataFrame, vector: str, bits: int, tables: int, seed: int, keys: list[str]) -> DataFrame:
+    """A row per table: the bucket is the table, the sides of its ``bits`` random hyperplanes on which the vector lies, and the values of the keys. Null and zero vectors have none."""
+
+    def run(batches):
+        for batch in batches:
+            codes = []
+            for v in batch.column(0).to_pylist():
+                x = np.asarray(v, np.float64)
+                planes = np.random.default_rng([seed, len(x)]).normal(size=(tables, bits, len(x))) if not codes or len(x) != planes.shape[2] else planes
+                codes.append(((planes @ x >= 0) << np.arange(bits)).sum(axis=1).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], [*batch.schema.names, "_codes"])
+
+    rows = df.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(vector).alias("_v"), *df.columns)
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], "_codes array<long>"])
+    coded = rows.mapInArrow(run, fields).drop("_v")
+    bucket = F.concat_ws(":", "_table", "_code", *[F.col(c).cast("string") for c in keys])
+    return coded.select("*", F.posexplode("_codes").alias("_table", "_code")).withColumn("_bucket", bucket).drop("_codes", "_table", "_code")
+
+
+def indexed_neighbours(
+    queries: DataFrame, bank: DataFrame, query: str, item: str, vector: str, k: int, bits: int, tables: int, keys: list[str] | None = None, seed: int = 42, others_only: bool = False
+) -> DataFrame:
+    """SO-02, JN-26 by an index: (query, item, sim, rank) of the k bank items of the greatest cosine among those that share a bucket with the query.
+
+    Every bank row stands in one bucket of each table; a query meets the items of its own buckets only, block by block, and they are ranked by their exact
+    cosine. Items at an angle a are met with probability 1 - (1 - (1 - a / pi) ** bits) ** tables: measure it with ``recall_of`` and take more tables, or the exact
+    top_similarities, where it is too low. Of equal cosines the lesser item comes first. Queries without a shared bucket have no row.
+    """
+    ship(queries.sparkSession)
+    asked, held = (_with_buckets(df, vector, bits, tables, seed, keys or []) for df in (queries, bank))
+    met = _best_of_blocks(asked, held, query, item, "_bucket", vector, k + int(others_only), others_only)
+    once = met.groupBy(query, F.col("_item").alias(item)).agg(F.max("sim").alias("sim"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim"), item))).where(F.col("rank") <= k)
+
+
+def recall_of(found: DataFrame, queries: DataFrame, bank: DataFrame, query: str, item: str, vector: str, k: int, others_only: bool = False, sample: int = 200) -> float:
+    """The share of the exact k nearest items that ``found`` has, over the ``sample`` queries of least hash; 1 without queries."""
+    some = queries.orderBy(F.xxhash64(query), query).limit(sample).withColumn("_all", F.lit(1))
+    exact = _best_of_blocks(some, bank.withColumn("_all", F.lit(1)), query, item, "_all", vector, k + int(others_only), others_only)
+    ranked = exact.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim"), "_item"))).where(F.col("_r") <= k)
+    both = ranked.join(found.select(query, F.col(item).alias("_item"), F.lit(1).alias("_hit")), [query, "_item"], "left")
+    return both.agg(F.coalesce(F.avg(F.coalesce("_hit", F.lit(0))), F.lit(1.0)).alias("x")).first()["x"]  # one row
+
+
 def _matrix(rows, n: int) -> np.ndarray:
     return rows.values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 

@@ -130,3 +130,10 @@ def displayed_phones(spark, sf_dir):
     words = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", "deletion").otherwise("").alias("final_error_type"))
     shown = display.displayed_phones(rows, words, ["l_orderkey"]).withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
     return shown.select("l_orderkey", "l_linenumber", "display_decision", "display_error", "display_align", "display_error_type")
+
+
+@query("indexed_neighbours")
+def indexed_neighbours(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 100, among all; the vectors are random, so few bits and many tables are needed. Its recall is tested."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.indexed_neighbours(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "asked"), rows, "asked", "vec_id", "embedding", 10, bits=3, tables=16)
