@@ -11,10 +11,10 @@ from ..operators.joins import keep_last
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """IO-04: CSV with a header; an empty frame is an error."""
+    """IO-04: CSV with a header, quotes doubled as ``read_manifest`` expects them; an empty frame is an error."""
     if df.isEmpty():
         raise ValueError(f"nothing to write to {path}")
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def strict(df: DataFrame) -> DataFrame:
