@@ -12,6 +12,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
 from .metrics import confusion, derived, pr_curve, ratio
 
 
@@ -99,12 +100,14 @@ def hierarchical_thresholds(
     enough = (F.col("_rows") >= least_rows) & (F.col("_errors") >= least_positives) & (F.col("_rows") > F.col("_errors")) & F.col("key").isNotNull()
     kept = supported.where((F.col("level") == "global") | enough)
     found = threshold_or_most_precise(kept, "_score", ("_pos", "_neg"), least_precision, ["level", "key"]).select("level", "key", "threshold")
+    found = stored(found, "thresholds")  # a row a value; the search runs once
     whole_table = dev.sparkSession.createDataFrame([("global", "")], "level string, key string")  # there with a null threshold, too
     return found.where("level <> 'global'").unionByName(whole_table.join(F.broadcast(found.where("level = 'global'")), ["level", "key"], "left"))
 
 
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, score: str, levels: Sequence[str]) -> DataFrame:
     """ML-12, ML-16, ML-50, ML-51: threshold and its source by the first level that has one, the decision, and confidence."""
+    thresholds = stored(thresholds, "thresholds")  # read for each level
     out, sources, values = df, [], []
     for level in levels:
         own = thresholds.where(F.col("level") == level).select(F.col("key").alias(f"_{level}"), F.col("threshold").alias(f"_t_{level}"))
