@@ -230,8 +230,8 @@ def encode_documents(
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and ids (unsigned 32-bit) on demand.
 
-    A null text is empty and has no token; special tokens' names are ordinary
-    text; repeated rows are encoded each; an empty table gives an empty table;
+    A null text is empty and has no token; a text of any length is encoded whole, word by word;
+    null ids are kept; special tokens' names are ordinary text; repeated rows are encoded each; an empty table gives an empty table;
     other columns are ignored; no shuffle.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]

@@ -145,8 +145,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
-    first as many of the next document's. A null text is empty; equal ids are
-    ordered by text; null ids come last; an empty table gives an empty table;
+    first as many of the next document's. A null text is empty, a text of any
+    length is taken whole; repeated rows have a row each; equal ids are ordered by text; null ids come last; an empty table gives an empty table;
     other columns are ignored.
     """
     # blocks stand in descending order of ids: ghosts (first of the block below) come last

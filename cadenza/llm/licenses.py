@@ -201,8 +201,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     score is how freely the text may be used by the licences it names (all of
-    them hold); 0 if it names none. A null text is empty; repeated rows are
-    scanned each; other columns are ignored; no shuffle.
+    them hold); 0 if it names none. A null text is empty, a text of any length is
+    scanned whole; null ids are kept; repeated rows are scanned each; an empty table
+    gives an empty table; other columns are ignored; no shuffle.
     """
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]

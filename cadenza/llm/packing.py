@@ -302,7 +302,8 @@ def pack(
     queue; targets hold whatever the number of sources (the plan grows with the square of the targets). Returns a row per
     piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, source, and ids (unsigned 32-bit) on demand. All sequences but the last are
-    full. A null text is empty and packs as its end id; a null source is the
+    full. A null text is empty and packs as its end id, a text of any length is cut over as many
+    sequences as it fills; null ids are kept; a null source is the
     queue ""; repeated rows are packed each; an empty table gives an empty
     table; other columns are ignored.
     """

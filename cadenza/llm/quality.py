@@ -154,7 +154,7 @@ def host_rates(hosts: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Measures and verdict of every row.
 
-    A null text is empty and fails; a null host is the host ""; repeated rows
-    count each; an empty table gives an empty table; other columns are ignored.
+    A null text is empty and fails, a text of any length is measured whole; null
+    ids are kept; a null host is the host ""; repeated rows count each; an empty table gives an empty table; other columns are ignored.
     """
     return judged(materialize(measures(docs, id_col, text_col, host_col), "measures"))
