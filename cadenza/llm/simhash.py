@@ -161,7 +161,7 @@ def near_duplicates(
     component_id is the least doc_id that can be reached over links, root the
     least fingerprint, which names a component whatever its ids; th is a hash of the text or
     of the columns ``hashed``. Null or wordless texts have fingerprint 0 and are
-    linked like any other; repeated rows are linked; a component whose ids are
+    linked like any other, a text of any length is hashed whole, in parts; repeated rows are linked; a component whose ids are
     all null has a null id; an empty table gives an empty table. Other columns
     of ``docs`` are ignored, whatever their names.
     """
