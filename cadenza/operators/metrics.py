@@ -202,3 +202,20 @@ def multiclass_report(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return sums.select(
         "label", g.alias("support"), F.round(ratio(hit, p), 6).alias("precision"), F.round(ratio(hit, g), 6).alias("recall"), F.round(ratio(2 * hit, g + p), 6).alias("f1")
     )
+
+
+def threshold_summary(df: DataFrame, keys: Sequence[str] = (), column: str = "threshold", most: int = 5) -> DataFrame:
+    """AG-06: the least ``most`` distinct thresholds of a group, ascending, rounded to 6 digits and joined by ';'; '' without any.
+
+    Distinct values are found by an aggregate and ranked by a window that keeps ``most`` of them, so a group with very many is not gathered.
+    """
+    value = F.expr(f"try_cast(`{column}` AS double)")
+    each = df.select(*keys, F.when(~F.isnan(value), value).alias("_t"))
+    least = each.where("_t IS NOT NULL").groupBy(*keys, "_t").agg(F.lit(1).alias("_1")).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_1").orderBy("_t"))).where(F.col("_r") <= most)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("_t")), lambda t: F.round(t, 6).cast("string")), ";").alias("thresholds")  # ``most`` values
+    found = least.groupBy(*keys).agg(listed) if keys else least.agg(listed)
+    if not keys:
+        return found.select(F.coalesce("thresholds", F.lit("")).alias("thresholds"))
+    groups = each.select(*keys).distinct()
+    same = [groups[k].eqNullSafe(found[k]) for k in keys]
+    return groups.join(found, same, "left").select(*[groups[k] for k in keys], F.coalesce("thresholds", F.lit("")).alias("thresholds"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import audio, display, models, projections, retrieval, trees
+from ..operators import audio, decisions, display, metrics, models, projections, reports, retrieval, trees
 from ..storage import new_path, stored
 from ..streaming.diagnosis import diagnose
 from .registry import _DECISIONS, _VOTES, ORACLE_SQL, PHONES, phones, query, table
@@ -137,3 +137,37 @@ def indexed_neighbours(spark, sf_dir):
     """The ten nearest of every vector whose id is divisible by 100, among all; the vectors are random, so few bits and many tables are needed. Its recall is tested."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return retrieval.indexed_neighbours(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "asked"), rows, "asked", "vec_id", "embedding", 10, bits=3, tables=16)
+
+
+@query("threshold_summary", """WITH t AS (SELECT DISTINCT p_brand, l_discount + 0.5 AS t FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'), r AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY t) <= 5)
+    SELECT g.p_brand, coalesce(string_agg(round(t, 6)::VARCHAR, ';' ORDER BY t), '') AS thresholds FROM (SELECT DISTINCT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) g LEFT JOIN r USING (p_brand) GROUP BY g.p_brand""")
+def threshold_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return metrics.threshold_summary(rows.select("p_brand", F.when(F.col("l_returnflag") == "R", F.col("l_discount") + 0.5).alias("threshold")), ["p_brand"])
+
+
+@query("three_state_words", f"""WITH {PHONES}, p AS (SELECT utterance_id, CASE WHEN duration_ms < 4 THEN 'unavailable' WHEN gold = 1 AND decision = 1 THEN 'deleted' WHEN gold = 1 THEN 'mispronounced' ELSE 'correct' END AS s FROM phones),
+    c AS (SELECT utterance_id, count(*) AS phone_count, count(*) FILTER (s = 'correct') AS num_correct, count(*) FILTER (s = 'mispronounced') AS num_mispronounced, count(*) FILTER (s = 'deleted') AS num_deleted, count(*) FILTER (s = 'unavailable') AS num_unavailable FROM p GROUP BY 1)
+    SELECT *, CASE WHEN phone_count = num_unavailable THEN 'unavailable' WHEN num_deleted = phone_count THEN 'deleted' WHEN num_mispronounced > 0 THEN 'mispronounced' WHEN num_deleted > 0 THEN 'partial_deletion' ELSE 'correct' END AS word_state FROM c""")
+def three_state_words(spark, sf_dir):
+    state = F.when(F.col("duration_ms") < 4, "unavailable").when((F.col("gold") == 1) & (F.col("decision") == 1), "deleted").when(F.col("gold") == 1, "mispronounced").otherwise("correct")
+    return decisions.three_state_summary(phones(spark, sf_dir).withColumn("phone_state", state), ["utterance_id"])
+
+
+@query("overridden_words", """WITH p AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_quantity < 10) AS missing, count(*) FILTER (l_returnflag = 'A') AS errors, min(CASE WHEN l_linestatus = 'F' AND l_quantity > 45 THEN 'long' WHEN l_tax < 0.01 THEN 'free' END) AS source FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS l_orderkey, CASE WHEN missing THEN 'true_error' WHEN source IS NOT NULL THEN 'uncertain_review' ELSE 'correct' END AS word_decision, coalesce(source, 'none') AS deletion_trigger_source, coalesce(errors, 0) AS num_phone_true_error FROM orders LEFT JOIN p ON o_orderkey = l_orderkey""")
+def overridden_words(spark, sf_dir):
+    source = F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45), "long").when(F.col("l_tax") < 0.01, "free").otherwise("none")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", ((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10)).alias("asr_missing_word"), F.when(F.col("l_returnflag") == "A", "true_error").otherwise("correct").alias("decision"), source.alias("deletion_trigger_source")
+    )
+    words = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("correct").alias("word_decision"))
+    return projections.overridden_words(words, rows, ["l_orderkey"])
+
+
+@query("word_labels", """WITH s AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity / 25 >= 1.5) AS good, count(*) FILTER (l_quantity / 25 >= 0.5 AND l_quantity / 25 < 1.5) AS fair, count(*) FILTER (l_quantity / 25 < 0.5) AS poor, bool_or(l_returnflag = 'R') AS missing FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, n, good, fair, poor, CASE WHEN n = 0 THEN 'alignment_issue' WHEN 2 * good > n THEN 'word_correct' WHEN 2 * fair > n AND poor = 0 THEN 'acceptable_accent' WHEN poor > 0 AND missing THEN 'deletion_or_missing' WHEN poor > 0 THEN 'mispronounced'
+        WHEN good > 0 THEN 'word_correct' ELSE 'acceptable_accent' END AS word_label FROM s""")
+def word_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") / 25).alias("score"), (F.col("l_returnflag") == "R").alias("gone"))
+    return reports.word_label_from_scores(rows, ["l_orderkey"], "score", F.col("gone"))
