@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import audio, decisions, display, metrics, models, projections, reports, retrieval, trees
+from ..operators import audio, decisions, display, metrics, models, projections, reports, retrieval, trees, verifier
 from ..storage import new_path, stored
 from ..streaming.diagnosis import diagnose
 from .registry import _DECISIONS, _VOTES, ORACLE_SQL, PHONES, phones, query, table
@@ -33,6 +33,14 @@ def extra_trees(spark, sf_dir):
     return trees.scored(forest, rows).select("utterance_id", "word_index", "phone_index", "target_phone", F.round("score", 6).alias("score"))
 
 
+@query("gated_verifier")
+def gated_verifier(spark, sf_dir):
+    """The verifier is fitted to the candidates (decision 1) of the first two splits and scores all; tested against a plain descent and held-out rows."""
+    rows = phones(spark, sf_dir).select("utterance_id", "word_index", "phone_index", "target_phone", "phone_group", "gold", "split", "decision", "duration_ms", "error_score", "prob_correct")
+    model = verifier.fit(rows.where("decision = 1 AND split <> 2"), "gold", ["duration_ms", "prob_correct"], ["error_score"], steps=20)
+    return verifier.scored(model, rows.where("decision = 1"), "score").select("utterance_id", "word_index", "phone_index", "target_phone", F.round("score", 6).alias("score"))
+
+
 @query("stream_diagnosis", f"""WITH {_DECISIONS}, s AS (SELECT phone_index AS supplier, * FROM e) SELECT supplier, word_index, count(*) AS phone_count,
     CASE WHEN bool_or(phone_decision = 'true_error') THEN 'has_phone_error' WHEN bool_or(phone_decision = 'uncertain_review') THEN 'needs_review' ELSE 'correct' END AS word_decision,
     CASE WHEN bool_or(alignment_quality = 'bad') THEN 'bad' ELSE 'pass' END AS alignment_quality, max(probability) AS max_phone_error_probability,
