@@ -930,4 +930,4 @@ def translated_labels(spark, sf_dir):
     return rows.groupBy("e2e_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import diagnoses as _diagnoses, evaluations as _evaluations, exchange as _exchange, reporting as _reporting, training as _training  # noqa: E402, F401  register their queries here
+from . import acoustics as _acoustics, diagnoses as _diagnoses, evaluations as _evaluations, exchange as _exchange, reporting as _reporting, training as _training  # noqa: E402, F401  register their queries here
