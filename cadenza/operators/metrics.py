@@ -132,6 +132,29 @@ def ranking_metrics(df: DataFrame, score: str, label: str, keys: Sequence[str] =
     )
 
 
+def calibration_rows(df: DataFrame, keys: Sequence[str], label: str, prediction: str, score: str) -> DataFrame:
+    """AG-24: a row of metrics per group of keys (split, model, calibration), where label 1 is a correct phone and 0 an error.
+
+    The error class has precision, recall and F1 of its own; macro F1 is over the classes that occur. auc is 0.5 for one class. Rows with a null
+    score count in all but auc; null keys are a group.
+    """
+    counts = df.groupBy(*keys).agg(*confusion(F.col(label), F.col(prediction)))
+    ranks = ranking_metrics(df.where(F.col(score).isNotNull()), score, label, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "auc")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = derived(counts).join(ranks, same, "left").drop(*[f"_{k}" for k in keys])
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    good, bad = ratio(2 * tp, 2 * tp + fp + fn), ratio(2 * tn, 2 * tn + fp + fn)
+    macro = F.when(tp + fp + fn == 0, bad).when(tn + fp + fn == 0, good).otherwise((good + bad) / 2)
+    return rows.select(
+        *keys, F.col("support").alias("n"), "accuracy", "balanced_accuracy", F.col("precision").alias("precision_correct_class"), F.col("recall").alias("recall_correct_class"),
+        F.round(macro, 6).alias("macro_f1"), F.coalesce("auc", F.lit(0.5)).alias("auc"), F.round(ratio(tn, tn + fn), 6).alias("error_precision"),
+        F.round(ratio(tn, tn + fp), 6).alias("error_recall"), F.round(bad, 6).alias("error_f1"), tn.alias("tn_error_predicted_error"),
+        fp.alias("fp_correct_predicted_error"), fn.alias("fn_error_predicted_correct"), tp.alias("tp_correct_predicted_correct"),
+    )
+
+
 def reliability(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """AG-32: a row per equal-width bin with its share of errors, mean score and gap, empty bins too."""
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

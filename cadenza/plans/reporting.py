@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, scalars
-from ..operators import decisions, projections, reports, thresholds
+from ..operators import decisions, metrics, projections, reports, thresholds
 from .registry import COUNTS, DERIVED, PHONES, _ratio, phones, query, table
 
 _REVIEWS = """r AS (SELECT o_orderpriority, o_orderstatus = 'F' AS e, CASE o_custkey % 4 WHEN 0 THEN 'acceptable_accent' WHEN 1 THEN 'correct' WHEN 2 THEN 'bad_alignment' ELSE 'true_error' END AS l, o_totalprice / 1e6 AS s FROM orders),
@@ -135,3 +135,18 @@ def group_keys(spark, sf_dir):
 def expanded_words(spark, sf_dir):
     words = F.array(F.when(F.col("o_orderstatus") == "F", "GONNA").otherwise("X"), F.col("o_orderstatus"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(scalars.expand(words, {"GONNA": ["GOING", "TO"]})))
+
+
+@query("calibration_rows", f"""WITH {PHONES}, c AS (SELECT split, prob_correct, 1 - gold AS good, calibration, (prob_correct >= t)::INTEGER AS said FROM phones, (VALUES ('global', 0.5::DOUBLE), ('group', 0.2::DOUBLE), ('none', 2.0::DOUBLE)) v(calibration, t)),
+    m AS (SELECT split, calibration, {COUNTS.replace("gold", "good").replace("decision", "said")} FROM c GROUP BY 1, 2), d AS (SELECT *, {DERIVED} FROM m),
+    s AS (SELECT split, prob_correct AS p, sum(1 - gold) AS pos, sum(gold) AS neg FROM phones GROUP BY 1, 2),
+    a AS (SELECT split, round({_ratio("sum(CASE WHEN b.p < s.p THEN s.pos * b.neg WHEN b.p = s.p THEN 0.5 * s.pos * b.neg ELSE 0 END)", "sum(s.pos * b.neg)", "0.5")}, 6) AS auc FROM s JOIN s b USING (split) GROUP BY 1)
+    SELECT split, calibration, support AS n, accuracy, balanced_accuracy, "precision" AS precision_correct_class, recall AS recall_correct_class, macro_f1, auc, round({_ratio("tn", "tn + fn")}, 6) AS error_precision,
+        round({_ratio("tn", "tn + fp")}, 6) AS error_recall, round({_ratio("2 * tn", "2 * tn + fp + fn")}, 6) AS error_f1, tn AS tn_error_predicted_error, fp AS fp_correct_predicted_error, fn AS fn_error_predicted_correct, tp AS tp_correct_predicted_correct
+    FROM d JOIN a USING (split)""")
+def calibration_rows(spark, sf_dir):
+    """Both classes occur in every split, so macro F1 is over both; one class is tested apart."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("calibration"), F.lit(t).alias("t")) for n, t in (("global", 0.5), ("group", 0.2), ("none", 2.0))])).alias("c")
+    rows = phones(spark, sf_dir).select("split", "prob_correct", (1 - F.col("gold")).alias("good"), each)
+    rows = rows.select("split", "prob_correct", "good", "c.calibration", (F.col("prob_correct") >= F.col("c.t")).cast("int").alias("said"))
+    return metrics.calibration_rows(rows, ["split", "calibration"], "good", "said", "prob_correct")

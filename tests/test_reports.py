@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cadenza.operators import projections, reports
+from cadenza.operators import metrics, projections, reports
 from cadenza.sources import config
 
 
@@ -44,3 +44,13 @@ def test_defaults_and_overrides(spark):
     phones = spark.createDataFrame([(1, True, "correct", "none"), (2, False, "true_error", "missing_boundaries")], "k int, asr_missing_word boolean, decision string, deletion_trigger_source string")
     got = {r.k: (r.word_decision, r.deletion_trigger_source) for r in projections.overridden_words(words, phones, ["k"]).collect()}
     assert got == {1: ("true_error", "none"), 2: ("uncertain_review", "missing_boundaries"), 3: ("correct", "none")}
+
+
+def test_calibration_rows_of_one_class_null_keys_and_scores(spark):
+    rows = [(None, 1, 1, 0.9), (None, 1, 1, None), ("x", 0, 0, 0.2), ("y", 1, 1, 0.6), ("y", 0, 1, 0.7), ("y", 0, 0, 0.1)]
+    found = {r["model"]: r for r in metrics.calibration_rows(spark.createDataFrame(rows, "model string, gold int, prediction int, p double"), ["model"], "gold", "prediction", "p").collect()}
+    only, errors, both = found[None], found["x"], found["y"]
+    assert (only["n"], only["macro_f1"], only["auc"], only["error_f1"]) == (2, 1.0, 0.5, 0.0)
+    assert (errors["macro_f1"], errors["error_precision"], errors["precision_correct_class"], errors["balanced_accuracy"]) == (1.0, 1.0, 0.0, 1.0)
+    assert (both["auc"], both["error_precision"], both["error_recall"], both["error_f1"], both["macro_f1"]) == (0.5, 1.0, 0.5, 0.666667, 0.666667)
+    assert metrics.calibration_rows(spark.createDataFrame([], "model string, gold int, prediction int, p double"), ["model"], "gold", "prediction", "p").count() == 0
