@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import CONFUSIONS, lookup, number, optional, phone, phone_group, text, tokens, truthy
 from .three_state import equivalence
+from .windows import placed
 
 # The recogniser's columns and what they hold where nothing was recognised; names of a good alignment; the columns of a row key.
 RECOGNISER = {
@@ -75,9 +76,8 @@ def row_key(df: DataFrame, columns: Sequence[str] = KEY_COLUMNS, required: bool
 
 
 def side_by_side(left: DataFrame, right: DataFrame, order_left: Sequence[str], order_right: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """JN-31: rows of two tables put together by their places within a key; a place that one side lacks is left out."""
-    placed = lambda df, order: df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return placed(left, order_left).join(placed(right, order_right), [*keys, "_place"]).drop("_place")
+    """JN-31: rows of two tables put together by their places within a key; a place that one side lacks is left out. Neither side orders a whole key in one task."""
+    return placed(left, keys, order_left, "_place").join(placed(right, keys, order_right, "_place"), [*keys, "_place"]).drop("_place")
 
 
 def exact_intervals(annotated: DataFrame, texts: DataFrame, key: str, order: str, word: str, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
 from .quantiles import exact_quantiles
 
 
@@ -77,3 +78,21 @@ def normalised(df: DataFrame, value: str, key: str, fit: Column, population: boo
     usable = F.col("_s") > 1e-6
     z = F.when(usable, (F.col(value) - F.col("_m")) / F.col("_s")).when(F.col("_gs") > 1e-6, (F.col(value) - F.col("_gm")) / F.col("_gs")).otherwise(0.0)
     return joined.withColumn(f"{value}_norm", z).drop("_m", "_s", "_gm", "_gs")
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """df with the place (long, from 1) of each row within its key, as row_number would give it, but no task orders a whole key.
+
+    Rows are cut into ranges by key and order, so a key with very many rows lies in several ranges; a place is that in the range and the rows of the
+    key in the ranges before it. Null keys are a key. Rows of equal order take neighbouring places, and stay in one range.
+    """
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "places")
+    sizes = ranged.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range of a key
+    before = sizes.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    crossing = F.broadcast(before.where("_before > 0"))  # a row a range at most: only its first key can lie in an earlier one
+    return own.join(crossing, same, "left").withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).select(*df.columns, name)

@@ -1,9 +1,11 @@
 """Defaults, keys and small projections on hand-made rows."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import conformance, evaluation
+from cadenza.operators import conformance, evaluation, windows
 
 
 def test_row_keys(spark):
@@ -59,3 +61,23 @@ def test_reports_of_nothing(spark):
     one = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert evaluation.correlation(one, "a", "b").first()["pcc"] == 0.0
     assert evaluation.sanity_report(spark.createDataFrame([("correct",), ("deleted",)], "s string"), "s").first()["counts"] == {"correct": 1, "deleted": 1}
+
+
+@pytest.mark.parametrize("key", ["hot", None])
+def test_places_of_a_key_that_holds_most_rows(spark, key):
+    rows = [(key if i % 3 else f"k{i % 7}", (i * 7919) % 5003, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, x int, place_of int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.placed(df, ["k"], [F.desc("x"), "place_of"])
+        assert got.columns == ["k", "x", "place_of", "place"]
+        found = {r["place_of"]: r["place"] for r in got.collect()}
+        ranges = df.repartitionByRange("k", F.desc("x"), "place_of").select("k", F.spark_partition_id().alias("p")).where(F.col("k").eqNullSafe(key)).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen, expected = Counter(), {}
+    for k, _, i in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2])):
+        seen[k] += 1
+        expected[i] = seen[k]
+    assert found == expected and ranges > 1
+    assert windows.placed(df.where("false"), ["k"], ["x"]).count() == 0
