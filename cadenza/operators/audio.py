@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..shipping import ship
 
 TARGET_RATE = 16_000
 #: Seconds of audio in a row.
 SECONDS = 1
+#: Bytes that a task gathers before it sends them on, and products of the filter at a time: what a Python worker holds beside its input.
+SENT, PRODUCTS = 4 << 20, 1 << 18
 # Limits of the warnings, and the frames that silence is judged by.
 SHORTEST_S, LONGEST_S, LOWEST_RMS, SILENCE_MS = 0.05, 120.0, 1e-4, 20.0
 
@@ -57,22 +60,31 @@ def wav_header(content: Column) -> Column:
     return F.when((size >= 12) & riff, F.get(usable, F.lit(0)))
 
 
-def pcm16_wav(samples: Column, rate: Column, channels: Column | None = None) -> Column:
-    """IO-11: the bytes of a file of 16-bit samples, given as interleaved doubles from -1 to 1; what is beyond is clipped."""
-    channels = F.lit(1) if channels is None else channels
+def _wav_head(size: Column, rate: Column, channels: Column) -> Column:
+    """Hex digits of the 44 bytes before ``size`` bytes of 16-bit samples."""
 
     def little(value: Column, size: int) -> Column:
         digits = F.lpad(F.hex(value.cast("long").bitwiseAND((1 << 8 * size) - 1)), 2 * size, "0")
         return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
 
-    body = F.array_join(F.transform(samples, lambda x: little((F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)) * 32767).cast("int"), 2)), "")
     text = lambda s: F.lit(s.encode().hex())
-    size = 2 * F.size(samples)
-    head = [
+    return F.concat(
         text("RIFF"), little(36 + size, 4), text("WAVEfmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(channels, 2), little(rate, 4), little(rate * channels * 2, 4), little(channels * 2, 2),
         little(F.lit(16), 2), text("data"), little(size, 4),
-    ]
-    return F.unhex(F.concat(*head, body))
+    )
+
+
+def pcm16_wav(samples: Column, rate: Column, channels: Column | None = None) -> Column:
+    """IO-11: the bytes of a file of 16-bit samples, given as interleaved doubles from -1 to 1; what is beyond is clipped."""
+    channels = F.lit(1) if channels is None else channels
+
+    def digits(x: Column) -> Column:
+        value = (F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)) * 32767).cast("int")
+        # the low byte goes first; a bit above both keeps the leading zeros
+        return F.substring(F.hex((value.bitwiseAND(255) * 256 + F.shiftright(value, 8).bitwiseAND(255) + (1 << 16)).cast("long")), 2, 4)
+
+    # a lambda over one element, so that the samples are made once
+    return F.unhex(F.get(F.transform(F.array(samples), lambda s: F.concat(_wav_head(2 * F.size(s), rate, channels), F.array_join(F.transform(s, digits), ""))), F.lit(0)))
 
 
 def _signal(raw: bytes, width: int) -> np.ndarray:
@@ -86,13 +98,17 @@ def _signal(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, f"<i{width}") / float(1 << (8 * width - 1))
 
 
-def audio_rows(files: DataFrame, before: Column | None = None, whole_frames: bool = False) -> DataFrame:
-    """(path, h, i, pcm): the samples of each readable file in rows of SECONDS, numbered; ``before`` adds so many samples of a channel on both sides."""
+def audio_rows(files: DataFrame, before: Column | None = None, whole_frames: bool = False, keys: tuple[str, ...] = ("path",), every: bool = False) -> DataFrame:
+    """(*keys, h, i, pcm): the samples of each readable file in rows of SECONDS, numbered; ``before`` adds so many samples of a channel on both sides.
+
+    With ``every``, a file without samples has a row without number and samples, an unreadable one also without ``h``.
+    """
     h = F.col("h")
     size = h["rate"] * SECONDS * h["width"] * h["channels"]
     frame = h["width"] * h["channels"]
     usable = F.floor(h["bytes"] / frame) * frame if whole_frames else h["bytes"]
-    rows = files.select("path", "content", wav_header(F.col("content")).alias("h")).where("h IS NOT NULL").withColumns({"_size": size, "_bytes": usable, "_pad": (F.lit(0) if before is None else before) * frame})
+    heads = files.select(*keys, "content", wav_header(F.col("content")).alias("h"))
+    rows = (heads if every else heads.where("h IS NOT NULL")).withColumns({"_size": size, "_bytes": usable, "_pad": (F.lit(0) if before is None else before) * frame})
     count = F.ceil(F.col("_bytes") / F.col("_size")).cast("int")
 
     def piece(i: Column) -> Column:
@@ -101,7 +117,7 @@ def audio_rows(files: DataFrame, before: Column | None = None, whole_frames: boo
         return F.struct(i.alias("i"), F.substring(F.col("content"), (h["start"] + first).cast("int"), (last - first).cast("int")).alias("pcm"))
 
     pieces = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), piece))
-    return rows.select("path", "h", F.inline(pieces))
+    return rows.select(*keys, "h", (F.inline_outer if every else F.inline)(pieces))
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -139,7 +155,7 @@ def inspect_audio(files: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame
     )
 
 
-@lru_cache
+@lru_cache(maxsize=8)
 def low_pass(up: int, down: int) -> np.ndarray:
     """A windowed sinc (Kaiser, 5.0) of ten periods a side at the lower of both rates, of unit gain times ``up``."""
     half, rate = 10 * max(up, down), max(up, down)
@@ -153,65 +169,116 @@ def reach(up: int, down: int) -> int:
     return 10 * max(up, down) // up + 2
 
 
+@lru_cache(maxsize=8)
+def _phases(up: int, down: int) -> np.ndarray:
+    """The filter's weights of the samples around an output sample, a row for each of its ``up`` phases."""
+    h, half, span = low_pass(up, down), 10 * max(up, down), reach(up, down)
+    tap = np.arange(up)[:, None] - np.arange(-span, span + 1)[None, :] * up + half
+    return np.where((tap >= 0) & (tap <= 2 * half), h[np.clip(tap, 0, 2 * half)], 0.0)
+
+
 def resampled(x: np.ndarray, up: int, down: int, first: int, outputs: range) -> np.ndarray:
     """Samples ``outputs`` of the signal at up / down of its rate; ``x`` holds its samples from ``first`` on, what is missing is silence."""
-    h, half = low_pass(up, down), 10 * max(up, down)
-    span = reach(up, down)
-    m = np.arange(outputs.start, outputs.stop)
-    centre = m * down // up
-    k = centre[:, None] + np.arange(-span, span + 1)[None, :]
-    tap = m[:, None] * down - k * up + half
-    inside = (tap >= 0) & (tap <= 2 * half) & (k >= first) & (k < first + len(x))
-    return np.where(inside, h[np.clip(tap, 0, 2 * half)] * x[np.clip(k - first, 0, max(len(x) - 1, 0))], 0.0).sum(axis=1) if len(x) else np.zeros(len(m))
+    out = np.zeros(len(outputs))
+    if not len(x) or not len(out):
+        return out
+    weights, span = _phases(up, down), reach(up, down)
+    low = outputs.start * down // up - span
+    seen = np.zeros((outputs.stop - 1) * down // up + span + 1 - low)
+    begin, end = max(first, low), min(first + len(x), low + len(seen))
+    if begin < end:
+        seen[begin - low : end - low] = x[begin - first : end - first]
+    around = np.lib.stride_tricks.sliding_window_view(seen, 2 * span + 1)
+    step = max(1, PRODUCTS // (2 * span + 1))
+    for at in range(0, len(out), step):
+        place = np.arange(outputs.start + at, min(outputs.stop, outputs.start + at + step)) * down
+        products = weights[place % up]
+        products *= around[place // up - span - low]
+        out[at : at + step] = products.sum(axis=1)
+    return out
+
+
+def _sent(rows: Iterable[tuple], schema: pa.Schema, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that are sent on as soon as their column ``at`` has SENT bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at] or b"") + 64
+        if size >= SENT:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, pcm) of (path, file, pcm): rows of a file follow one another and become one; a file whose rows are all null stays null."""
+
+    def rows() -> Iterator[tuple[str | None, int, bytes | None]]:
+        for batch in batches:
+            for path, file, pcm in zip(batch.column(0), batch.column(1), batch.column(2)):
+                yield path.as_py(), file.as_py(), pcm.as_py()
+
+    def files() -> Iterator[tuple[str | None, bytes | None]]:
+        for (path, _), parts in groupby(rows(), key=lambda r: r[:2]):
+            found = [pcm for _, _, pcm in parts if pcm is not None]
+            yield path, b"".join(found) if found else None
+
+    yield from _sent(files(), pa.schema({"path": pa.string(), "pcm": pa.binary()}), 1)
 
 
 def preprocess_audio(files: DataFrame, trim: bool = False, level: float = 0.01, pad_ms: float = 100.0, target_rate: int = TARGET_RATE) -> DataFrame:
-    """SQ-27, SQ-28: (path, content) of each readable file as a mono 16-bit file of the target rate, without the silence at its edges if ``trim``.
+    """SQ-27, SQ-28: (path, content) of each file as a mono 16-bit file of the target rate, without the silence at its edges if ``trim``.
 
     Rows of a second are mixed to one channel and resampled with the samples on both sides that the filter sees; the edges are the first and last frame of
-    SILENCE_MS whose RMS reaches ``level``, by an aggregate over rows, widened by ``pad_ms``; a file without such a frame stays whole. Files that
-    can't be read have a null content. Only the parts of one file come together, to be joined.
+    SILENCE_MS whose RMS reaches ``level``, by a window over the rows of a file, widened by ``pad_ms``; a file without such a frame stays whole. Files that
+    can't be read have a null content. Only the parts of one file come together, to be joined; tasks hold a few seconds of audio, or one file there.
     """
     ship(files.sparkSession)
     rate = F.col("h.rate")
     # a second has as many samples as the rate, so rows begin at whole multiples of ``down``
     before = F.when(rate == target_rate, 0).otherwise(F.ceil(10 * F.greatest(F.lit(1.0), rate / target_rate)) + 2)
-    rows = audio_rows(files, before, whole_frames=True)
+    # a number for each file, as paths may repeat or be null
+    rows = audio_rows(files.select("path", "content", F.monotonically_increasing_id().alias("file")), before, whole_frames=True, keys=("path", "file"), every=True)
     frame, pad = max(1, int(target_rate * SILENCE_MS / 1000)), int(target_rate * pad_ms / 1000)
 
+    def part(raw: bytes, i: int, r: int, channels: int, width: int, size: int) -> tuple[bytes, int, int | None, int | None]:
+        x = _signal(raw, width).reshape(-1, channels).mean(axis=1)
+        if r != target_rate:
+            g = gcd(r, target_rate)
+            up, down = target_rate // g, r // g
+            n = size // (width * channels)
+            total = -(-n * up // down)
+            span = int(np.ceil(10 * max(1.0, r / target_rate))) + 2
+            last = min(total, -(-(i + 1) * r * SECONDS * up // down)) if (i + 1) * r * SECONDS < n else total
+            x = resampled(x, up, down, max(0, i * r * SECONDS - span), range(i * r * SECONDS * up // down, last))
+        loud = np.array([np.sqrt(np.mean(x[a : a + frame] ** 2)) >= level for a in range(0, len(x), frame)], bool)
+        at = np.flatnonzero(loud)
+        pcm = (np.clip(x.astype(np.float32).astype(np.float64), -1.0, 1.0) * 32767).astype("<i2").tobytes()
+        return pcm, len(x), int(at[0]) if len(at) else None, int(at[-1]) if len(at) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for raw, i, r, channels, width, size in zip(batch.column(1), *(batch.column(k).to_pylist() for k in range(2, 7))):
-                x = _signal(raw.as_py(), width).reshape(-1, channels).mean(axis=1)
-                if r != target_rate:
-                    g = gcd(r, target_rate)
-                    up, down = target_rate // g, r // g
-                    n = size // (width * channels)
-                    total = -(-n * up // down)
-                    span = int(np.ceil(10 * max(1.0, r / target_rate))) + 2
-                    last = min(total, -(-(i + 1) * r * SECONDS * up // down)) if (i + 1) * r * SECONDS < n else total
-                    x = resampled(x, up, down, max(0, i * r * SECONDS - span), range(i * r * SECONDS * up // down, last))
-                loud = np.array([np.sqrt(np.mean(x[a : a + frame] ** 2)) >= level for a in range(0, len(x), frame)], bool)
-                at = np.flatnonzero(loud)
-                out.append((x.astype(np.float32), len(x), int(at[0]) if len(at) else None, int(at[-1]) if len(at) else None))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.list_(pa.float32())), *[pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3)]],
-                ["path", "i", "x", "n", "first", "last"],
-            )
-
-    names = rows.select("path", "pcm", F.col("i").cast("long").alias("i"), "h.rate", "h.channels", "h.width", F.col("h.bytes").alias("size"))
-    parts = names.mapInArrow(run, "path string, i long, x array<float>, n long, first long, last long")
+        def parts() -> Iterator[tuple]:
+            for batch in batches:
+                for raw, path, file, i, r, *form in zip(batch.column(0), *(batch.column(k).to_pylist() for k in range(1, 8))):
+                    if i is None:
+                        yield path, file, 0, None if r is None else b"", 0, None, None
+                    else:
+                        yield path, file, i, *part(raw.as_py(), i, r, *form)
+
+        long = pa.int64()
+        yield from _sent(parts(), pa.schema({"path": pa.string(), "file": long, "i": long, "pcm": pa.binary(), "n": long, "first": long, "last": long}), 3)
+
+    seconds = rows.select("pcm", "path", "file", F.col("i").cast("long").alias("i"), "h.rate", "h.channels", "h.width", F.col("h.bytes").alias("size"))
+    parts = seconds.mapInArrow(run, "path string, file long, i long, pcm binary, n long, first long, last long").repartition("path")
     offset = F.col("i") * target_rate * SECONDS
-    edges = parts.groupBy("path").agg(
-        F.sum("n").alias("_n"), F.min(offset + F.col("first") * frame).alias("_from"), F.max(offset + (F.col("last") + 1) * frame).alias("_to")
-    )
+    whole = Window.partitionBy("path", "file").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = parts.withColumns({
+        "_n": F.sum("n").over(whole), "_from": F.min(offset + F.col("first") * frame).over(whole), "_to": F.max(offset + (F.col("last") + 1) * frame).over(whole),
+    })
     low = F.when(F.col("_from").isNull() | F.lit(not trim), 0).otherwise(F.greatest(F.lit(0), F.col("_from") - pad))
     high = F.when(F.col("_to").isNull() | F.lit(not trim), F.col("_n")).otherwise(F.least(F.col("_n"), F.col("_to") + pad))
-    cut = parts.join(edges.select("path", low.alias("_low"), high.alias("_high")), "path")
-    begin, end = F.greatest(F.col("_low") - offset, F.lit(0)), F.least(F.col("_high") - offset, F.col("n"))
-    kept = cut.where(end > begin).select("path", "i", F.slice("x", (begin + 1).cast("int"), (end - begin).cast("int")).alias("x"))
-    whole = kept.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])).alias("x"))  # one file
-    readable = files.select("path", wav_header(F.col("content")).alias("h"))
-    samples = F.transform(F.coalesce("x", F.array().cast("array<float>")), lambda v: v.cast("double"))
-    return readable.join(whole, "path", "left").select("path", F.when(F.col("h").isNotNull(), pcm16_wav(samples, F.lit(target_rate))).alias("content"))
+    begin, end = F.greatest(low - offset, F.lit(0)), F.least(high - offset, F.col("n"))
+    kept = edges.select("path", "file", "i", F.substring("pcm", (2 * begin + 1).cast("int"), F.greatest(2 * (end - begin), F.lit(0)).cast("int")).alias("pcm"))
+    joined = kept.sortWithinPartitions("path", "file", "i").select("path", "file", "pcm").mapInArrow(_joined, "path string, pcm binary")
+    return joined.select("path", F.concat(F.unhex(_wav_head(F.octet_length("pcm"), F.lit(target_rate), F.lit(1))), "pcm").alias("content"))

@@ -119,7 +119,7 @@ def prepared_audio(spark, sf_dir):
     samples = F.concat(quiet, F.transform(F.flatten(F.array_repeat("embedding", 40)), lambda x: x.cast("double") / 4), quiet)
     rates = F.array(F.lit(8_000), F.lit(16_000), F.lit(44_100))
     files = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), audio.pcm16_wav(samples, rates[(F.col("vec_id") % 3).cast("int")]).alias("content"))
-    done = audio.preprocess_audio(stored(files, "sounds"), trim=True)
+    done = audio.preprocess_audio(files, trim=True)
     return done.select(F.col("path").cast("long").alias("vec_id"), (F.octet_length("content") - 44).alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
