@@ -80,8 +80,8 @@ def pcm16_wav(samples: Column, rate: Column, channels: Column | None = None) ->
 
     def digits(x: Column) -> Column:
         value = (F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)) * 32767).cast("int")
-        # the low byte goes first; a bit above both keeps the leading zeros
-        return F.substring(F.hex((value.bitwiseAND(255) * 256 + F.shiftright(value, 8).bitwiseAND(255) + (1 << 16)).cast("long")), 2, 4)
+        # the low byte goes first (two copies side by side, shifted by a byte); a bit above both keeps the leading zeros
+        return F.substring(F.hex(F.shiftright(value.bitwiseAND(0xFFFF).cast("long") * 0x10001, 8).bitwiseAND(0xFFFF).bitwiseOR(0x10000)), 2, 4)
 
     # a lambda over one element, so that the samples are made once
     return F.unhex(F.get(F.transform(F.array(samples), lambda s: F.concat(_wav_head(2 * F.size(s), rate, channels), F.array_join(F.transform(s, digits), ""))), F.lit(0)))
